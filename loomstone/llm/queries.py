@@ -5,8 +5,9 @@ from __future__ import annotations
 import hashlib
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loomstone.llm import exact_dedup, mixing, url_filter
+from loomstone.llm import decontaminate, exact_dedup, mixing, quality, simhash, url_filter, warc
 
 #: (host, path, verdict) of op1.
 URL_RULES = [
@@ -26,6 +27,17 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+#: Rows that op3 never learns from.
+HELD_OUT = "crc32(CAST(CAST({} AS STRING) AS BINARY)) % 4 = 2"
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs, table(spark, sf_dir, "labels"), usable=~F.expr(HELD_OUT.format("mark_id")))
+    held_out = F.coalesce(F.expr(HELD_OUT.format("doc_id")), F.lit(False))
+    return quality.score_documents(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Starts from an empty index, whose table stays for later batches of the same input."""
     index = exact_dedup.DigestIndex(spark, "digest_index_" + hashlib.md5(sf_dir.encode()).hexdigest()[:12])
@@ -38,10 +50,28 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(placed, slots)
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_components(table(spark, sf_dir, "documents"))
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = warc.archive_path(spark)
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    return warc.read_archives(spark, path, keep_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "error")
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
+    "op3_quality": op3_quality,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_mixing": op5_mixing,
+    "op7_simhash": op7_simhash,
+    "op8_decontamination": op8_decontamination,
+    "op10_warc": op10_warc,
 }
 
 
@@ -71,4 +101,18 @@ ORACLE = {
 WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents),
 g AS (SELECT text_sha256, min(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY 1)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM d JOIN g USING (text_sha256)""",
+    "op8_decontamination": r"""
+WITH w AS (SELECT 'd' AS kind, doc_id AS id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x20!-/:-@\[-`{-~]+') AS w FROM documents
+  UNION ALL SELECT 'i', item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x20!-/:-@\[-`{-~]+') FROM benchmark),
+s AS (SELECT DISTINCT kind, id, array_to_string(list_slice(w, i, i + 4), ' ') AS s FROM (SELECT *, unnest(range(1, len(w) - 3)) AS i FROM w)),
+n AS (SELECT id AS item_id, count(*) AS n_item FROM s WHERE kind = 'i' GROUP BY 1),
+f AS (SELECT d.id AS doc_id, i.id AS item_id, count(*) AS n_found FROM s d JOIN s i ON d.s = i.s AND d.kind = 'd' AND i.kind = 'i' GROUP BY 1, 2)
+SELECT doc_id, item_id, n_item, n_found, n_found / n_item AS containment FROM f JOIN n USING (item_id) WHERE n_found >= 0.8 * n_item""",
+    "op10_warc": r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, unhex(sha1(coalesce(html, '')))::BIT::VARCHAR AS b FROM pages),
+q AS (SELECT page_id, h, array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+  list_sum(list_transform(range(1, 6), lambda j: substr(b, 5 * k + j, 1)::INT << (5 - j)))::INT + 1, 1)), '') AS payload_digest FROM p),
+g AS (SELECT h, max(page_id) AS last_id FROM p GROUP BY 1)
+SELECT page_id, strlen(q.h) AS payload_bytes, payload_digest, CASE WHEN page_id = last_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> last_id THEN last_id END AS refers_to, NULL::VARCHAR AS error FROM q JOIN g ON q.h = g.h""",
 }
