@@ -7,7 +7,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstone.llm import decontaminate, exact_dedup, mixing, quality, simhash, url_filter, warc
+from loomstone.llm import decontaminate, exact_dedup, mixing, quality, simhash, substring_dedup, url_filter, warc
 
 #: (host, path, verdict) of op1.
 URL_RULES = [
@@ -27,6 +27,10 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 #: Rows that op3 never learns from.
 HELD_OUT = "crc32(CAST(CAST({} AS STRING) AS BINARY)) % 4 = 2"
 
@@ -66,6 +70,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_url_filter": op1_url_filter,
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_quality": op3_quality,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_mixing": op5_mixing,
@@ -97,6 +102,16 @@ FROM j LEFT JOIN fit USING (page_id)"""
 
 ORACLE = {
     "op1_url_filter": _op1_sql(),
+    "op2_substring_dedup": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, i, md5(array_to_string(list_slice(w, i, i + 49), ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d)),
+hit AS (SELECT DISTINCT win.doc_id, win.i FROM win JOIN (SELECT h, min(doc_id) AS least FROM win GROUP BY 1) f USING (h) WHERE win.doc_id > least),
+pos AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS word FROM d),
+near AS (SELECT pos.doc_id, p, word, max(hit.i) OVER (PARTITION BY pos.doc_id ORDER BY p ROWS UNBOUNDED PRECEDING) AS last_hit
+  FROM pos LEFT JOIN hit ON hit.doc_id = pos.doc_id AND hit.i = p),
+agg AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (last_hit > p - 50) AS n_removed,
+  string_agg(word, ' ' ORDER BY p) FILTER (last_hit IS NULL OR last_hit <= p - 50) AS kept FROM near GROUP BY 1)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN agg USING (doc_id)""",
     "op4_exact_dedup": r"""
 WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents),
 g AS (SELECT text_sha256, min(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY 1)
