@@ -35,8 +35,6 @@ SHARE = 1.5
 REPEAT = 2.0
 BLOCK_WORDS = 512
 SHARD_SLOTS = 1024
-#: Rows of documents that one window of the packing holds about.
-BUCKET_ROWS = 4096
 SEED = 42
 
 
@@ -167,13 +165,13 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     """(doc_id, source, size, start): where each document's words begin in its source's stream.
 
     The running sums have two levels, so that no window holds a whole source: over the buckets of a source, and over
-    the documents of a bucket, which has about BUCKET_ROWS rows.
+    the documents of a bucket. With the square root of the row count as the number of buckets, neither is long.
     """
     rows = written(
         docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(text_col).alias("size")),
         "sizes",
     )
-    buckets = max(1, -(-rows.count() // BUCKET_ROWS))
+    buckets = max(1, math.isqrt(rows.count()))
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "size"), F.lit(buckets)))
     spans = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("words"))

@@ -7,7 +7,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstone.llm import decontaminate, exact_dedup, mixing, quality, simhash, substring_dedup, url_filter, warc
+from loomstone.llm import decontaminate, exact_dedup, html_text, mixing, pii, quality, simhash, substring_dedup, url_filter, warc
 
 #: (host, path, verdict) of op1.
 URL_RULES = [
@@ -54,6 +54,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(placed, slots)
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_components(table(spark, sf_dir, "documents"))
 
@@ -62,6 +66,10 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(table(spark, sf_dir, "documents"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = warc.archive_path(spark)
     warc.write_archives(table(spark, sf_dir, "pages"), path)
@@ -74,8 +82,10 @@ QUERIES = {
     "op3_quality": op3_quality,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_mixing": op5_mixing,
+    "op6_html_text": op6_html_text,
     "op7_simhash": op7_simhash,
     "op8_decontamination": op8_decontamination,
+    "op9_personal_data": op9_personal_data,
     "op10_warc": op10_warc,
 }
 
