@@ -232,3 +232,161 @@ def near_components(docs: DataFrame, shingle: int = SHINGLE, max_distance: int =
     groups = hot_join(named.select("fp", "n", "root"), firsts, "root", "members", named.count()).select("fp", "n", "component_id")
     joined = hot_join(rows, written(groups, "fingerprint-components"), "fp", "n", rows.count())
     return joined.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+# --- similarity of 0.8 over five-word shingles
+#
+# At a Jaccard similarity of 0.8 two 64-bit fingerprints differ in about 10 bits and up to 16, where the ring's keys are
+# too short to find pairs by. So wide fingerprints (512 bits) estimate the similarity, and candidates share a key made
+# of two min-hash shingles, of which each document has BANDS: a pair at 0.8 has none in common once in 25,000.
+
+WIDE_WORDS = 8
+WIDE_SHINGLE = 5
+BANDS, BAND_ROWS = 10, 2
+SIMILARITY = 0.8
+#: How far the estimate is off at most in practice: about three times its standard deviation.
+SURE, SLACK = 0.1, 0.1
+_MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+
+
+def _stir(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * _MIX1
+    x = (x ^ (x >> np.uint64(27))) * _MIX2
+    return x ^ (x >> np.uint64(31))
+
+
+_SALTS = _stir(np.arange(1, 65, dtype=np.uint64) * _MIX1)
+
+
+def wide_fingerprint(hashes: np.ndarray) -> bytes:
+    """The 512-bit majority of the distinct shingle hashes."""
+    return b"".join(fingerprint(_stir(hashes ^ salt)).to_bytes(8, "little") for salt in _SALTS[:WIDE_WORDS])
+
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """One key per band: a hash of its min-hash shingles."""
+    least = np.array([_stir(hashes ^ salt).min() for salt in _SALTS[WIDE_WORDS : WIDE_WORDS + BANDS * BAND_ROWS]], dtype=np.uint64)
+    key = np.zeros(BANDS, np.uint64)
+    for row in least.reshape(BANDS, BAND_ROWS).T:
+        key = _stir(key * _MIX2 + row)
+    return key + np.arange(BANDS, dtype=np.uint64)
+
+
+def most_distance(similarity: float) -> int:
+    """Differing bits of wide fingerprints expected at a Jaccard similarity, by the angle of the indicator vectors."""
+    return int(np.floor(np.arccos(2 * similarity / (1 + similarity)) / np.pi * WIDE_WORDS * 64))
+
+
+def wide_chain_passes(diff: np.ndarray, budget: int) -> np.ndarray:
+    """Pigeonring over the ring of WIDE_WORDS segments: some start keeps the proportional budget over all prefixes."""
+    parts = popcount(diff).astype(np.int64)
+    fine = np.zeros(len(parts), bool)
+    for start in range(WIDE_WORDS):
+        sums = np.cumsum(np.roll(parts, -start, axis=1), axis=1)
+        fine |= (sums * WIDE_WORDS <= budget * np.arange(1, WIDE_WORDS + 1)).all(axis=1)
+    return fine
+
+
+def similar_links(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = WIDE_SHINGLE, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
+    """(a, b): links among document ids that connect what is connected. Null ids and empty texts have none.
+
+    Pairs whose estimate is at least SURE above the asked similarity link by it; down to SLACK below it, the exact
+    Jaccard similarity of the shingle sets decides.
+    """
+    sure, widest = most_distance(min(1.0, similarity + SURE)), most_distance(similarity - SLACK)
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, fps = [], []
+            for text in batch.column(1).to_pylist():
+                hashes = np.unique(shingle_hashes(text.lower().split(), shingle))
+                keys.append(band_keys(hashes).view(np.int64) if len(hashes) else np.zeros(0, np.int64))
+                fps.append(wide_fingerprint(hashes) if len(hashes) else b"")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.list_(pa.int64())), pa.array(fps, pa.binary())], names=["doc_id", "keys", "fp"])
+
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("body")).where("doc_id IS NOT NULL")
+    signed = written(source.mapInArrow(sign, "doc_id long, keys array<long>, fp binary"), "wide-fingerprints")
+    keyed = signed.select("doc_id", F.explode("keys").alias("key"), "fp")
+    sizes = written(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "wide-sizes")
+    members = keyed.join(sizes.hint("merge"), "key").withColumn("blocks", F.ceil(F.col("n") / block))
+    members = members.withColumn("own", F.expr("pmod(xxhash64(doc_id), blocks)"))
+    members = members.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = members.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") > F.col("other")).cast("int").alias("side"), "doc_id", "fp")
+    by = ["key", "lo", "hi"]
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def groups():
+            now, rows = None, []
+            for batch in batches:
+                for key, lo, hi, side, doc, fp in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if (key, lo, hi) != now:
+                        yield rows
+                        now, rows = (key, lo, hi), []
+                    rows.append((side, doc, fp))
+            yield rows
+
+        out: list[tuple[int, int, bool]] = []
+        for rows in groups():
+            if len(rows) > 1:
+                out += _similar_in(rows, sure, widest)
+            if len(out) > 10_000:
+                yield _pairs(out)
+                out = []
+        yield _pairs(out)
+
+    found = dealt.repartition(*by).sortWithinPartitions(*by, "doc_id").mapInArrow(compare, "a long, b long, sure boolean")
+    found = written(found.distinct(), "wide-links")
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t.lower().split(), shingle)).tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["doc_id", "shingles"])
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            same = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                same.append(both >= similarity * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(same, pa.bool_()))
+
+    open_ = found.where("NOT sure").select("a", "b")
+    ids = written(open_.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "wide-open-ids")
+    sets = written(source.join(ids, "doc_id").select("doc_id", "body").mapInArrow(gather, "doc_id long, shingles binary"), "wide-shingles")
+    pairs = open_.join(sets.toDF("a", "of_a"), "a").join(sets.toDF("b", "of_b"), "b").select("a", "b", "of_a", "of_b")
+    return found.where("sure").select("a", "b").unionByName(pairs.mapInArrow(judge, "a long, b long"))
+
+
+def _pairs(out: list[tuple[int, int, bool]]) -> pa.RecordBatch:
+    cols = list(zip(*out, strict=True)) if out else [[]] * 3
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.bool_()), strict=True)], names=["a", "b", "sure"])
+
+
+def _similar_in(rows: list[tuple[int, int, bytes]], sure: int, widest: int) -> list[tuple[int, int, bool]]:
+    """A spanning forest of the links within one block or between two, nearest pairs first."""
+    fps = np.frombuffer(b"".join(r[2] for r in rows), "<u8").reshape(len(rows), WIDE_WORDS)
+    side = np.array([r[0] for r in rows])
+    a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    found = []
+    for n, i in enumerate(a):
+        others = b if len(b) else a[n + 1 :]
+        if not len(others):
+            continue
+        diff = fps[others] ^ fps[i]
+        near = np.flatnonzero(wide_chain_passes(diff, widest))
+        far = popcount(diff[near]).sum(axis=1, dtype=np.int64)
+        found += [(int(d), int(i), int(j)) for d, j in zip(far, others[near], strict=True) if d <= widest]
+    forest, out = Forest(), []
+    for d, i, j in sorted(found):
+        x, y = rows[i][1], rows[j][1]
+        if x != y and forest.join(x, y):
+            out.append((min(x, y), max(x, y), d <= sure))
+    return out
+
+
+def keep_one(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = WIDE_SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs`, all columns, without those whose component has a smaller id."""
+    roots = components(similar_links(docs, similarity, shingle, id_col, text_col))
+    gone = written(roots.where("node <> root").select(F.col("node").alias("__gone")), "near-copies")
+    return docs.join(gone, docs[id_col].cast("long") == gone["__gone"], "left_anti")
