@@ -30,13 +30,12 @@ def natural(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def synthetic_sql(m: int) -> str:
-    return f"""E AS (SELECT p_partkey AS src, (p_partkey * 7 + 3) % {m} AS dst FROM part WHERE p_partkey < {m}
-  UNION ALL SELECT p_partkey, (p_partkey * 5 + 1) % {m} FROM part WHERE p_partkey < {m})"""
+    return f"""K AS (SELECT DISTINCT p_partkey % {m} AS src FROM part), E AS (SELECT src, (src * 7 + 3) % {m} AS dst FROM K UNION ALL SELECT src, (src * 5 + 1) % {m} FROM K)"""
 
 
 def synthetic(spark: SparkSession, sf_dir: str, m: int = 199) -> DataFrame:
-    """Two linear maps modulo m on the part keys: strongly cyclic where both are permutations."""
-    k = load(spark, sf_dir, "part").where(F.col("p_partkey") < m).select(F.col("p_partkey").alias("src"))
+    """Two linear maps modulo m on the part keys modulo m: strongly cyclic where both are permutations."""
+    k = load(spark, sf_dir, "part").select((F.col("p_partkey") % m).alias("src")).distinct()
     return k.select("src", ((F.col("src") * 7 + 3) % m).alias("dst")).union(k.select("src", ((F.col("src") * 5 + 1) % m).alias("dst")))
 
 
