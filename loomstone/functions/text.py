@@ -104,12 +104,11 @@ def primary_action(tokens) -> Column:
 def business_domain(tokens) -> Column:
     """Most keyword hits (repeats counted), the first listed of equals; a recovery rule comes first."""
     has = lambda *ws: F.arrays_overlap(tokens, strings(ws))
-    hits = F.array(
-        *(
-            F.struct(F.size(F.filter(tokens, lambda t, keys=keys: t.isin(*keys.split()))).alias("n"), F.lit(-i).alias("rank"), F.lit(d).alias("domain"))
-            for i, (d, keys) in enumerate(words.PURPOSE_DOMAINS.items())
-        )
-    )
+
+    def hits_of(keys: str) -> Column:
+        return F.size(F.filter(tokens, lambda t: t.isin(*keys.split())))
+
+    hits = F.array(*(F.struct(hits_of(keys).alias("n"), F.lit(-i).alias("rank"), F.lit(d).alias("domain")) for i, (d, keys) in enumerate(words.PURPOSE_DOMAINS.items())))
     best = F.array_max(hits)
     return F.when(has("restore", "recover") & has("backup", "database"), "recovery_operations").when(best["n"] > 0, best["domain"]).otherwise("general")
 
