@@ -7,6 +7,7 @@ from collections.abc import Iterable
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from loomstone.functions import words
 
@@ -160,7 +161,7 @@ def call_counts(text) -> Column:
     return F.regexp_extract_all(text, F.lit(r"\b(\w+)\("), 1)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp ratio of two texts, junk rule included; not symmetric."""
     from difflib import SequenceMatcher
@@ -168,7 +169,7 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def python_round(x: pd.Series, digits: pd.Series) -> pd.Series:
     """Rounds as binary floating point does: half to even on the exact value."""
     return pd.Series([None if pd.isna(v) else round(float(v), int(d)) for v, d in zip(x, digits, strict=True)], dtype="float64")

@@ -23,17 +23,34 @@ BUILD_FILES = {"makefile": "make", "cmakelists.txt": "cmake", "pom.xml": "maven"
 
 
 def scan(spark: SparkSession, root: str, glob: str | None = None, ignored=IGNORED_DIRS) -> DataFrame:
-    """(path, ext, depth, length, modified, content): files under the root but for ignored folders, paths relative."""
+    """(path, ext, depth, length, modified, content): files under the root but for ignored folders, paths relative.
+
+    Spark's file sources pass over empty files, which matter here (an empty __init__.py makes a package), so these come
+    from the file system's listing.
+    """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     base = root.rstrip("/")
-    files = reader.load(base)
+    files = reader.load(base).select("path", "length", "modificationTime", "content").unionByName(_empty_files(spark, base, glob))
     relative = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/*", "/"), "^" + "/" + base.removeprefix("file:").lstrip("/") + "/", "")
     files = files.withColumn("path", relative).where(~under_ignored(F.col("path"), ignored))
     return files.select("path", extension(F.col("path")).alias("ext"), F.size(F.split("path", "/")).alias("depth"), "length", F.col("modificationTime").alias("modified"), "content")
 
 
+def _empty_files(spark: SparkSession, base: str, glob: str | None) -> DataFrame:
+    from fnmatch import fnmatch
+
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
+    listed, found = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(root, True), []
+    while listed.hasNext():
+        f = listed.next()
+        if f.getLen() == 0 and fnmatch(f.getPath().getName(), glob or "*"):
+            found.append((f.getPath().toString(), f.getModificationTime()))
+    empty = spark.createDataFrame(found, "path string, ms long")
+    return empty.select("path", F.lit(0).cast("long").alias("length"), F.timestamp_millis("ms").alias("modificationTime"), F.lit(b"").alias("content"))
+
+
 def language(ext) -> F.Column:
     return F.element_at(F.create_map(*(F.lit(x) for kv in LANGUAGES.items() for x in kv)), ext)
 
