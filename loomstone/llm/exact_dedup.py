@@ -26,10 +26,21 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 class DigestIndex:
-    """A bucketed and sorted table of (text_sha256, keep_id)."""
+    """A bucketed and sorted table of (text_sha256, keep_id).
 
-    def __init__(self, spark: SparkSession, table: str, buckets: int = 16):
-        self.spark, self.table, self.buckets = spark, table, buckets
+    With a `path` the files stay there whatever the catalog does: a session whose catalog does not know the table yet
+    attaches it by its path. Without one the catalog owns the files.
+    """
+
+    def __init__(self, spark: SparkSession, table: str, buckets: int = 16, path: str | None = None):
+        self.spark, self.table, self.buckets, self.path = spark, table, buckets, path
+        if path and not self.exists() and self._has_files():
+            kept = f"CLUSTERED BY (text_sha256) SORTED BY (text_sha256) INTO {buckets} BUCKETS LOCATION '{path}'"
+            spark.sql(f"CREATE TABLE {table} ({INDEX_SCHEMA}) USING parquet {kept}")
+
+    def _has_files(self) -> bool:
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
 
     def exists(self) -> bool:
         return self.spark.catalog.tableExists(self.table)
@@ -38,6 +49,7 @@ class DigestIndex:
         return self.spark.table(self.table) if self.exists() else self.spark.createDataFrame([], INDEX_SCHEMA)
 
     def drop(self) -> None:
+        """Takes the table out of the catalog; files under a `path` stay."""
         self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
 
     def append(self, firsts: DataFrame) -> None:
@@ -47,7 +59,8 @@ class DigestIndex:
             fresh = written(fresh.join(self.read().hint("merge"), "text_sha256", "left_anti"), "fresh-digests")
         # One file a bucket: the shuffle has the buckets' hash and number.
         dealt = fresh.repartition(self.buckets, "text_sha256")
-        dealt.write.bucketBy(self.buckets, "text_sha256").sortBy("text_sha256").mode("append").format("parquet").saveAsTable(self.table)
+        writer = dealt.write.bucketBy(self.buckets, "text_sha256").sortBy("text_sha256").mode("append").format("parquet")
+        (writer.option("path", self.path) if self.path else writer).saveAsTable(self.table)
 
 
 def exact_dedup(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -265,7 +265,17 @@ def training_lines(count: int = TRAIN_LINES, seed: int = SEED) -> list[tuple[str
     return out
 
 
+_trained: dict[tuple[int, int, int], SemiCrf] = {}
+
+
 def train(count: int = TRAIN_LINES, epochs: int = EPOCHS, seed: int = SEED) -> SemiCrf:
+    """The model of these parameters, which alone decide it; a driver fits it once."""
+    if (count, epochs, seed) not in _trained:
+        _trained[count, epochs, seed] = fit(count, epochs, seed)
+    return _trained[count, epochs, seed]
+
+
+def fit(count: int, epochs: int, seed: int) -> SemiCrf:
     """Adaptive gradient ascent on the conditional likelihood with a small L2 penalty."""
     lines = training_lines(count, seed)
     names: set[str] = set()

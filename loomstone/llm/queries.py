@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import hashlib
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomstone.llm import decontaminate, exact_dedup, html_text, mixing, pii, quality, simhash, substring_dedup, url_filter, warc
+from loomstone.llm.common import fresh_path
 
 #: (host, path, verdict) of op1.
 URL_RULES = [
@@ -43,9 +44,9 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Starts from an empty index, whose table stays for later batches of the same input."""
-    index = exact_dedup.DigestIndex(spark, "digest_index_" + hashlib.md5(sf_dir.encode()).hexdigest()[:12])
-    index.drop()
+    """Starts from an empty index of its own in the shared folder."""
+    name = f"digest_index_{uuid.uuid4().hex}"
+    index = exact_dedup.DigestIndex(spark, name, path=fresh_path(spark, name))
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), index)
 
 

@@ -38,6 +38,16 @@ def test_exact_dedup_second_batch_meets_the_index(spark, docs):
     assert exact_dedup.exact_dedup(docs().limit(0), index).count() == 0
 
 
+def test_exact_dedup_index_outlives_the_catalog(spark, docs, tmp_path):
+    path = f"file://{tmp_path}/index"
+    first = exact_dedup.DigestIndex(spark, "t_first", buckets=4, path=path)
+    exact_dedup.exact_dedup(docs((5, "one"), (6, "two")), first).collect()
+    first.drop()
+    again = exact_dedup.DigestIndex(spark, "t_again", buckets=4, path=path)
+    assert rows_of(exact_dedup.exact_dedup(docs((1, "one"), (2, "new")), again), "doc_id", "keep_id", "kept") == [(1, 5, False), (2, 2, True)]
+    assert again.read().count() == 3
+
+
 def test_exact_dedup_hot_group(spark, docs):
     index = exact_dedup.DigestIndex(spark, "t_hot")
     index.drop()
