@@ -33,6 +33,32 @@ def attribute_calls(facts: DataFrame, types: DataFrame, symbols: DataFrame, base
     return best.select("module", "caller", "callee", "lineno", label.alias("resolution"))
 
 
+def annotated_calls(facts: DataFrame, named: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Edges of var.method() where an annotation in the same function gives var's class: of the module, or imported.
+
+    named: (module, name, target) of imports.
+    """
+    marks = facts.where("kind = 'annotation'").select("module", F.col("id").alias("caller"), F.col("name").alias("var"), "target")
+    head = F.split("target", r"\.", 2)
+    marks = marks.withColumns({"head": head[0], "rest": F.get(head, 1)})
+    alias = named.select(F.col("module").alias("n_module"), F.col("name").alias("n_name"), F.col("target").alias("alias"))
+    marks = marks.join(alias, (F.col("module") == F.col("n_module")) & (F.col("head") == F.col("n_name")), "left")
+    holders = F.array(F.concat_ws(".", "module", "target"), F.when(F.col("alias").isNotNull(), F.concat_ws(".", "alias", "rest")))
+    marks = marks.select("module", "caller", "var", F.posexplode(holders).alias("place", "holder")).where("holder IS NOT NULL")
+    calls = facts.where("kind = 'call' AND size(items) = 2").select("module", F.col("id").alias("caller"), F.get("items", 0).alias("var"), "name", "lineno", "seq")
+    hit = calls.join(marks, ["module", "caller", "var"]).withColumn("path", F.concat_ws(".", "holder", "name")).join(symbols.where("kind = 'method'").select("path", "callee"), "path")
+    best = first_match(hit.select("module", "seq", "caller", "lineno", "callee", "place"), ["module", "seq"], ["place", "callee"])
+    return best.select("module", "caller", "callee", "lineno", F.lit("annotated_method_call").alias("resolution"))
+
+
+def unknown_calls(calls: DataFrame, functions: DataFrame, ignored: list[str]) -> DataFrame:
+    """calls (file, call) that are no function of the index, neither whole nor by the last segment, and not ignored."""
+    short = F.element_at(F.split("call", r"\."), -1)
+    known = functions.select(F.col("name").alias("known")).distinct()
+    left = calls.where(~F.col("call").isin(*ignored) & ~short.isin(*ignored))
+    return left.join(known, F.col("call") == F.col("known"), "left_anti").join(known, short == F.col("known"), "left_anti")
+
+
 def super_calls(facts: DataFrame, orders: DataFrame, symbols: DataFrame) -> DataFrame:
     """Edges of super().method(): the first class after the own one in its C3 order that has the method.
 

@@ -13,7 +13,7 @@ LANGUAGES = {
     ".go": "go", ".cs": "csharp", ".c": "c", ".h": "c", ".cpp": "cpp", ".cc": "cpp", ".cxx": "cpp", ".hpp": "cpp", ".rs": "rust",
     ".sql": "sql", ".pls": "sql", ".plsql": "sql", ".pks": "sql", ".pkb": "sql", ".prc": "sql", ".fnc": "sql", ".trg": "sql", ".vw": "sql",
 }
-IMPLEMENTED = ("python", "go", "csharp", "c", "cpp", "sql")
+IMPLEMENTED = ("python", "java", "javascript", "typescript", "go", "csharp", "c", "cpp", "sql")
 DOCUMENTS = (".md", ".rst", ".txt", ".adoc", ".pdf", ".docx", ".html")
 MODELS = (".onnx", ".pt", ".pth", ".h5", ".pb", ".safetensors", ".gguf", ".joblib", ".pkl")
 CONFIGS = (".json", ".yaml", ".yml", ".toml", ".ini", ".cfg", ".env", ".xml")

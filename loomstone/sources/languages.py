@@ -1,4 +1,4 @@
-"""Facts of other languages by patterns: Go, C#, C and C++. Definitions and spans are columns, calls are joins."""
+"""Facts of other languages by patterns: Go, C#, C and C++, Java, JavaScript. Definitions and spans are columns, calls are joins."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loomstone.functions.text import strip_block_comments
 
 #: Words before a bracket that call nothing.
-NO_CALLS = "if for while switch return sizeof catch else do defined func go defer select range using lock foreach nameof typeof new throw".split()
+NO_CALLS = "if for while switch return sizeof catch else do defined func defer select range using lock foreach nameof typeof new throw".split()
 GO = {
     "package": r"(?m)^package\s+(\w+)", "struct": r"(?m)^type\s+(\w+)\s+struct\b", "interface": r"(?m)^type\s+(\w+)\s+interface\b",
     "function": r"(?m)^func\s+(\w+)\s*\(", "goroutine": r"\bgo\s+([\w.]+)\s*\(", "struct_init": r"&?\b([A-Z]\w*)\{",
@@ -20,6 +20,16 @@ CSHARP = {
 }
 CSHARP_FIELD = r"(?m)^\s*(?:private|protected|public|internal)\s+(?:readonly\s+|static\s+)*([A-Z]\w*)\s+(\w+)\s*[;=]"
 CSHARP_METHOD = r"(?:public|private|protected|internal|static|async|override|virtual)\s+[\w<>\[\],\s?]*?\b(\w+)\s*\([^;{)]*\)\s*\{"
+JAVA = {
+    "package": r"(?m)^\s*package\s+([\w.]+)\s*;", "import": r"(?m)^\s*import\s+(?:static\s+)?([\w.]+)\s*;", "class": r"\b(?:class|record|enum)\s+(\w+)",
+    "interface": r"\binterface\s+(\w+)", "constructed": r"\bnew\s+([A-Z]\w*)\s*[(<]",
+}
+JAVA_METHOD = r"^\s*(?:public|private|protected|static|final|synchronized|abstract|\s)+[\w<>\[\],?\s]+?\b(\w+)\s*\([^;]*\)\s*(?:throws\s+[\w.,\s]+)?\{?\s*$"
+SCRIPT = {
+    "class": r"\bclass\s+(\w+)", "function": r"(?m)^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*(\w+)", "arrow": r"(?m)^\s*(?:export\s+)?(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s*)?(?:\([^)]*\)|\w+)\s*=>",
+    "import": r"""(?m)^\s*import\b[^'"]*['"]([^'"]+)['"]""", "require": r"""\brequire\(\s*['"]([^'"]+)['"]\s*\)""",
+}
+SCRIPT_FUNCTION = r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?(?:function\s*\*?\s*|(?:const|let|var)\s+|static\s+)?(\w+)\s*(?:=\s*(?:async\s*)?)?\([^)]*\)\s*(?:=>\s*)?\{\s*$"
 C_FUNCTION = r"^[A-Za-z_][\w\s\*]*?\b(\w+)\s*\([^;]*\)\s*\{?\s*$"
 CALL = r"(?:\b(\w+)\.)?\b(\w+)\s*\("
 
@@ -79,6 +89,28 @@ def csharp_calls(files: DataFrame, path: str = "path", source: str = "source") -
     return hit.select(path, F.concat_ws(".", "type", "caller").alias("caller"), F.concat_ws(".", "k_type", "k_name").alias("callee"), "lineno", F.when(own, "csharp_same_type_method").otherwise("csharp_field_type_method").alias("resolution")).distinct()
 
 
+def same_type_calls(files: DataFrame, opener: str, kind: dict[str, str], label: str, path: str = "path", source: str = "source") -> DataFrame:
+    """(path, caller, callee, lineno, resolution): calls without a receiver, or on this, to functions of the same file.
+
+    A file's first class, if it has one, qualifies the names.
+    """
+    types = definitions(files, {"class": kind["class"]}, path, source).groupBy(path).agg(F.min("name").alias("type"))
+    parts = spans(files, opener, path, source).join(types, path, "left")
+    own = F.concat_ws(".", "type", "name")
+    known = parts.select(F.col(path).alias("k_path"), F.col("name").alias("known"), own.alias("callee")).distinct()
+    calls = calls_in(parts, path).where("receiver IS NULL OR receiver = 'this'").join(types, path, "left")
+    hit = calls.join(known, (F.col(path) == F.col("k_path")) & (F.col("name") == F.col("known")))
+    return hit.select(path, F.concat_ws(".", "type", "caller").alias("caller"), "callee", "lineno", F.lit(label).alias("resolution")).distinct()
+
+
+def java_calls(files: DataFrame, path: str = "path", source: str = "source") -> DataFrame:
+    return same_type_calls(files, JAVA_METHOD, JAVA, "java_same_class_method", path, source)
+
+
+def script_calls(files: DataFrame, path: str = "path", source: str = "source") -> DataFrame:
+    return same_type_calls(files, SCRIPT_FUNCTION, SCRIPT, "direct_name_call", path, source)
+
+
 def c_calls(files: DataFrame, path: str = "path", source: str = "source") -> tuple[DataFrame, DataFrame]:
     """(edges within a file, unresolved calls once per line and name)."""
     parts = spans(files, C_FUNCTION, path, source)

@@ -1,6 +1,6 @@
 """Facts of Python sources: one parse per file, on the executors, as rows of one wide table.
 
-kind is one of function, class, import, call, assign, return, docstring, parse_error. A broken file gives a parse_error
+kind is one of function, class, import, call, assign, return, docstring, annotation, parse_error. A broken file gives a parse_error
 row, never a failed task. Facts hold no resolution; joins resolve them (loomstone.operators.calls).
 """
 
@@ -124,6 +124,9 @@ class Visitor(ast.NodeVisitor):
         self.put("function", node, id=fid, name=node.name, items=[a.arg for a in (*node.args.posonlyargs, *node.args.args, *node.args.kwonlyargs)], texts=texts, flag=isinstance(node, ast.AsyncFunctionDef), target="class" if self.kinds[-1:] == ["class"] else "function" if self.kinds else None)
         if ast.get_docstring(node) is not None:
             self.put("docstring", node, id=fid)
+        for a in (*node.args.posonlyargs, *node.args.args, *node.args.kwonlyargs):
+            if a.annotation is not None and (path := dotted(a.annotation)):
+                self.put("annotation", a, id=fid, name=a.arg, target=".".join(path))
         for d in node.decorator_list:
             self.visit(d)
         self._inside(node, "function")
@@ -154,6 +157,12 @@ class Visitor(ast.NodeVisitor):
             if path:
                 self.put("assign", node, name=".".join(path), target=name, items=[shape], id=self.owner())
 
+    def visit_AnnAssign(self, node: ast.AnnAssign) -> None:
+        path, kind = dotted(node.target), dotted(node.annotation)
+        if path and kind:
+            self.put("annotation", node, id=self.owner(), name=".".join(path), target=".".join(kind))
+        self.generic_visit(node)
+
     def visit_Return(self, node: ast.Return) -> None:
         shape, name = value_shape(node.value)
         self.put("return", node, id=self.owner(), target=name, items=[shape])

@@ -135,6 +135,26 @@ def test_other_languages(spark):
     assert ("struct", "S") in kinds and ("package", "main") in kinds
 
 
+def test_java_and_javascript(spark):
+    java = "package p.q;\nimport a.B;\npublic class Svc {\n  public void go(int x) {\n    check(x);\n    other.check(1);\n  }\n  private boolean check(int y) {\n    return y > 0;\n  }\n}\n"
+    df = spark.createDataFrame([("S.java", java)], "path string, source string")
+    assert [(r["caller"], r["callee"], r["lineno"]) for r in languages.java_calls(df).collect()] == [("Svc.go", "Svc.check", 5)]
+    assert {("package", "p.q"), ("import", "a.B"), ("class", "Svc")} <= {(r["kind"], r["name"]) for r in languages.definitions(df, languages.JAVA).collect()}
+    js = "import x from './lib';\nfunction one(a) {\n  return two(a);\n}\nconst two = (b) => {\n  return b;\n}\n"
+    df = spark.createDataFrame([("a.js", js)], "path string, source string")
+    assert [(r["caller"], r["callee"]) for r in languages.script_calls(df).collect()] == [("one", "two")]
+    assert {("import", "./lib"), ("function", "one"), ("arrow", "two")} <= {(r["kind"], r["name"]) for r in languages.definitions(df, languages.SCRIPT).collect()}
+
+
+def test_annotations_type_receivers(spark):
+    source = "from m import K\nclass L:\n    def put(self): pass\ndef f(a: K, b: L, c):\n    a.run(); b.put(); c.run()\n    d: K = c\n    d.run()\n"
+    facts = python_facts(spark.createDataFrame([("n.py", source), ("m.py", "class K:\n    def run(self): pass\n")], "path string, source string"))
+    got = resolution.annotated_calls(facts, calls.aliases(facts), calls.symbols(facts))
+    assert sorted((r["lineno"], r["callee"]) for r in got.collect()) == [(5, "m.K.run"), (5, "n.L.put"), (7, "m.K.run")]
+    asked = spark.createDataFrame([("f", "a.helper"), ("f", "print"), ("f", "x.gone")], "file string, call string")
+    assert [r["call"] for r in resolution.unknown_calls(asked, spark.createDataFrame([("helper",)], "name string"), ["print"]).collect()] == ["x.gone"]
+
+
 def test_imports_of_files(spark):
     files = spark.createDataFrame([("src/app/util.py",), ("src/app/__init__.py",), ("web/a.js",), ("web/lib/index.ts",)], "path string")
     asked = spark.createDataFrame([("x.py", "app.util.helper"), ("x.py", "app"), ("x.py", "missing.mod")], "file string, target string")
