@@ -113,6 +113,14 @@ def identity(profile: DataFrame, overrides: DataFrame) -> DataFrame:
     return profile.join(o, "repo", "left").select("repo", F.coalesce("o_type", "type").alias("type"), "framework", F.when(F.col("o_type").isNotNull(), "HUMAN").otherwise("DERIVED").alias("origin"))
 
 
+def dependencies(declared: DataFrame, imports: DataFrame, own: DataFrame, ignored: list[str]) -> DataFrame:
+    """(package, declared, imported): packages of manifests and of imports but for the repository's own roots."""
+    a = declared.select(F.lower("package").alias("package"), F.lit(True).alias("declared")).distinct()
+    b = imports.select(F.lower("package").alias("package"), F.lit(True).alias("imported")).distinct()
+    both = a.join(b, "package", "full_outer").where(~F.col("package").isin(*ignored)).join(own.select(F.lower("package").alias("package")), "package", "left_anti")
+    return both.select("package", F.coalesce("declared", F.lit(False)).alias("declared"), F.coalesce("imported", F.lit(False)).alias("imported"))
+
+
 def recommendations(reports: DataFrame) -> DataFrame:
     """(repo, severity, advice) by the gate, misses in the repository and unresolved calls."""
     told = (

@@ -117,6 +117,21 @@ def health(guesses, uncategorised) -> Column:
     return F.when(guesses.isNull(), "NOT_RATED").when((guesses > 0) | (F.coalesce(uncategorised, F.lit(0)) > 0), "UNVERIFIED").otherwise("SOUND")
 
 
+def complete(has_primary, has_index) -> Column:
+    """A run is complete with primary artifacts or a reasoning index; unknown counts as neither."""
+    return F.coalesce(has_primary, F.lit(False)) | F.coalesce(has_index, F.lit(False))
+
+
+def language_review(declared, voted) -> Column:
+    """Whether a person should look: no vote, or another language than declared."""
+    return voted.isNull() | F.coalesce(F.lower(declared) != F.lower(voted), F.lit(False))
+
+
+def high_usage(uses: DataFrame, level: str = "level", with_critical: bool = True) -> DataFrame:
+    """The high usages; without `with_critical` only the band from four to seven uses, as the narrow rule has it."""
+    return uses.where(F.col(level).isin("High", "Critical") if with_critical else F.col(level) == "High")
+
+
 def usage_level(uses) -> Column:
     return F.when(uses <= 0, "Low").when(uses <= 3, "Medium").when(uses <= 7, "High").otherwise("Critical")
 

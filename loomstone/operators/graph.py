@@ -166,6 +166,20 @@ def dead_code(edges: DataFrame, nodes: DataFrame | None = None, words: tuple[str
     return quiet.select("node", entry.alias("likely_entry_point"))
 
 
+def caller_verdicts(edges: DataFrame, targets: DataFrame) -> DataFrame:
+    """(node, callers, verdict) of targets (node): no visible caller is a known unknown, not proof that there is none."""
+    found = edges.groupBy(F.col("dst").alias("node")).agg(F.countDistinct("src").alias("callers"))
+    out = targets.select("node").join(found, "node", "left").withColumn("callers", F.coalesce("callers", F.lit(0)))
+    return out.withColumn("verdict", F.when(F.col("callers") == 0, "KNOWN_UNKNOWN").otherwise("OBSERVED"))
+
+
+def annotate_hops(chains: DataFrame, types: DataFrame) -> DataFrame:
+    """chains (hops, ending) as hops in order with callee_type where types (fid, type) has the callee; null elsewhere."""
+    known = types.select(F.col("fid").alias("callee"), F.col("type").alias("callee_type"))
+    flat = chains.withColumn("chain", F.monotonically_increasing_id()).select("chain", "ending", F.posexplode("hops").alias("at", "callee"))
+    return flat.join(known, "callee", "left").select("chain", "at", "callee", "callee_type", "ending")
+
+
 def depends_on(edges: DataFrame, prefix: str) -> DataFrame:
     """(caller): callers of nodes under the prefix that are not under it themselves."""
     return edges.where(F.col("dst").startswith(prefix) & ~F.col("src").startswith(prefix)).select(F.col("src").alias("caller")).distinct()

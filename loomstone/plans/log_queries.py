@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from loomstone.operators import joins, lineage, logs, profile
+from loomstone.operators import cognition, decisions, graph, joins, lineage, logs, profile, resolution
 from loomstone.plans.registry import query
 from loomstone.tables import load
 
@@ -241,3 +241,57 @@ def q_component_risk(spark, d):
     c = load(spark, d, "customer").join(o, F.col("c_custkey") == F.col("o_custkey"), "left")
     k = F.col("c_custkey")
     return profile.top_risk(c.select(F.concat(F.lit("c"), k).alias("path"), F.coalesce("n", F.lit(0)).alias("imports"), (k % 4 == 0).alias("critical_name"), (k % 20).alias("functions"), (k % 3 == 0).alias("has_test")))
+
+
+@query("""WITH E AS (SELECT o_custkey AS dst, o_orderkey AS src FROM orders), C AS (SELECT dst, count(DISTINCT src) AS n FROM E GROUP BY 1)
+SELECT c_custkey AS node, coalesce(n, 0) AS callers, CASE WHEN n IS NULL THEN 'KNOWN_UNKNOWN' ELSE 'OBSERVED' END AS verdict FROM customer LEFT JOIN C ON dst = c_custkey""")
+def q_verdicts(spark, d):
+    edges = load(spark, d, "orders").select(F.col("o_orderkey").alias("src"), F.col("o_custkey").alias("dst"))
+    return graph.caller_verdicts(edges, load(spark, d, "customer").select(F.col("c_custkey").alias("node")))
+
+
+@query("""SELECT regexp_extract(url, '://([^/?#]*)', 1) AS host, array_to_string(list_sort(list(DISTINCT regexp_extract(url, '://[^/]*/([a-z]+)', 1))), ',') AS users, count(*) AS imports FROM pages GROUP BY 1""")
+def q_dependencies_roll_up(spark, d):
+    p = load(spark, d, "pages").select(F.regexp_extract("url", "://([^/?#]*)", 1).alias("host"), F.regexp_extract("url", "://[^/]*/([a-z]+)", 1).alias("lang"))
+    return profile.dependency_roll_up(p, "host", "lang").select("host", F.concat_ws(",", "users").alias("users"), "imports")
+
+
+@query("""WITH A AS (SELECT DISTINCT lower(p_brand) AS package FROM part WHERE p_size > 25), B AS (SELECT DISTINCT lower(p_brand) AS package FROM part WHERE p_retailprice > 1500)
+SELECT coalesce(A.package, B.package) AS package, A.package IS NOT NULL AS declared, B.package IS NOT NULL AS imported FROM A FULL JOIN B ON A.package = B.package WHERE coalesce(A.package, B.package) <> 'brand#11'""")
+def q_dependencies(spark, d):
+    parts = load(spark, d, "part").withColumnRenamed("p_brand", "package")
+    own = spark.createDataFrame([("Brand#11",)], "package string")
+    return cognition.dependencies(parts.where("p_size > 25"), parts.where("p_retailprice > 1500"), own, ["none"])
+
+
+@query("""SELECT u.event_id, u.event_type AS call FROM events u WHERE u.event_type NOT IN (SELECT DISTINCT role FROM conversations) AND u.event_type NOT IN ('view')""")
+def q_unknown_calls(spark, d):
+    calls = load(spark, d, "events").select("event_id", F.col("event_type").alias("call"))
+    known = load(spark, d, "conversations").select(F.col("role").alias("name"))
+    return resolution.unknown_calls(calls, known, ["view"])
+
+
+@query("""WITH U AS (SELECT l_partkey, count(*) AS uses FROM lineitem GROUP BY 1), L AS (SELECT *, CASE WHEN uses <= 0 THEN 'Low' WHEN uses <= 3 THEN 'Medium' WHEN uses <= 7 THEN 'High' ELSE 'Critical' END AS level FROM U)
+SELECT l_partkey, uses, level FROM L WHERE level IN ('High', 'Critical')""")
+def q_high_usage(spark, d):
+    uses = load(spark, d, "lineitem").groupBy("l_partkey").agg(F.count("*").alias("uses")).withColumn("level", decisions.usage_level(F.col("uses")))
+    return decisions.high_usage(uses)
+
+
+@query("SELECT event_type, count(*) AS n, round(count(*) * 100.0 / (SELECT count(*) FROM events), 2)::DOUBLE AS percent FROM events GROUP BY 1")
+def q_label_roll_up(spark, d):
+    ev = load(spark, d, "events")
+    return profile.label_roll_up(ev, "event_type", ev.count())
+
+
+@query("""SELECT role, count(*) FILTER (tier <> 'UNKNOWN') AS populated, count(*) AS fields FROM (SELECT role, CASE WHEN length(text) > 40 THEN 'OBSERVED' ELSE 'UNKNOWN' END AS tier FROM conversations) GROUP BY 1""")
+def q_evidence_coverage(spark, d):
+    cells = load(spark, d, "conversations").select("role", profile.evidence_cell(F.when(F.length("text") > 40, F.col("text")), "OBSERVED").alias("cell"))
+    return profile.evidence_coverage(cells.select("role", "cell.tier"), "role", "tier")
+
+
+@query("""SELECT count(*) FILTER (d = 'APPROVED') AS approved, count(*) FILTER (d = 'REJECTED') AS rejected, count(*) FILTER (d = 'PENDING_REVIEW') AS review, 0::BIGINT AS block, count(*) AS total
+FROM (SELECT CASE event_type WHEN 'error' THEN 'REJECTED' WHEN 'purchase' THEN 'PENDING_REVIEW' ELSE 'APPROVED' END AS d FROM events)""")
+def q_memory_summary(spark, d):
+    severity = F.when(F.col("event_type") == "error", "BLOCK").when(F.col("event_type") == "purchase", "REVIEW").otherwise("INFO")
+    return logs.summary(load(spark, d, "events").select(decisions.approval(severity).alias("decision")), "decision")
