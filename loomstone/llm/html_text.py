@@ -52,6 +52,8 @@ HINTS = frozenset(
     "masthead menu modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promoted promotion related "
     "reply replies respond share sharing sidebar skip social sponsor sponsored subscribe toolbar widget complementary contentinfo search alert".split()
 )
+#: Words by which a class speaks of another part ("has-sidebar").
+NOT_A_HINT = frozenset("no has with without".split())
 _NAME = re.compile(r"[A-Za-z][^\s/>]*")
 _ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+)))?""")
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -65,6 +67,7 @@ class Page:
         self.tag, self.parent, self.end, self.off = ["#page"], [0], [0], [False]
         self.parts: list[tuple[int, str | None]] = []  # (node, text), or (node, None) where a block begins or ends
         self.hinted: list[int] = []
+        self.headers: list[int] = []  # named a header: the page's own unless it holds a heading
         self.stack = [0]
         self._read(source)
         while self.stack:
@@ -121,8 +124,12 @@ class Page:
                 words.update(w.lower() for w in _WORDS.findall(value))
             elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and "display:none" in value.replace(" ", "").lower()):
                 self.off[node] = True
-        if words & HINTS and tag not in ("html", "body", "article", "main"):
+        if tag in ("html", "body", "article", "main") or words & NOT_A_HINT:
+            return
+        if words & HINTS:
             self.hinted.append(node)
+        elif "header" in words:
+            self.headers.append(node)
 
     def _read(self, s: str) -> None:
         at, n, self.open_p = 0, len(s), 0
@@ -198,6 +205,7 @@ def _counts(page: Page, tags: frozenset[str]) -> list[int]:
 
 
 _CONTENT = frozenset(("article", "main", "h1"))
+_HEADINGS = _CONTENT | frozenset(("h2", "h3", "h4", "h5", "h6"))
 _WHOLE = frozenset(("article", "main"))
 #: Elements that hold a part of a text: the text itself is around them.
 _PARTS = frozenset("p li h1 h2 h3 h4 h5 h6 pre blockquote dt dd td th tr tbody thead tfoot ul ol dl hr figcaption".split())
@@ -212,6 +220,10 @@ def mark_off(page: Page) -> None:
     for i in page.hinted:
         if not off[i] and content[i] == content[page.end[i]]:
             off[i] = True
+    headings = _counts(page, _HEADINGS)
+    for i in page.headers:
+        if not in_article[i] and headings[i] == headings[page.end[i]]:
+            off[i] = True
     for i in range(1, len(off)):
         if page.tag[i] == "header" and not in_article[i] and whole[i] == whole[page.end[i]]:
             off[i] = True

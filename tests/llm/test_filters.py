@@ -192,6 +192,7 @@ PAGES = {
     "classes": (f"<body><div class='site-header'>Site</div><div class=content><h1>T</h1>{ARTICLE}<p>ok</p></div><div id=comments>{ARTICLE}{ARTICLE}</div><div class='sidebar'>{ARTICLE}</div>", 8),
     "form": (f"<body><main><h1>T</h1><form><p>Your name</p></form>{ARTICLE}<script>var a='<p>no</p>';</script></main>", 7),
     "list": (f"<body><div><h1>T</h1>{ARTICLE}<ul><li>one<li>two</ul></div>", 9),
+    "named": (f"<body><div class='page-header'>Site name</div><div class='content has-sidebar'><div class='entry-header'><h2>T</h2></div>{ARTICLE}</div>", 7),
     "bare": ("<p>one &amp; two<br>three<p>four", 2),
 }
 
@@ -203,6 +204,17 @@ def test_html_blocks(name):
     assert len(got) == blocks, got
 
 
+def test_html_articles_of_the_pages_table(spark):
+    """The table's pages mark their articles, so a plain cut is the brute-force version."""
+    import html
+
+    rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()
+    for r in rows:
+        inner = re.search("<article>(.*)</article>", r["html"], re.S)[1]
+        parts = (re.sub("[\\x20\\x09-\\x0D]+", " ", html.unescape(re.sub("<br>", " ", re.sub("</?b>", "", p)))).strip() for p in re.split("</?p>|</?h1>", inner))
+        assert html_text.extract(r["html"]) == "\n\n".join(p for p in parts if p)
+
+
 def test_html_rules():
     assert html_text.extract("<p> a \n\t b&nbsp;&lt;x&gt; </p><p></p><p>c") == "a b\xa0<x>\n\nc"
     assert html_text.extract(None) == html_text.extract("") == html_text.extract("<script>x") == html_text.extract("<!-- <p>a</p>") == ""
