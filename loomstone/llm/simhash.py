@@ -185,7 +185,9 @@ def links(fps: DataFrame, max_distance: int = DISTANCE, block: int = BLOCK) -> D
             ab = np.array(out, dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(ab[:, 0]), pa.array(ab[:, 1])], names=["a", "b"])
 
-    ordered = dealt.repartition(*by).sortWithinPartitions(*by)
+    # A number given is kept: small rows, but much work for each, would else meet in few tasks.
+    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = dealt.repartition(parts, *by).sortWithinPartitions(*by)
     return ordered.mapInArrow(compare, "a long, b long").distinct()
 
 
@@ -334,7 +336,8 @@ def similar_links(docs: DataFrame, similarity: float = SIMILARITY, shingle: int
                 out = []
         yield _pairs(out)
 
-    found = dealt.repartition(*by).sortWithinPartitions(*by, "doc_id").mapInArrow(compare, "a long, b long, sure boolean")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = dealt.repartition(parts, *by).sortWithinPartitions(*by, "doc_id").mapInArrow(compare, "a long, b long, sure boolean")
     found = written(found.distinct(), "wide-links")
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
