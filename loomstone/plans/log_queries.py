@@ -55,12 +55,12 @@ def q_dup_block(spark, d):
 
 @query("""WITH D AS (SELECT doc_id, unnest(list_distinct(string_split(lower(text), ' '))) AS w FROM documents), N AS (SELECT doc_id, count(*) AS n FROM D GROUP BY 1),
 P AS (SELECT a.doc_id AS left_id, b.doc_id AS right_id, count(*) AS n FROM D a JOIN D b ON a.w = b.w AND a.doc_id < b.doc_id GROUP BY 1, 2)
-SELECT left_id, right_id, P.n / greatest(x.n, y.n) AS overlap FROM P JOIN N x ON x.doc_id = left_id JOIN N y ON y.doc_id = right_id WHERE P.n * 2 >= greatest(x.n, y.n)""")
+SELECT left_id, right_id, P.n / greatest(x.n, y.n) AS overlap FROM P JOIN N x ON x.doc_id = left_id JOIN N y ON y.doc_id = right_id WHERE P.n >= 0.8 * greatest(x.n, y.n)""")
 def q_near_dup(spark, d):
     from loomstone.operators.duplicates import overlapping_sets
 
     docs = load(spark, d, "documents").select("doc_id", F.array_distinct(F.split(F.lower("text"), " ", -1)).alias("w"))
-    return overlapping_sets(docs, "doc_id", "w", 0.5)
+    return overlapping_sets(docs, "doc_id", "w", 0.8)
 
 
 @query("""WITH S AS (SELECT item_id, list_slice(string_split(text, ' '), i, i + 5) AS g FROM (SELECT item_id, text, unnest(range(1, len(string_split(text, ' ')) - 4)) AS i FROM benchmark)),
