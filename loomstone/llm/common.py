@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -22,6 +24,7 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
         named = tempfile.mkdtemp(prefix="loomstone-")
+        atexit.register(shutil.rmtree, named, True)
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
 
