@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from functools import reduce
@@ -21,6 +23,7 @@ def settle(df: DataFrame, label: str = "step") -> DataFrame:
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         base = tempfile.mkdtemp(prefix="loomstone-")
+        atexit.register(shutil.rmtree, base, True)
         spark.sparkContext.setCheckpointDir(base)
     path = f"{base.rstrip('/')}/loomstone/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
