@@ -4,10 +4,10 @@ A page becomes a flat DOM (nodes in page order, each with its parent). What can'
 page headers and footers, sidebars, notices, adverts, forms, scripts, styles, comments by readers. Then each node gets
 its link-adjusted characters per tag,
 
-    density = C / T * log(C / max(LC, 1) * T / max(LT, 1)) / log(ln(C / max(C - LC, 1) * LC + LCb / Cb * C + e))
+    density = C / T * log(C / max(LC, 1) * T / max(LT, 1)) / (1 + log(log(C / max(C - LC, 1) * LC + LCb / Cb * C + e)))
 
-(C, T: characters and tags of the subtree, LC, LT: those in links, b: of the body), and the sum of its children's
-densities. The subtree with the largest sum is the content; the smallest density on its path up to the body is the
+(C, T: characters and tags of the subtree, LC, LT: those in links, b: of the body; the 1 keeps pages without links
+defined), and the sum of its children's densities. The subtree with the largest sum is the content; the smallest density on its path up to the body is the
 threshold at which neighbouring parts of its container count as content too. All text of the content is kept.
 
 Rules of the output: character references are decoded, each run of white space in a block is one space, blocks are
