@@ -122,11 +122,11 @@ def q_dominant(spark, d):
     return profile.dominant(load(spark, d, "documents"), ["source"], "lang", 0.5)
 
 
-@query("""WITH S AS (SELECT CASE source WHEN 'src0' THEN 'NLP_TOOL' WHEN 'src1' THEN 'ML_PIPELINE' WHEN 'src2' THEN 'CLI_TOOL' ELSE 'WEB_APPLICATION' END AS type, CASE WHEN lang = 'en' THEN 2 ELSE 1 END AS weight FROM documents WHERE source IN ('src0', 'src1', 'src2', 'src3')),
+@query("""WITH S AS (SELECT CASE source WHEN 'src0' THEN 'NLP_TOOL' WHEN 'src1' THEN 'ML_PIPELINE' WHEN 'src2' THEN 'CLI_TOOL' ELSE 'WEB_APPLICATION' END AS type, CASE WHEN lang = 'en' THEN 2 ELSE 1 END AS weight FROM documents),
 G AS (SELECT type, sum(weight)::BIGINT AS weight FROM S GROUP BY 1 HAVING sum(weight) >= 2) SELECT type, weight, rank() OVER (ORDER BY weight DESC, type) AS place FROM G""")
 def q_signals(spark, d):
     kinds = F.when(F.col("source") == "src0", "NLP_TOOL").when(F.col("source") == "src1", "ML_PIPELINE").when(F.col("source") == "src2", "CLI_TOOL").otherwise("WEB_APPLICATION")
-    docs = load(spark, d, "documents").where(F.col("source").isin("src0", "src1", "src2", "src3"))
+    docs = load(spark, d, "documents")
     g = docs.groupBy(kinds.alias("type")).agg(F.sum(F.when(F.col("lang") == "en", 2).otherwise(1)).alias("weight")).where("weight >= 2")
     return g.withColumn("place", F.rank().over(Window.orderBy(F.desc("weight"), "type")).cast("long"))  # a row per type
 

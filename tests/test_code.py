@@ -234,3 +234,27 @@ def test_cognition(spark):
     assert [(r["step"], r["layer"]) for r in cognition.layer_graph(model).orderBy("step").collect()] == [(1, "Linear"), (2, "ReLU")]
     row = spark.createDataFrame([("r", "BLOCKED", 60, 0)], "repo string, gate string, in_repo_misses int, unresolved int")
     assert [r["severity"] for r in cognition.recommendations(row).collect()] == ["HIGH", "MEDIUM"]
+
+
+def test_sampling_and_dependencies(spark):
+    imports = spark.createDataFrame([("z/main.py", "a"), ("a.py", "b"), ("b.py", "c"), ("c.py", "d")], "path string, root string")
+    taken = lambda n: sorted(r["path"] for r in cognition.sampled_imports(imports, ["main.py"], n).collect())
+    assert taken(2) == ["a.py", "z/main.py"] and taken(1) == ["z/main.py"] and len(taken(0)) == 4
+    declared, own = spark.createDataFrame([("Flask",), ("unused",)], "package string"), spark.createDataFrame([("app",)], "package string")
+    found = spark.createDataFrame([("flask",), ("app",), ("os",), ("numpy",)], "package string")
+    got = {r["package"]: (r["declared"], r["imported"]) for r in cognition.dependencies(declared, found, own, ["os"]).collect()}
+    assert got == {"flask": (True, True), "unused": (True, False), "numpy": (False, True)}
+
+
+def test_hops_carry_known_types(spark):
+    from loomstone.operators import graph
+
+    chains = spark.createDataFrame([(["b", "c"], "leaf")], "hops array<string>, ending string")
+    types = spark.createDataFrame([("c", "int")], "fid string, type string")
+    assert [(r["at"], r["callee_type"]) for r in graph.annotate_hops(chains, types).orderBy("at").collect()] == [(0, None), (1, "int")]
+
+
+def test_registry_dispatch_is_a_bounded_set(spark):
+    source = "HANDLERS = {}\ndef a(): HANDLERS.register(a)\ndef run(k):\n    HANDLERS.get(k)\n"
+    got = resolution.registry_dispatch(python_facts(spark.createDataFrame([("m.py", source)], "path string, source string"))).collect()
+    assert [(r["caller"], r["callees"], r["label"]) for r in got] == [("m.run", ["m.a"], "UNCERTAIN")]
