@@ -135,14 +135,12 @@ def without_source_root(rows: DataFrame, columns: list[str], root: str = "src.")
 
 
 def registry_dispatch(facts: DataFrame) -> DataFrame:
-    """(module, caller, callees): calls REG.get(k)() and what a registry of the module may hold; a bounded, uncertain set.
+    """(module, caller, callees, label): calls REG[k]() and REG.get(k)() with all that the module puts into the registry.
 
-    A registry is a module-level name in capitals; its entries are the names assigned or registered under it.
+    The set is bounded but which member is called stays open, so its label is UNCERTAIN and it gives no edges.
     """
-    calls = facts.where("kind = 'call' AND size(items) = 2 AND name = 'get'").select("module", F.col("id").alias("caller"), F.get("items", 0).alias("registry")).where(F.col("registry").rlike("^[A-Z][A-Z0-9_]*$"))
-    entries = facts.where("kind = 'call' AND size(items) = 2 AND name IN ('register', 'setdefault', 'update')").select("module", F.get("items", 0).alias("registry"), F.col("id").alias("entry"))
-    made = facts.where("kind = 'assign'").select("module", F.col("name").alias("registry"), F.col("target").alias("entry")).where("entry IS NOT NULL")
-    held = entries.union(made).groupBy("module", "registry").agg(F.array_sort(F.collect_set("entry")).alias("callees"))
+    calls = facts.where("kind = 'dispatch'").select("module", F.col("id").alias("caller"), F.col("name").alias("registry"))
+    held = facts.where("kind = 'entry'").groupBy("module", F.col("name").alias("registry")).agg(F.array_sort(F.collect_set("target")).alias("callees"))
     return calls.join(held, ["module", "registry"]).select("module", "caller", "callees", F.lit("UNCERTAIN").alias("label"))
 
 

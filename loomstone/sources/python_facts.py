@@ -1,6 +1,6 @@
 """Facts of Python sources: one parse per file, on the executors, as rows of one wide table.
 
-kind is one of function, class, import, call, assign, return, docstring, annotation, parse_error. A broken file gives a parse_error
+kind is one of function, class, import, call, assign, return, docstring, annotation, entry, dispatch, parse_error. A broken file gives a parse_error
 row, never a failed task. Facts hold no resolution; joins resolve them (loomstone.operators.calls).
 """
 
@@ -151,12 +151,24 @@ class Visitor(ast.NodeVisitor):
 
     def visit_Assign(self, node: ast.Assign) -> None:
         self.visit(node.value)
+        for target in node.targets:
+            if isinstance(node.value, ast.Dict):
+                self._entries(target, node.value.values)
+            if isinstance(target, ast.Subscript):
+                self._entries(target.value, [node.value])
         if len(node.targets) == 1 and isinstance(node.targets[0], (ast.Name, ast.Attribute)):
             path = dotted(node.targets[0])
             shape, name = value_shape(node.value)
             if path:
                 self.put("assign", node, name=".".join(path), target=name, items=[shape], id=self.owner())
 
+    def _entries(self, registry: ast.AST, values: list[ast.AST]) -> None:
+        """What a dispatch table holds: names put into a dictionary by a literal, a subscript or a registering call."""
+        if isinstance(registry, ast.Name):
+            for value in values:
+                if path := dotted(value):
+                    self.put("entry", value, id=self.owner(), name=registry.id, target=".".join(path))
+
     def visit_AnnAssign(self, node: ast.AnnAssign) -> None:
         path, kind = dotted(node.target), dotted(node.annotation)
         if path and kind:
@@ -169,7 +181,12 @@ class Visitor(ast.NodeVisitor):
         self.generic_visit(node)
 
     def visit_Call(self, node: ast.Call) -> None:
-        path = dotted(node.func)
+        path, made = dotted(node.func), node.func
+        if isinstance(made, ast.Attribute) and made.attr in ("register", "setdefault"):
+            self._entries(made.value, node.args)
+        taken = made.value if isinstance(made, ast.Subscript) else made.func.value if isinstance(made, ast.Call) and isinstance(made.func, ast.Attribute) and made.func.attr == "get" else None
+        if isinstance(taken, ast.Name):
+            self.put("dispatch", node, id=self.owner(), name=taken.id)
         if isinstance(node.func, ast.Attribute) and isinstance(node.func.value, ast.Call) and dotted(node.func.value.func) == ["super"]:
             path = ["super()", node.func.attr]
         name = node.func.attr if isinstance(node.func, ast.Attribute) else path[0] if path else None

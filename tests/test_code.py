@@ -255,6 +255,6 @@ def test_hops_carry_known_types(spark):
 
 
 def test_registry_dispatch_is_a_bounded_set(spark):
-    source = "HANDLERS = {}\ndef a(): HANDLERS.register(a)\ndef run(k):\n    HANDLERS.get(k)\n"
+    source = "def a(): pass\nHANDLERS = {'a': a, 'n': 1}\nHANDLERS['b'] = mod.b\nHANDLERS.register('c', c)\ndef run(k):\n    HANDLERS.get(k)()\n    HANDLERS[k](1)\n    OTHER[k]()\n"
     got = resolution.registry_dispatch(python_facts(spark.createDataFrame([("m.py", source)], "path string, source string"))).collect()
-    assert [(r["caller"], r["callees"], r["label"]) for r in got] == [("m.run", ["m.a"], "UNCERTAIN")]
+    assert [(r["caller"], r["callees"], r["label"]) for r in got] == [("m.run", ["a", "c", "mod.b"], "UNCERTAIN")] * 2
