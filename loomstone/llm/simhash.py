@@ -19,10 +19,11 @@ unless all its ids are null. Empty tables give empty results. Extra columns are
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomstone.llm.common import hot_join, whole_text, written
@@ -239,153 +240,223 @@ def near_components(docs: DataFrame, shingle: int = SHINGLE, max_distance: int =
 # --- similarity of 0.8 over five-word shingles
 #
 # At a Jaccard similarity of 0.8 two 64-bit fingerprints differ in about 10 bits and up to 16, where the ring's keys are
-# too short to find pairs by. So wide fingerprints (512 bits) estimate the similarity, and candidates share a key made
-# of two min-hash shingles, of which each document has BANDS: a pair at 0.8 has none in common once in 25,000.
+# too short to find pairs by, and no estimate from bits tells 0.8 from 0.79. So candidates come from an exact prefix
+# filter, and the shingle sets decide every one. Sets of n and m shingles at the similarity s share at least s * n and
+# s * m of them, so whatever order all shingles are in, one of the first n - ceil(s * n) + 1 of one set is among the
+# first m - ceil(s * m) + 1 of the other. The order puts frequent shingles last.
 
-WIDE_WORDS = 8
 WIDE_SHINGLE = 5
-BANDS, BAND_ROWS = 10, 2
 SIMILARITY = 0.8
-#: How far the estimate is off at most in practice: about three times its standard deviation.
-SURE, SLACK = 0.1, 0.1
-_MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+#: The frequent shingles are those with FREQUENT_LEAST uses or more in about SAMPLE documents, FREQUENT at most. They
+#: only set the order, so they change the cost and never the result.
+SAMPLE, FREQUENT, FREQUENT_LEAST = 20_000, 200_000, 4
+#: Rounds that try one document of each key against the key's others, before all pairs still apart are tried.
+ROUNDS = 2
+#: Bits of parity per document for all candidates, and for those that these leave: 16,384 still tell long texts apart.
+PARITY_BITS, MORE_BITS = 1024, 16_384
+_TINY = 1e-9
 
 
-def _stir(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * _MIX1
-    x = (x ^ (x >> np.uint64(27))) * _MIX2
-    return x ^ (x >> np.uint64(31))
+def parities(hashes: np.ndarray, bits: int = PARITY_BITS) -> bytes:
+    """For each of `bits` classes of hashes, whether it has an odd number: sets that differ in d hashes differ in at most d bits."""
+    counts = np.bincount((hashes % np.uint64(bits)).astype(np.int64), minlength=bits)
+    return np.packbits((counts & 1).astype(np.uint8)).tobytes()
 
 
-_SALTS = _stir(np.arange(1, 65, dtype=np.uint64) * _MIX1)
-
+def prefix_keys(hashes: np.ndarray, similarity: float, frequent: np.ndarray, uses: np.ndarray) -> np.ndarray:
+    """The first n - ceil(similarity * n) + 1 of the n distinct hashes: the least used first, by `frequent` (ascending) and `uses`."""
+    n = len(hashes)
+    if not n:
+        return hashes
+    used = np.zeros(n, np.int64)
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)
+        used = np.where(frequent[at] == hashes, uses[at], 0)
+    return hashes[np.lexsort((hashes, used))[: n - int(np.ceil(similarity * n - _TINY)) + 1]]
 
-def wide_fingerprint(hashes: np.ndarray) -> bytes:
-    """The 512-bit majority of the distinct shingle hashes."""
-    return b"".join(fingerprint(_stir(hashes ^ salt)).to_bytes(8, "little") for salt in _SALTS[:WIDE_WORDS])
 
+def similar_enough(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
+    """Whether the Jaccard similarity of two arrays of distinct hashes is at least `similarity`."""
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both >= similarity * (len(x) + len(y) - both) - _TINY
 
-def band_keys(hashes: np.ndarray) -> np.ndarray:
-    """One key per band: a hash of its min-hash shingles."""
-    least = np.array([_stir(hashes ^ salt).min() for salt in _SALTS[WIDE_WORDS : WIDE_WORDS + BANDS * BAND_ROWS]], dtype=np.uint64)
-    key = np.zeros(BANDS, np.uint64)
-    for row in least.reshape(BANDS, BAND_ROWS).T:
-        key = _stir(key * _MIX2 + row)
-    return key + np.arange(BANDS, dtype=np.uint64)
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 256) -> Iterator[None]:
+    """What is written within hands Python batches of at most `rows` rows."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
-def most_distance(similarity: float) -> int:
-    """Differing bits of wide fingerprints expected at a Jaccard similarity, by the angle of the indicator vectors."""
-    return int(np.floor(np.arccos(2 * similarity / (1 + similarity)) / np.pi * WIDE_WORDS * 64))
 
+def similar_links(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = WIDE_SHINGLE, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
+    """(a, b): pairs of document ids whose shingle sets have the Jaccard similarity asked for, enough to connect all
+    that such pairs connect. Null ids and empty texts have none.
 
-def wide_chain_passes(diff: np.ndarray, budget: int) -> np.ndarray:
-    """Pigeonring over the ring of WIDE_WORDS segments: some start keeps the proportional budget over all prefixes."""
-    parts = popcount(diff).astype(np.int64)
-    fine = np.zeros(len(parts), bool)
-    for start in range(WIDE_WORDS):
-        sums = np.cumsum(np.roll(parts, -start, axis=1), axis=1)
-        fine |= (sums * WIDE_WORDS <= budget * np.arange(1, WIDE_WORDS + 1)).all(axis=1)
-    return fine
+    Only pairs that passed by their shingle sets are links, and a pair is left untried only where such links already
+    connect it: first each key's documents meet one of them, ROUNDS times, then all pairs of a key that are still apart.
+    """
+    spark = docs.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("body")).where("doc_id IS NOT NULL")
 
+    def hashes_of(text: bytes) -> np.ndarray:
+        return np.unique(shingle_hashes(text.lower().split(), shingle))
 
-def similar_links(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = WIDE_SHINGLE, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
-    """(a, b): links among document ids that connect what is connected. Null ids and empty texts have none.
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.zeros(0, np.uint64), *map(hashes_of, batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], names=["key"])
 
-    Pairs whose estimate is at least SURE above the asked similarity link by it; down to SLACK below it, the exact
-    Jaccard similarity of the shingle sets decides.
-    """
-    sure, widest = most_distance(min(1.0, similarity + SURE)), most_distance(similarity - SLACK)
+    every = max(1, docs.count() // SAMPLE)
+    sampled = source.where(F.expr(f"pmod(xxhash64(doc_id), {every}) = 0")).mapInArrow(spread, "key long")
+    known = sampled.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT_LEAST).orderBy(F.desc("n"), "key").limit(FREQUENT).toArrow()
+    frequent, uses = known.column("key").to_numpy().view(np.uint64), known.column("n").to_numpy()
+    order = np.argsort(frequent)
+    frequent, uses = frequent[order], uses[order]
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, fps = [], []
+            sizes, keys, odd = [], [], []
             for text in batch.column(1).to_pylist():
-                hashes = np.unique(shingle_hashes(text.lower().split(), shingle))
-                keys.append(band_keys(hashes).view(np.int64) if len(hashes) else np.zeros(0, np.int64))
-                fps.append(wide_fingerprint(hashes) if len(hashes) else b"")
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.list_(pa.int64())), pa.array(fps, pa.binary())], names=["doc_id", "keys", "fp"])
+                hashes = hashes_of(text)
+                sizes.append(len(hashes))
+                keys.append(prefix_keys(hashes, similarity, frequent, uses).view(np.int64))
+                odd.append(parities(hashes))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(odd, pa.binary())], names=["doc_id", "size", "keys", "odd"])
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows, in order of their keys, whose key the row before or after has."""
+        last: pa.Table | None = None
+        for batch in filter(len, batches):
+            now = pa.Table.from_batches([batch])
+            now = now if last is None else pa.concat_tables([last, now])
+            key = now.column("key").to_numpy()
+            same = np.r_[False, key[1:] == key[:-1]]
+            # The last row waits for the next batch; of a key met before, the row before it comes along to show that.
+            keep = same | np.r_[same[1:], False]
+            if last is not None and last.num_rows == 2:
+                keep[0] = False
+            keep[-1] = False
+            yield from now.filter(pa.array(keep)).to_batches()
+            last = now.slice(now.num_rows - (2 if same[-1] else 1))
+        if last is not None and last.num_rows == 2:
+            yield from last.slice(1).to_batches()
+
+    # Whole texts and sets travel in small batches: a batch of the usual number of rows can fill an executor.
+    with small_batches(spark):
+        signed = written(source.mapInArrow(sign, "doc_id long, size int, keys array<long>, odd binary"), "prefixes")
+    keyed = signed.select(F.explode("keys").alias("key"), "doc_id", "size")
+    members = written(keyed.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(shared, "key long, doc_id long, size int"), "prefix-members")
+    odds = signed.select("doc_id", "size", "odd")
+
+    def in_reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size_a, odd_a, size_b, odd_b = (batch.column(c) for c in ("size_a", "odd_a", "size_b", "odd_b"))
+            if not batch.num_rows:
+                continue
+            x, y = (np.frombuffer(b"".join(c.to_pylist()), "<u8").reshape(batch.num_rows, -1) for c in (odd_a, odd_b))
+            # With the union u and the common part c >= s * u: n + m = u + c, and the sets differ in n + m - 2c hashes.
+            most = (size_a.to_numpy().astype(float) + size_b.to_numpy()) * (1 - similarity) / (1 + similarity)
+            fine = popcount(x ^ y).sum(axis=1, dtype=np.int64) <= most + _TINY * 1000
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(fine))
 
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("body")).where("doc_id IS NOT NULL")
-    signed = written(source.mapInArrow(sign, "doc_id long, keys array<long>, fp binary"), "wide-fingerprints")
-    keyed = signed.select("doc_id", F.explode("keys").alias("key"), "fp")
-    sizes = written(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "wide-sizes")
-    members = keyed.join(sizes.hint("merge"), "key").withColumn("blocks", F.ceil(F.col("n") / block))
-    members = members.withColumn("own", F.expr("pmod(xxhash64(doc_id), blocks)"))
-    members = members.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = members.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") > F.col("other")).cast("int").alias("side"), "doc_id", "fp")
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [hashes_of(t) for t in batch.column(1).to_pylist()]
+            cols = [pa.array([len(x) for x in sets], pa.int32()), pa.array([parities(x, MORE_BITS) for x in sets], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["doc_id", "size", "odd", "shingles"])
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
+            same = [similar_enough(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), similarity) for x, y in pairs]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(same, pa.bool_()))
+
+    def may_pass(pairs: DataFrame, odds: DataFrame) -> DataFrame:
+        both = pairs.join(odds.toDF("a", "size_a", "odd_a"), "a").join(odds.toDF("b", "size_b", "odd_b"), "b")
+        return written(both.select("a", "b", "size_a", "odd_a", "size_b", "odd_b").mapInArrow(in_reach, "a long, b long").distinct(), "similar-candidates")
+
+    def passed(pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) whose sets pass. A pair whose parities differ in too many bits can't, so it needs no sets."""
+        pairs = may_pass(pairs.distinct(), odds)
+        ids = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "similar-ids")
+        with small_batches(spark):
+            sets = written(source.join(ids, "doc_id").select("doc_id", "body").mapInArrow(gather, "doc_id long, size int, odd binary, shingles binary"), "similar-shingles")
+            pairs = may_pass(pairs, sets.select("doc_id", "size", "odd"))
+            sets = sets.select("doc_id", "shingles")
+            judged = pairs.join(sets.toDF("a", "of_a"), "a").join(sets.toDF("b", "of_b"), "b").select("a", "b", "of_a", "of_b")
+            return written(judged.mapInArrow(judge, "a long, b long").distinct(), "similar-links")
+
+    def apart(links: DataFrame | None) -> DataFrame:
+        """The members of keys whose documents `links` leave in several parts, with their part."""
+        parted = members.withColumn("part", F.col("doc_id"))
+        if links is not None:
+            parted = members.join(components(links), F.col("doc_id") == F.col("node"), "left").select("doc_id", "size", "key", F.coalesce("root", "doc_id").alias("part"))
+        parted = written(parted, "similar-parts")
+        several = parted.groupBy("key").agg(F.count("*").alias("n"), F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high")
+        return written(parted.join(several.select("key", "n").hint("merge"), "key"), "similar-apart")
+
+    near = (F.least("size", "size_1") >= F.greatest("size", "size_1") * similarity - _TINY) & (F.col("part") != F.col("part_1"))
+    links = None
+    for no in range(ROUNDS):
+        left = apart(links)
+        first = F.min(F.struct(F.xxhash64("doc_id", F.lit(no)).alias("rank"), "doc_id", "size", "part"))
+        firsts = written(left.groupBy("key").agg(first.alias("one"), F.count("*").alias("n")), "similar-firsts")
+        firsts = firsts.select("key", "n", F.col("one.doc_id").alias("id_1"), F.col("one.size").alias("size_1"), F.col("one.part").alias("part_1"))
+        met = hot_join(left.drop("n"), firsts, "key", "n", left.count()).where(near)
+        found = passed(met.select(F.least("doc_id", "id_1").alias("a"), F.greatest("doc_id", "id_1").alias("b")))
+        links = found if links is None else links.unionByName(found)
+
+    # Each member goes to its own block and to each pair of blocks with its own: sides 0 and 1 by the smaller number.
+    left = apart(links).withColumn("blocks", F.ceil(F.col("n") / block)).withColumn("own", F.expr("pmod(xxhash64(doc_id), blocks)"))
+    left = left.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     by = ["key", "lo", "hi"]
+    dealt = left.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") > F.col("other")).cast("int").alias("side"), "doc_id", "size", "part")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def groups():
             now, rows = None, []
             for batch in batches:
-                for key, lo, hi, side, doc, fp in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for key, lo, hi, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     if (key, lo, hi) != now:
                         yield rows
                         now, rows = (key, lo, hi), []
-                    rows.append((side, doc, fp))
+                    rows.append(row)
             yield rows
 
-        out: list[tuple[int, int, bool]] = []
+        out: set[tuple[int, int]] = set()
         for rows in groups():
-            if len(rows) > 1:
-                out += _similar_in(rows, sure, widest)
-            if len(out) > 10_000:
-                yield _pairs(out)
-                out = []
+            for pairs in pairs_apart(rows, similarity):
+                out.update(pairs)
+                if len(out) > 100_000:
+                    yield _pairs(out)
+                    out = set()
         yield _pairs(out)
 
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = dealt.repartition(parts, *by).sortWithinPartitions(*by, "doc_id").mapInArrow(compare, "a long, b long, sure boolean")
-    found = written(found.distinct(), "wide-links")
-
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [np.unique(shingle_hashes(t.lower().split(), shingle)).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["doc_id", "shingles"])
-
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            same = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                same.append(both >= similarity * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(same, pa.bool_()))
+    rest = dealt.repartition(parts, *by).sortWithinPartitions(*by, "doc_id").mapInArrow(compare, "a long, b long")
+    return links.unionByName(passed(rest))
 
-    open_ = found.where("NOT sure").select("a", "b")
-    ids = written(open_.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "wide-open-ids")
-    sets = written(source.join(ids, "doc_id").select("doc_id", "body").mapInArrow(gather, "doc_id long, shingles binary"), "wide-shingles")
-    pairs = open_.join(sets.toDF("a", "of_a"), "a").join(sets.toDF("b", "of_b"), "b").select("a", "b", "of_a", "of_b")
-    return found.where("sure").select("a", "b").unionByName(pairs.mapInArrow(judge, "a long, b long"))
 
+def _pairs(out: set[tuple[int, int]]) -> pa.RecordBatch:
+    ab = np.array(sorted(out), np.int64).reshape(-1, 2)
+    return pa.RecordBatch.from_arrays([pa.array(ab[:, 0]), pa.array(ab[:, 1])], names=["a", "b"])
 
-def _pairs(out: list[tuple[int, int, bool]]) -> pa.RecordBatch:
-    cols = list(zip(*out, strict=True)) if out else [[]] * 3
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.bool_()), strict=True)], names=["a", "b", "sure"])
 
-
-def _similar_in(rows: list[tuple[int, int, bytes]], sure: int, widest: int) -> list[tuple[int, int, bool]]:
-    """A spanning forest of the links within one block or between two, nearest pairs first."""
-    fps = np.frombuffer(b"".join(r[2] for r in rows), "<u8").reshape(len(rows), WIDE_WORDS)
-    side = np.array([r[0] for r in rows])
+def pairs_apart(rows: list[tuple[int, int, int, int]], similarity: float) -> Iterator[list[tuple[int, int]]]:
+    """All pairs of (side, doc_id, size, part) of other parts and of sizes that allow the similarity, row by row."""
+    if len(rows) < 2:
+        return
+    side, doc, size, part = np.array(rows, np.int64).T
     a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-    found = []
     for n, i in enumerate(a):
         others = b if len(b) else a[n + 1 :]
-        if not len(others):
-            continue
-        diff = fps[others] ^ fps[i]
-        near = np.flatnonzero(wide_chain_passes(diff, widest))
-        far = popcount(diff[near]).sum(axis=1, dtype=np.int64)
-        found += [(int(d), int(i), int(j)) for d, j in zip(far, others[near], strict=True) if d <= widest]
-    forest, out = Forest(), []
-    for d, i, j in sorted(found):
-        x, y = rows[i][1], rows[j][1]
-        if x != y and forest.join(x, y):
-            out.append((min(x, y), max(x, y), d <= sure))
-    return out
+        fine = (part[others] != part[i]) & (np.minimum(size[others], size[i]) >= np.maximum(size[others], size[i]) * similarity - _TINY)
+        yield [(min(int(doc[i]), int(doc[j])), max(int(doc[i]), int(doc[j]))) for j in others[fine]]
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = WIDE_SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

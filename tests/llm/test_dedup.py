@@ -1,6 +1,7 @@
 """Exact, near and substring dedup against brute force."""
 
 import hashlib
+import itertools
 import random
 import re
 
@@ -185,3 +186,28 @@ def test_window_symbols_depend_on_the_window_alone():
             at = np.array([len(a)])
             seen.add(int(substring_dedup.window_symbols(h, at, np.array([7], np.uint64))[0]))
         assert len(seen) == 1
+
+
+def _kept_by_force(rows, similarity=0.8):
+    """The ids that are left when of texts connected by the exact Jaccard similarity the smallest id stays."""
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, w in ((i, t.split()) for i, t in rows)}
+    root = {i: i for i in sets}
+    for a, b in itertools.combinations(sorted(sets), 2):
+        if len(sets[a] & sets[b]) * 10 >= similarity * 10 * len(sets[a] | sets[b]):
+            x, y = root[a], root[b]
+            root = {i: min(x, y) if r in (x, y) else r for i, r in root.items()}
+    return {i for i, r in root.items() if i == r}
+
+
+def test_a_failed_pair_hides_no_similar_one(spark, docs):
+    """Groups of copies near the threshold: all that passing pairs connect is one component."""
+    rng, rows = random.Random(5), []
+    for group in range(60):
+        base = [f"g{group}w{i}" for i in range(104)]
+        for _ in range(8):
+            words = base.copy()
+            for at in rng.sample(range(0, 100, 5), 1 + rng.randrange(2)):
+                words[at] = f"x{rng.randrange(10**9)}"
+            rows.append((len(rows), " ".join(words)))
+    got = {r["doc_id"] for r in simhash.keep_one(docs(*rows)).select("doc_id").collect()}
+    assert got == _kept_by_force(rows)
