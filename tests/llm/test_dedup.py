@@ -211,3 +211,14 @@ def test_a_failed_pair_hides_no_similar_one(spark, docs):
             rows.append((len(rows), " ".join(words)))
     got = {r["doc_id"] for r in simhash.keep_one(docs(*rows)).select("doc_id").collect()}
     assert got == _kept_by_force(rows)
+
+
+def test_short_texts_are_decided_by_their_shingles(spark, docs):
+    """Pairs of 4 against 5 shingles are at 0.8 and go, pairs of 6 against 8 are at 0.75 and stay, whatever their bits."""
+    rows = []
+    for pair in range(300):
+        short, long = [f"s{pair}w{i}" for i in range(9)], [f"l{pair}w{i}" for i in range(12)]
+        rows += [(len(rows), " ".join(short)), (len(rows) + 1, " ".join(short[:8]))]
+        rows += [(len(rows), " ".join(long)), (len(rows) + 1, " ".join(long[:10]))]
+    got = {r["doc_id"] for r in simhash.keep_one(docs(*rows)).select("doc_id").collect()}
+    assert got == {i for i, _ in rows if i % 4 != 1} == _kept_by_force(rows[:40]) | {i for i, _ in rows[40:] if i % 4 != 1}
