@@ -12,8 +12,9 @@ no task gets a large group, and a task passes on a spanning forest of the links
 Components come from rounds of hooking each root to its smallest neighbour and halving paths, each round a written table.
 
 Defined cases: null text counts as empty; a text with no words has fingerprint zero, which links like any other; fewer
-words than a shingle form one shingle. Equal fingerprints are compared once. Null ids never become a component's id
-unless all its ids are null. Empty tables give empty results. Extra columns are ignored, or kept by `keep_one`.
+words than a shingle form one shingle. Equal fingerprints are compared once, so rows that repeat an id or a text link
+like any others. Null ids never become a component's id unless all its ids are null. Empty tables give empty results.
+Extra columns are ignored, or kept by `keep_one`, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstone.llm.common import hot_join, whole_text, written
+from loomstone.llm.common import hot_join, removed, whole_text, with_row_key, written
 
 SHINGLE = 3
 DISTANCE = 3
@@ -142,9 +143,10 @@ def links(fps: DataFrame, max_distance: int = DISTANCE, block: int = BLOCK) -> D
     """(a, b): links among distinct fingerprints, enough to connect all that are connected."""
     if max_distance > DISTANCE:
         raise ValueError(f"the ring keys hold for a distance of at most {DISTANCE}")
-    keyed = ring_keys(fps)
-    sizes = written(keyed.groupBy("slot", "key").agg(F.count("*").alias("n")).where("n > 1"), "ring-sizes")
-    members = keyed.join(sizes.hint("merge"), ["slot", "key"])
+    keyed, by_key = ring_keys(fps), ["slot", "key"]
+    sizes = written(keyed.groupBy(*by_key).agg(F.count("*").alias("n")).where("n > 1"), "ring-sizes")
+    # A hot key's members meet its size by broadcast, so they become blocks where they are.
+    members = hot_join(keyed, sizes, by_key, "n", fps.count() * 2 * SEGMENTS)
     blocks = F.ceil(F.col("n") / block)
     members = members.withColumn("blocks", blocks).withColumn("own", F.expr("pmod(xxhash64(fp), blocks)"))
     # Each member goes to its own block and to each pair of blocks with its own: sides 0 and 1 by the smaller number.
@@ -196,7 +198,9 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root): the nodes of `edges` (a, b) with the smallest node that each reaches.
 
     Each round hooks every root to its smallest neighbouring root if that is smaller, halves the paths until all nodes
-    point to roots, and contracts the edges; rounds end when no edge is left. All tables are written, none is collected.
+    point to roots, and contracts the edges; rounds end when no edge is left. All tables are written, none is collected;
+    those of a round are removed once the next has read them. A root that most nodes have is a hot key of these joins:
+    adaptive execution splits its partition, as each join ends in a write or in a partial aggregation.
     """
     spark = edges.sparkSession
     both = edges.where("a <> b").select("a", "b").union(edges.where("a <> b").select("b", "a")).toDF("u", "v").distinct()
@@ -204,22 +208,23 @@ def components(edges: DataFrame) -> DataFrame:
     label = None
     while not left.isEmpty():
         hook = written(left.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("up")), "cc-hooks")
-        while True:  # paths halve: node -> up -> up
-            above = hook.select(F.col("node").alias("n2"), F.col("up").alias("up2"))
-            hook = written(hook.join(above, F.col("up") == F.col("n2")).select("node", F.col("up2").alias("next"), "up"), "cc-halved")
-            moved = hook.where(F.col("next") != F.col("up")).isEmpty()
-            hook = hook.select("node", F.col("next").alias("up"))
-            if moved:
-                break
+        still = False
+        while not still:  # paths halve: node -> up -> up
+            above = hook.select(F.col("node").alias("n2"), F.col("up").alias("next"))
+            halved = written(hook.join(above, F.col("up") == F.col("n2")).select("node", F.col("next").alias("up"), (F.col("next") != F.col("up")).alias("moved")), "cc-halved")
+            removed(hook)
+            still, hook = halved.where("moved").isEmpty(), halved
+        tops = hook.select(F.col("node").alias("n2"), "up")
         if label is None:
-            label = hook.select("node", F.col("up").alias("root"))
+            before, label = None, written(hook.select("node", F.col("up").alias("root")), "cc-labels")
         else:
-            tops = hook.select(F.col("node").alias("n2"), "up")
-            label = written(label.join(tops, F.col("root") == F.col("n2"), "left").select("node", F.coalesce("up", "root").alias("root")), "cc-labels")
-        tops = hook.select(F.col("node").alias("n2"), "up")
-        left = left.join(tops, F.col("u") == F.col("n2")).select(F.col("up").alias("u"), "v")
-        left = left.join(tops, F.col("v") == F.col("n2")).select("u", F.col("up").alias("v"))
-        left = written(left.where("u <> v").distinct(), "cc-edges")
+            before, label = label, written(label.join(tops, F.col("root") == F.col("n2"), "left").select("node", F.coalesce("up", "root").alias("root")), "cc-labels")
+        moved = left.join(tops, F.col("u") == F.col("n2")).select(F.col("up").alias("u"), "v")
+        moved = moved.join(tops, F.col("v") == F.col("n2")).select("u", F.col("up").alias("v"))
+        moved = written(moved.where("u <> v").distinct(), "cc-edges")
+        removed(left, hook, before)
+        left = moved
+    removed(left)
     return label if label is not None else spark.createDataFrame([], "node long, root long")
 
 
@@ -460,7 +465,17 @@ def pairs_apart(rows: list[tuple[int, int, int, int]], similarity: float) -> Ite
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = WIDE_SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs`, all columns, without those whose component has a smaller id."""
-    roots = components(similar_links(docs, similarity, shingle, id_col, text_col))
-    gone = written(roots.where("node <> root").select(F.col("node").alias("__gone")), "near-copies")
-    return docs.join(gone, docs[id_col].cast("long") == gone["__gone"], "left_anti")
+    """The rows of `docs`, all columns, without those whose component has a row of a smaller id.
+
+    Rows are told apart by keys of their own, so repeated and null ids are rows like others: a null id is larger than
+    any other, and of rows that tie in id one stays.
+    """
+    keyed, row = with_row_key(docs, "near-rows")
+    links = similar_links(keyed, similarity, shingle, row, text_col)
+    roots = components(links)
+    members = written(roots.join(keyed.select(F.col(row).alias("node"), F.col(id_col).cast("long").alias("doc_id")), "node"), "near-members")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "node"))
+    stay = members.groupBy("root").agg(first.alias("first")).select(F.col("first.node").alias("node"))
+    gone = written(members.select("node").join(stay, "node", "left_anti").withColumnRenamed("node", row), "near-copies")
+    removed(roots, members)
+    return keyed.join(gone, row, "left_anti").drop(row)

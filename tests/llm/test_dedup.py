@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from xxhash import xxh64_intdigest
 
+import corpus_pipeline
 from loomstone.llm import exact_dedup, simhash, substring_dedup
 
 WS = re.compile(r"[\x20\x09-\x0D]+")
@@ -23,7 +24,7 @@ def test_exact_dedup_edge_cases(spark, docs):
     index = exact_dedup.DigestIndex(spark, "t_edge")
     index.drop()
     got = {(r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.exact_dedup(docs(*EDGE), index).collect()}
-    assert got == {(1, 1, 2, True), (2, 1, 2, False), (3, 3, 1, True), (4, 4, 4, True), (5, 4, 4, False), (None, 4, 4, False), (9, 9, 1, True), (10, 10, 1, True)}
+    assert got == {(1, 1, 2, True), (2, 1, 2, False), (3, 3, 1, True), (4, 4, 4, True), (4, 4, 4, False), (5, 4, 4, False), (None, 4, 4, False), (9, 9, 1, True), (10, 10, 1, True)}
     assert index.read().count() == 5
 
 
@@ -35,10 +36,30 @@ def test_exact_dedup_second_batch_meets_the_index(spark, docs):
     assert got == [(1, 5, False), (7, 7, True), (8, 7, False)]
     again = exact_dedup.exact_dedup(docs((7, "three")), index)
     assert rows_of(again, "keep_id", "kept") == [(7, False)]
-    assert index.read().groupBy("text_sha256").count().where("count > 1").count() == 0
+    assert index.read().groupBy("digest").count().where("count > 1").count() == 0
     assert exact_dedup.exact_dedup(docs().limit(0), index).count() == 0
 
 
+def test_exact_dedup_in_ranges_of_ids(spark, docs):
+    """What the later ranges bring is anti-joined to what the earlier ones left in the index."""
+    rnd = random.Random(6)
+    rows = [(rnd.choice([None, *range(40)]), rnd.choice("abcdefgh") + rnd.choice(" \t") + rnd.choice("xy")) for _ in range(200)]
+    index = exact_dedup.DigestIndex(spark, "t_ranges", buckets=4)
+    index.drop()
+    got = exact_dedup.exact_dedup(docs(*rows), index, batches=3).collect()
+    first = {}
+    for i, t in rows:
+        key = " ".join(t.split())
+        first[key] = min(first.get(key, 99), 99 if i is None else i)
+    assert len(got) == len(rows) and sum(r["kept"] for r in got) == len(first) == index.read().count()
+    assert {(r["text_sha256"], r["keep_id"]) for r in got} == {(hashlib.sha256(k.encode()).hexdigest(), i) for k, i in first.items()}
+    assert all(r["doc_id"] == r["keep_id"] for r in got if r["kept"])
+
+
+def test_buckets_grow_with_the_index():
+    assert [exact_dedup.buckets_for(n) for n in (0, 1, 10**6, 64 * 10**6, 65 * 10**6, 10**11)] == [16, 16, 16, 32, 32, 65536]
+
+
 def test_exact_dedup_index_outlives_the_catalog(spark, docs, tmp_path):
     path = f"file://{tmp_path}/index"
     first = exact_dedup.DigestIndex(spark, "t_first", buckets=4, path=path)
@@ -132,10 +153,39 @@ def test_keep_one_keeps_the_smallest_of_similar_texts(spark, docs):
     for i in range(0, 400, 10):
         far[i] = f"other{i}"  # half of the shingles
     got = simhash.keep_one(docs((5, " ".join(near)), (2, " ".join(text)), (3, " ".join(far)), (7, ""), (8, None), (None, "a b c"), (9, "a b c")))
-    assert sorted((r["doc_id"] for r in got.collect()), key=str) == [2, 3, 7, 8, 9, None]
+    assert sorted((r["doc_id"] for r in got.collect()), key=str) == [2, 3, 7, 8, 9]
     assert got.columns[:5] == ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def test_stages_keep_one_row_of_each_text_whatever_the_ids(spark, docs):
+    rows = [(0, "A a"), (1, "A a"), (1, "B b"), (None, "A a"), (5, "same"), (5, "same"), (None, None), (3, ""), (None, "only null ids"), (None, "only null ids")]
+    want = [("", 3), ("A a", 0), ("B b", 1), ("only null ids", None), ("same", 5)]
+    got = corpus_pipeline.once_each(spark, docs(*rows), "")
+    assert sorted((r["text"] or "", r["doc_id"]) for r in got.collect()) == want and got.columns == docs(*rows).columns
+    near = simhash.keep_one(docs(*rows))
+    assert sorted(((r["text"] or "", r["doc_id"]) for r in near.collect()), key=str) == sorted([*want, ("", None)], key=str)
+    words = [f"w{i}" for i in range(100)]
+    changed = [*words[:50], "else", *words[51:]]
+    got = simhash.keep_one(docs((1, " ".join(words)), (1, " ".join(changed)), (1, "quite another text"), (None, " ".join(words)))).collect()
+    assert sorted(r["text"][:5] for r in got) == ["quite", "w0 w1"] and {r["doc_id"] for r in got} == {1}
+    for stage in (corpus_pipeline.once_each, corpus_pipeline.one_of_near_copies):
+        assert stage(spark, docs().limit(0), "").count() == 0
+
+
+def test_a_key_with_a_third_of_the_rows(spark, docs):
+    """One group of near copies and one of exact copies, each a third of all rows."""
+    rng, rows = random.Random(2), []
+    base = [f"b{i}" for i in range(60)]
+    for i in range(900):
+        words = base.copy()
+        words[rng.randrange(60)] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(base if i % 3 else words) if i % 3 < 2 else f"text of its own {i}"))
+    got = {r["doc_id"] for r in simhash.keep_one(docs(*rows)).select("doc_id").collect()}
+    assert got == {0, *range(2, 900, 3)}
+    parts = {r["component_id"] for r in simhash.near_components(docs(*rows)).collect()}
+    assert len(parts) > 290
+
+
 def brute_substrings(rows, window):
     words = [(i, (t or "").encode().split()) for i, t in rows]
     first = {}
