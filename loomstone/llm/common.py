@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,9 +58,25 @@ def written(df: DataFrame, label: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_at = path
+    if _made:
+        _made[-1].append(out)
     return out
 
 
+#: The tables written in each open scratch().
+_made: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Removes the tables that are written within, but for the last one, when all is done."""
+    _made.append([])
+    try:
+        yield
+    finally:
+        removed(*_made.pop()[:-1])
+
+
 def removed(*tables: DataFrame | None) -> None:
     """Removes written tables that nothing reads any more."""
     for table in tables:

@@ -24,7 +24,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomstone.llm.common import hot_join, removed, whole_text, with_row_key, written
@@ -245,50 +245,35 @@ def near_components(docs: DataFrame, shingle: int = SHINGLE, max_distance: int =
 # --- similarity of 0.8 over five-word shingles
 #
 # At a Jaccard similarity of 0.8 two 64-bit fingerprints differ in about 10 bits and up to 16, where the ring's keys are
-# too short to find pairs by, and no estimate from bits tells 0.8 from 0.79. So candidates come from an exact prefix
-# filter, and the shingle sets decide every one. Sets of n and m shingles at the similarity s share at least s * n and
-# s * m of them, so whatever order all shingles are in, one of the first n - ceil(s * n) + 1 of one set is among the
-# first m - ceil(s * m) + 1 of the other. The order puts frequent shingles last.
+# too short to find pairs by, and no estimate from bits tells 0.8 from 0.79. So the shingle sets decide every link, and
+# what comes before only leaves out pairs that can't reach the similarity s:
+#
+# 1. A set of n shingles has s * n of them in common with any partner, so a text stays only if that many of its shingles
+#    are in some other text too. One shuffle of shortened hashes counts them; few texts are left.
+# 2. Prefix filter among these: in whatever order all shingles are, the first n - ceil(s * n) + 1 of one set and of its
+#    partner's have one in common. The order is by the number of texts that have the shingle, the rarest first.
+# 3. Texts that such a shingle connects, directly or through others, are a family. Within a family's blocks, and between
+#    pairs of its blocks, all sets are compared, and a task passes on a spanning forest of the links that it finds. A
+#    family of over FAMILY texts is compared shingle by shingle instead: texts that share one, in blocks again.
 
 WIDE_SHINGLE = 5
 SIMILARITY = 0.8
-#: The frequent shingles are those with FREQUENT_LEAST uses or more in about SAMPLE documents, FREQUENT at most. They
-#: only set the order, so they change the cost and never the result.
-SAMPLE, FREQUENT, FREQUENT_LEAST = 20_000, 200_000, 4
-#: Rounds that try one document of each key against the key's others, before all pairs still apart are tried.
-ROUNDS = 2
-#: Bits of parity per document for all candidates, and for those that these leave: 16,384 still tell long texts apart.
-PARITY_BITS, MORE_BITS = 1024, 16_384
+#: Shingles of one bucket of the first count, and the bytes that each is shortened to there beyond the bucket's own bits.
+#: Equal short hashes of different shingles only leave a text in that could have gone.
+BUCKET_SHINGLES, SHORT = 4_000_000, 5
+#: Texts and shingles of one block, and the texts of a family that is compared as a whole.
+BLOCK_SHINGLES, FAMILY = 1_000_000, 16_384
 _TINY = 1e-9
 
 
-def parities(hashes: np.ndarray, bits: int = PARITY_BITS) -> bytes:
-    """For each of `bits` classes of hashes, whether it has an odd number: sets that differ in d hashes differ in at most d bits."""
-    counts = np.bincount((hashes % np.uint64(bits)).astype(np.int64), minlength=bits)
-    return np.packbits((counts & 1).astype(np.uint8)).tobytes()
-
-
-def prefix_keys(hashes: np.ndarray, similarity: float, frequent: np.ndarray, uses: np.ndarray) -> np.ndarray:
-    """The first n - ceil(similarity * n) + 1 of the n distinct hashes: the least used first, by `frequent` (ascending) and `uses`."""
-    n = len(hashes)
-    if not n:
-        return hashes
-    used = np.zeros(n, np.int64)
-    if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)
-        used = np.where(frequent[at] == hashes, uses[at], 0)
-    return hashes[np.lexsort((hashes, used))[: n - int(np.ceil(similarity * n - _TINY)) + 1]]
-
-
-def similar_enough(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
-    """Whether the Jaccard similarity of two arrays of distinct hashes is at least `similarity`."""
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return both >= similarity * (len(x) + len(y) - both) - _TINY
+def least_common(n: Column, similarity: float) -> Column:
+    """How many shingles a set of n has in common with any set of that similarity, at least."""
+    return F.ceil(n * similarity - _TINY)
 
 
 @contextmanager
-def small_batches(spark: SparkSession, rows: int = 256) -> Iterator[None]:
-    """What is written within hands Python batches of at most `rows` rows."""
+def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """What is written within hands Python batches of at most `rows` rows: whole texts and sets are large."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(name)
     spark.conf.set(name, rows)
@@ -298,170 +283,177 @@ def small_batches(spark: SparkSession, rows: int = 256) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
-def similar_links(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = WIDE_SHINGLE, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
-    """(a, b): pairs of document ids whose shingle sets have the Jaccard similarity asked for, enough to connect all
-    that such pairs connect. Null ids and empty texts have none.
+def shared_counts(source: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, n, m): the distinct shingles of each text of `source` (doc_id, body), and how many of them others have.
 
-    Only pairs that passed by their shingle sets are links, and a pair is left untried only where such links already
-    connect it: first each key's documents meet one of them, ROUNDS times, then all pairs of a key that are still apart.
+    m may be too large by shingles whose short hashes are equal, never too small.
     """
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("body")).where("doc_id IS NOT NULL")
+    size = source.agg(F.sum(F.octet_length("body"))).first()[0] or 0
+    bits = max(4, int(size // 6 // BUCKET_SHINGLES).bit_length())
+    buckets, short = 1 << bits, np.uint64(64 - bits - 8 * SHORT)
 
-    def hashes_of(text: bytes) -> np.ndarray:
-        return np.unique(shingle_hashes(text.lower().split(), shingle))
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Per bucket the hashes that this batch has, and the text (number in the batch) of each that only one text has."""
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t.lower().split(), shingle)) for t in batch.column(1).to_pylist()]
+            sizes = np.array([len(x) for x in sets], np.int64)
+            hashes, text = np.concatenate([np.zeros(0, np.uint64), *sets]), np.repeat(np.arange(len(sets)), sizes)
+            order = np.argsort(hashes, kind="stable")
+            hashes, text = hashes[order] >> short, text[order]
+            first = np.r_[True, hashes[1:] != hashes[:-1]] if len(hashes) else np.zeros(0, bool)
+            alone = first & np.r_[first[1:], True] if len(hashes) else first
+            here = np.bincount(text[~alone], minlength=len(sets))
+            ids = np.array(batch.column(0).to_pylist(), np.int64)
+            hashes, text, alone = hashes[first], text[first], alone[first]
+            cuts = np.searchsorted(hashes, np.arange(buckets + 1, dtype=np.uint64) << np.uint64(8 * SHORT))
+            rows: list[tuple] = [(int(hashes[0] >> np.uint64(8 * SHORT)) if len(hashes) else 0, ids.tobytes(), np.stack([sizes, here], 1).tobytes(), b"", b"")]
+            for b in np.flatnonzero(np.diff(cuts)).tolist():
+                part = slice(cuts[b], cuts[b + 1])
+                of = np.where(alone[part], text[part], -1).astype(np.int32)
+                known, of = np.unique(of, return_inverse=True)
+                packed = hashes[part].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :SHORT].tobytes()
+                rows.append((b, np.where(known < 0, -1, ids[known]).tobytes(), b"", packed, of.astype(np.uint16).tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), [pa.int32(), *[pa.binary()] * 4], strict=True)], names=names)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def shared() -> Iterator[pa.RecordBatch]:
+            ids, n, m = [], [], []
+            parts = [h for h in held if h[2]]
+            for own, counts, _, _ in (h for h in held if h[1]):
+                table = np.frombuffer(counts, np.int64).reshape(-1, 2)
+                ids.append(np.frombuffer(own, np.int64))
+                n.append(table[:, 0])
+                m.append(table[:, 1])
+            if parts:
+                sizes = [len(h[2]) // SHORT for h in parts]
+                wide = np.zeros((sum(sizes), 8), np.uint8)
+                wide[:, :SHORT] = np.frombuffer(b"".join(h[2] for h in parts), np.uint8).reshape(-1, SHORT)
+                hashes = wide.view("<u8").ravel()
+                order = np.argsort(hashes, kind="stable")
+                new = np.r_[True, hashes[order][1:] != hashes[order][:-1]]
+                twice = np.empty(len(hashes), bool)
+                twice[order] = ~(new & np.r_[new[1:], True])
+                at = 0
+                for (own, _, _, of), size in zip(parts, sizes, strict=True):
+                    found = np.bincount(np.frombuffer(of, np.uint16)[twice[at : at + size]], minlength=len(own) // 8)
+                    at += size
+                    own = np.frombuffer(own, np.int64)
+                    some = (own >= 0) & (found > 0)
+                    ids.append(own[some])
+                    n.append(np.zeros(some.sum(), np.int64))
+                    m.append(found[some])
+            if ids:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in (ids, n, m)], names=["doc_id", "n", "m"])
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [np.zeros(0, np.uint64), *map(hashes_of, batch.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], names=["key"])
+            for bucket, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if bucket != now:
+                    yield from shared()
+                    now, held = bucket, []
+                held.append(row)
+        yield from shared()
 
-    every = max(1, docs.count() // SAMPLE)
-    sampled = source.where(F.expr(f"pmod(xxhash64(doc_id), {every}) = 0")).mapInArrow(spread, "key long")
-    known = sampled.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT_LEAST).orderBy(F.desc("n"), "key").limit(FREQUENT).toArrow()
-    frequent, uses = known.column("key").to_numpy().view(np.uint64), known.column("n").to_numpy()
-    order = np.argsort(frequent)
-    frequent, uses = frequent[order], uses[order]
+    names = ["bucket", "ids", "counts", "hashes", "texts"]
+    sent = source.mapInArrow(send, "bucket int, ids binary, counts binary, hashes binary, texts binary")
+    dealt = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(count, "doc_id long, n long, m long").groupBy("doc_id").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
 
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes, keys, odd = [], [], []
-            for text in batch.column(1).to_pylist():
-                hashes = hashes_of(text)
-                sizes.append(len(hashes))
-                keys.append(prefix_keys(hashes, similarity, frequent, uses).view(np.int64))
-                odd.append(parities(hashes))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(odd, pa.binary())], names=["doc_id", "size", "keys", "odd"])
-
-    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The rows, in order of their keys, whose key the row before or after has."""
-        last: pa.Table | None = None
-        for batch in filter(len, batches):
-            now = pa.Table.from_batches([batch])
-            now = now if last is None else pa.concat_tables([last, now])
-            key = now.column("key").to_numpy()
-            same = np.r_[False, key[1:] == key[:-1]]
-            # The last row waits for the next batch; of a key met before, the row before it comes along to show that.
-            keep = same | np.r_[same[1:], False]
-            if last is not None and last.num_rows == 2:
-                keep[0] = False
-            keep[-1] = False
-            yield from now.filter(pa.array(keep)).to_batches()
-            last = now.slice(now.num_rows - (2 if same[-1] else 1))
-        if last is not None and last.num_rows == 2:
-            yield from last.slice(1).to_batches()
-
-    # Whole texts and sets travel in small batches: a batch of the usual number of rows can fill an executor.
-    with small_batches(spark):
-        signed = written(source.mapInArrow(sign, "doc_id long, size int, keys array<long>, odd binary"), "prefixes")
-    keyed = signed.select(F.explode("keys").alias("key"), "doc_id", "size")
-    members = written(keyed.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(shared, "key long, doc_id long, size int"), "prefix-members")
-    odds = signed.select("doc_id", "size", "odd")
-
-    def in_reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            size_a, odd_a, size_b, odd_b = (batch.column(c) for c in ("size_a", "odd_a", "size_b", "odd_b"))
-            if not batch.num_rows:
-                continue
-            x, y = (np.frombuffer(b"".join(c.to_pylist()), "<u8").reshape(batch.num_rows, -1) for c in (odd_a, odd_b))
-            # With the union u and the common part c >= s * u: n + m = u + c, and the sets differ in n + m - 2c hashes.
-            most = (size_a.to_numpy().astype(float) + size_b.to_numpy()) * (1 - similarity) / (1 + similarity)
-            fine = popcount(x ^ y).sum(axis=1, dtype=np.int64) <= most + _TINY * 1000
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(fine))
-
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [hashes_of(t) for t in batch.column(1).to_pylist()]
-            cols = [pa.array([len(x) for x in sets], pa.int32()), pa.array([parities(x, MORE_BITS) for x in sets], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["doc_id", "size", "odd", "shingles"])
 
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pairs = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
-            same = [similar_enough(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), similarity) for x, y in pairs]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(same, pa.bool_()))
-
-    def may_pass(pairs: DataFrame, odds: DataFrame) -> DataFrame:
-        both = pairs.join(odds.toDF("a", "size_a", "odd_a"), "a").join(odds.toDF("b", "size_b", "odd_b"), "b")
-        return written(both.select("a", "b", "size_a", "odd_a", "size_b", "odd_b").mapInArrow(in_reach, "a long, b long").distinct(), "similar-candidates")
-
-    def passed(pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) whose sets pass. A pair whose parities differ in too many bits can't, so it needs no sets."""
-        pairs = may_pass(pairs.distinct(), odds)
-        ids = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "similar-ids")
-        with small_batches(spark):
-            sets = written(source.join(ids, "doc_id").select("doc_id", "body").mapInArrow(gather, "doc_id long, size int, odd binary, shingles binary"), "similar-shingles")
-            pairs = may_pass(pairs, sets.select("doc_id", "size", "odd"))
-            sets = sets.select("doc_id", "shingles")
-            judged = pairs.join(sets.toDF("a", "of_a"), "a").join(sets.toDF("b", "of_b"), "b").select("a", "b", "of_a", "of_b")
-            return written(judged.mapInArrow(judge, "a long, b long").distinct(), "similar-links")
-
-    def apart(links: DataFrame | None) -> DataFrame:
-        """The members of keys whose documents `links` leave in several parts, with their part."""
-        parted = members.withColumn("part", F.col("doc_id"))
-        if links is not None:
-            parted = members.join(components(links), F.col("doc_id") == F.col("node"), "left").select("doc_id", "size", "key", F.coalesce("root", "doc_id").alias("part"))
-        parted = written(parted, "similar-parts")
-        several = parted.groupBy("key").agg(F.count("*").alias("n"), F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high")
-        return written(parted.join(several.select("key", "n").hint("merge"), "key"), "similar-apart")
-
-    near = (F.least("size", "size_1") >= F.greatest("size", "size_1") * similarity - _TINY) & (F.col("part") != F.col("part_1"))
-    links = None
-    for no in range(ROUNDS):
-        left = apart(links)
-        first = F.min(F.struct(F.xxhash64("doc_id", F.lit(no)).alias("rank"), "doc_id", "size", "part"))
-        firsts = written(left.groupBy("key").agg(first.alias("one"), F.count("*").alias("n")), "similar-firsts")
-        firsts = firsts.select("key", "n", F.col("one.doc_id").alias("id_1"), F.col("one.size").alias("size_1"), F.col("one.part").alias("part_1"))
-        met = hot_join(left.drop("n"), firsts, "key", "n", left.count()).where(near)
-        found = passed(met.select(F.least("doc_id", "id_1").alias("a"), F.greatest("doc_id", "id_1").alias("b")))
-        links = found if links is None else links.unionByName(found)
+def block_links(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """A spanning forest of the links within one block (all sides 0) or between two blocks (sides 0 and 1)."""
+    part, out = np.arange(len(ids)), []
+    sizes = np.array([len(x) for x in sets], np.int64)
+    words, place = np.unique(np.concatenate(sets), return_inverse=True)
+    ends = np.cumsum(sizes)
+    across = bool(side.any())
+    mark = np.zeros(len(words), np.uint8)
+    for i in np.flatnonzero(side == 0):
+        others = np.flatnonzero((side == 1) if across else np.arange(len(ids)) > i)
+        fine = np.minimum(sizes[others], sizes[i]) >= np.maximum(sizes[others], sizes[i]) * similarity - _TINY
+        others = others[fine & (part[others] != part[i])]
+        if not len(others):
+            continue
+        own = place[ends[i] - sizes[i] : ends[i]]
+        mark[own] = 1
+        if len(others) * 2 < len(ids):
+            both = np.array([int(mark[place[ends[j] - sizes[j] : ends[j]]].sum(dtype=np.int64)) for j in others])
+        else:
+            both = np.add.reduceat(mark[place], ends - sizes, dtype=np.int64)[others]
+        mark[own] = 0
+        for j in others[both >= similarity * (sizes[others] + sizes[i] - both) - _TINY]:
+            if part[i] != part[j]:
+                part[part == part[j]] = part[i]
+                out.append((int(ids[i]), int(ids[j])))
+    return out
+
 
+def similar_links(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = WIDE_SHINGLE, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
+    """(a, b): pairs of ids whose shingle sets have the Jaccard similarity asked for, enough to connect all that such
+    pairs connect. Ids tell the rows apart and aren't negative; empty texts have no links."""
+    spark = docs.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("body"))
+    with small_batches(spark, 2048):
+        counts = shared_counts(source, shingle).where((F.col("n") > 0) & (F.col("m") >= least_common(F.col("n"), similarity)))
+        some = written(counts.select("doc_id", "n"), "similar-some")
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t.lower().split(), shingle)) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], names=["doc_id", "shingles"])
+
+    with small_batches(spark, 512):
+        sets = written(source.join(some.select("doc_id"), "doc_id").mapInArrow(spread, "doc_id long, shingles array<long>"), "similar-sets")
+    rows = sets.select("doc_id", F.explode("shingles").alias("key"))
+    known = written(rows.groupBy("key").agg(F.count("*").alias("df")).where("df > 1"), "similar-known")
+    # A text's shingles that are left, the rarest first; its others come before them all and find nobody.
+    ordered = hot_join(rows, known, "key", "df", rows.count()).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("order"))
+    prefix = F.col("n") - least_common(F.col("n"), similarity) + 1 - (F.col("n") - F.size("order"))
+    keyed = ordered.join(some, "doc_id").withColumn("prefix", prefix.cast("int")).where("prefix > 0")
+    keyed = written(keyed.select("doc_id", "n", F.explode(F.slice("order", F.lit(1), F.col("prefix"))).alias("one")).select("doc_id", "n", F.col("one.key").alias("key")), "similar-keys")
+    groups = written(keyed.groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("members"), F.sum("n").alias("weight")).where("members > 1"), "similar-groups")
+    members = written(hot_join(keyed, groups, "key", "members", keyed.count()), "similar-members")
+    families = components(members.where("doc_id <> least").select(F.col("least").alias("a"), F.col("doc_id").alias("b")).distinct())
+    of = written(families.withColumnRenamed("node", "doc_id").join(some, "doc_id"), "similar-families")
+    sizes = of.groupBy("root").agg(F.count("*").alias("members"), F.sum("n").alias("weight"))
+    units = written(hot_join(of, written(sizes, "similar-sizes"), "root", "members", of.count()), "similar-units")
+    whole = units.where(F.col("members") <= FAMILY).select(F.struct(F.lit(0).alias("by"), F.col("root").alias("no")).alias("unit"), "doc_id", "members", "weight")
+    large = units.where(F.col("members") > FAMILY).select("doc_id")
+    alone = members.join(large, "doc_id", "left_semi").select(F.struct(F.lit(1).alias("by"), F.col("key").alias("no")).alias("unit"), "doc_id", "members", "weight")
+    blocks = F.greatest(F.ceil(F.col("members") / block), F.ceil(F.col("weight") / BLOCK_SHINGLES))
+    dealt = whole.unionByName(alone).withColumn("blocks", blocks).withColumn("own", F.expr("pmod(xxhash64(doc_id), blocks)"))
     # Each member goes to its own block and to each pair of blocks with its own: sides 0 and 1 by the smaller number.
-    left = apart(links).withColumn("blocks", F.ceil(F.col("n") / block)).withColumn("own", F.expr("pmod(xxhash64(doc_id), blocks)"))
-    left = left.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    by = ["key", "lo", "hi"]
-    dealt = left.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") > F.col("other")).cast("int").alias("side"), "doc_id", "size", "part")
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.select("unit.by", "unit.no", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") > F.col("other")).cast("int").alias("side"), "doc_id")
+    order = ["by", "no", "lo", "hi"]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def groups():
-            now, rows = None, []
+        def groups() -> Iterator[list[tuple]]:
+            now, held = None, []
             for batch in batches:
-                for key, lo, hi, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    if (key, lo, hi) != now:
-                        yield rows
-                        now, rows = (key, lo, hi), []
-                    rows.append(row)
-            yield rows
-
-        out: set[tuple[int, int]] = set()
-        for rows in groups():
-            for pairs in pairs_apart(rows, similarity):
-                out.update(pairs)
-                if len(out) > 100_000:
-                    yield _pairs(out)
-                    out = set()
-        yield _pairs(out)
-
-    rest = dealt.repartition(parts, *by).sortWithinPartitions(*by, "doc_id").mapInArrow(compare, "a long, b long")
-    return links.unionByName(passed(rest))
-
-
-def _pairs(out: set[tuple[int, int]]) -> pa.RecordBatch:
-    ab = np.array(sorted(out), np.int64).reshape(-1, 2)
-    return pa.RecordBatch.from_arrays([pa.array(ab[:, 0]), pa.array(ab[:, 1])], names=["a", "b"])
-
-
-def pairs_apart(rows: list[tuple[int, int, int, int]], similarity: float) -> Iterator[list[tuple[int, int]]]:
-    """All pairs of (side, doc_id, size, part) of other parts and of sizes that allow the similarity, row by row."""
-    if len(rows) < 2:
-        return
-    side, doc, size, part = np.array(rows, np.int64).T
-    a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-    for n, i in enumerate(a):
-        others = b if len(b) else a[n + 1 :]
-        fine = (part[others] != part[i]) & (np.minimum(size[others], size[i]) >= np.maximum(size[others], size[i]) * similarity - _TINY)
-        yield [(min(int(doc[i]), int(doc[j])), max(int(doc[i]), int(doc[j]))) for j in others[fine]]
+                shingles = batch.column(6)
+                flat, ends = shingles.flatten().to_numpy().view(np.uint64), shingles.value_lengths().to_numpy().cumsum()
+                for k, (*key, side, doc) in enumerate(zip(*(c.to_pylist() for c in batch.columns[:6]), strict=True)):
+                    if key != now:
+                        yield held
+                        now, held = key, []
+                    held.append((doc, side, flat[ends[k - 1] if k else 0 : ends[k]]))
+            yield held
+
+        for held in groups():
+            if len(held) > 1:
+                ids, side, sets_ = zip(*held, strict=True)
+                if found := block_links(np.array(ids, np.int64), list(sets_), np.array(side), similarity):
+                    ab = np.array(found, np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(ab.min(axis=1)), pa.array(ab.max(axis=1))], names=["a", "b"])
+
+    with small_batches(spark, 512):
+        ordered = dealt.join(sets, "doc_id").select(*order, "side", "doc_id", "shingles").repartition(parts, *order).sortWithinPartitions(*order, "doc_id")
+        links = written(ordered.mapInArrow(compare, "a long, b long").distinct(), "similar-links")
+    removed(some, sets, known, keyed, groups, members, families, of, units)
+    return links
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = WIDE_SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,5 +1,6 @@
 """Exact, near and substring dedup against brute force."""
 
+import collections
 import hashlib
 import itertools
 import random
@@ -249,6 +250,36 @@ def _kept_by_force(rows, similarity=0.8):
     return {i for i, r in root.items() if i == r}
 
 
+@pytest.mark.parametrize("family,block", [(16_384, 512), (16_384, 3), (4, 3), (1, 512)])
+def test_similar_links_in_blocks_and_by_shingles(spark, docs, monkeypatch, family, block):
+    """Families in one block, in several, and those too large to be compared as a whole give the same components."""
+    monkeypatch.setattr(simhash, "FAMILY", family)
+    rng, rows = random.Random(9), []
+    shared = [f"s{i}" for i in range(60)]
+    for i in range(120):
+        words = [*shared, *(f"t{i}w{k}" for k in range(rng.randrange(14)))] if i % 2 else [f"g{i // 20}w{k}" for k in range(80)]
+        for at in rng.sample(range(len(words)), rng.randrange(4)):
+            words[at] = f"x{rng.randrange(10**9)}"
+        rows.append((i, " ".join(words)))
+    links = simhash.similar_links(docs(*rows), block=block).collect()
+    root = {i: i for i, _ in rows}
+    for a, b in links:
+        x, y = root[a], root[b]
+        root = {i: min(x, y) if r in (x, y) else r for i, r in root.items()}
+    kept = {i for i, r in root.items() if i == r}
+    assert kept == _kept_by_force(rows) and len(kept) < 100
+
+
+def test_shared_counts_are_exact_but_for_short_hashes(spark, docs):
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice("ab") for _ in range(rng.randrange(30)))) for i in range(80)] + [(90, None), (91, "")]
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for i, w in ((i, (t or "").split()) for i, t in rows)}
+    uses = collections.Counter(x for s in sets.values() for x in s)
+    source = docs(*rows).repartition(5).selectExpr("doc_id", "cast(coalesce(text, '') as binary) as body")
+    got = {r["doc_id"]: (r["n"], r["m"]) for r in simhash.shared_counts(source, 5).collect()}
+    assert got == {i: (len(s), sum(uses[x] > 1 for x in s)) for i, s in sets.items()}
+
+
 def test_a_failed_pair_hides_no_similar_one(spark, docs):
     """Groups of copies near the threshold: all that passing pairs connect is one component."""
     rng, rows = random.Random(5), []
