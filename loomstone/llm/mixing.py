@@ -13,19 +13,20 @@ Targets: sources by code point, null last, weigh `weights` in turn and share `sh
 `repeat` times its source's words, and the excess goes to the others by weight until none is above.
 
 Defined cases: a null or empty text has no words and is taken 0 times; a null source is a source of its own; equal ids
-are ordered by size, and equal (id, size) rows are interchangeable; null ids come first. Empty tables give empty
-results. Extra columns are ignored. What is collected to the driver is one row per source and a fixed number of
-range sums, never rows of documents.
+are ordered by a hash of the text, and rows equal in id, source and text are interchangeable; null ids come first.
+Empty tables give empty results. Extra columns are ignored, whatever their names. What is collected to the driver is one
+row per source (at most MAX_SOURCES), never rows of documents.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomstone.llm.common import WORD_CLASS, written
@@ -36,6 +37,8 @@ REPEAT = 2.0
 BLOCK_WORDS = 512
 SHARD_SLOTS = 1024
 SEED = 42
+#: The plan of the sources is collected and broadcast: more sources are refused, not cut.
+MAX_SOURCES = 20_000
 
 
 def word_count(text_col: str = "text"):
@@ -126,22 +129,25 @@ def slots_needed(target: float, size: int, block_words: int, key: int) -> tuple[
     return full * blocks + k, last
 
 
+@lru_cache(maxsize=4096)
+def _first_half(counts: tuple[int, ...], need: int, lo: int, hi: int, seed: int) -> tuple[int, ...]:
+    """Of the slots of shards lo..hi, by source, those of the first half: `need` in all, each source given what is left."""
+    draw, rest, out = np.random.Generator(np.random.Philox(key=[seed, lo << 32 ^ hi])), sum(counts), []
+    for c in counts:
+        rest -= c
+        out.append(_hyper(draw, c, rest, need) if need > 0 else 0)
+        need -= out[-1]
+    return tuple(out)
+
+
 def _shard_counts(totals: np.ndarray, shards: int, shard: int, slots: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """Slots of each source in this shard, and in all shards before it."""
     lo, hi, counts, before = 0, shards, totals.copy(), np.zeros_like(totals)
     total = int(totals.sum())
     while hi - lo > 1:
         mid = (lo + hi) // 2
-        draw = np.random.Generator(np.random.Philox(key=[seed, lo << 32 ^ hi]))
-        first = (min(mid * slots, total) - min(lo * slots, total))
-        left = np.zeros_like(counts)
-        rest, need = int(counts.sum()), first
-        for i, c in enumerate(counts):  # one source after another, each given what is left
-            rest -= int(c)
-            if need <= 0:
-                break
-            left[i] = _hyper(draw, int(c), rest, need)
-            need -= int(left[i])
+        need = min(mid * slots, total) - min(lo * slots, total)
+        left = np.array(_first_half(tuple(counts.tolist()), need, lo, hi, seed), np.int64)
         if shard < mid:
             hi, counts = mid, left
         else:
@@ -150,37 +156,54 @@ def _shard_counts(totals: np.ndarray, shards: int, shard: int, slots: int, seed:
 
 
 def _hyper(draw: np.random.Generator, good: int, bad: int, sample: int) -> int:
-    if good == 0 or sample == 0:
-        return 0
-    if bad == 0:
-        return sample
-    if good + bad < 1_000_000_000:
-        return int(draw.hypergeometric(good, bad, sample))
-    p, n = good / (good + bad), good + bad  # beyond the generator's range: its normal limit, kept within the bounds
-    x = round(draw.normal(sample * p, math.sqrt(max(0.0, sample * p * (1 - p) * (n - sample) / max(1, n - 1)))))
-    return min(max(x, sample - bad, 0), good, sample)
+    """A hypergeometric draw by inversion, the same way at every size.
+
+    The probabilities of neighbouring values have a simple ratio. They are summed over the values within 12 standard
+    deviations of the mean; all others together have less than 1e-20, below the precision of a double.
+    """
+    least, most = max(0, sample - bad), min(good, sample)
+    if least == most:
+        return least
+    n = good + bad
+    mean = sample * (good / n)
+    width = 12 * math.sqrt(mean * (bad / n) * ((n - sample) / max(1, n - 1))) + 12
+    lo, hi = max(least, math.floor(mean - width)), min(most, math.ceil(mean + width))
+    x = np.arange(lo, hi, dtype=np.float64)
+    steps = np.log(good - x) + np.log(sample - x) - np.log(x + 1) - np.log(bad - sample + x + 1)
+    log_p = np.concatenate([[0.0], np.cumsum(steps)])
+    sums = np.cumsum(np.exp(log_p - log_p.max()))
+    return lo + min(int(np.searchsorted(sums, draw.random() * sums[-1], side="right")), hi - lo)
+
+
+def keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """doc_id, source, size and a hash of the text: rows equal in these are interchangeable."""
+    return docs.select(*_unit(id_col, text_col, source_col))
+
+
+def _unit(id_col: str, text_col: str, source_col: str) -> list[Column]:
+    return [F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(text_col).alias("size"), F.xxhash64(text_col).alias("text_hash")]
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(doc_id, source, size, start): where each document's words begin in its source's stream.
+    """(doc_id, source, size, text_hash, start): where each document's words begin in its source's stream.
 
-    The running sums have two levels, so that no window holds a whole source: over the buckets of a source, and over
-    the documents of a bucket. With the square root of the row count as the number of buckets, neither is long.
+    Interchangeable rows are one unit of several copies, one after the other. The running sums have two levels, so that
+    no window holds a whole source: over the buckets of a source, and over the units of a bucket. With the square root
+    of the row count as the number of buckets, neither is long.
     """
-    rows = written(
-        docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(text_col).alias("size")),
-        "sizes",
-    )
-    buckets = max(1, math.isqrt(rows.count()))
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "size"), F.lit(buckets)))
+    unit = ["doc_id", "source", "size", "text_hash"]
+    units = written(keyed(docs, id_col, text_col, source_col).groupBy(*unit).agg(F.count("*").alias("copies")), "sizes")
+    buckets = max(1, math.isqrt(units.count()))
+    units = units.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_hash", "size"), F.lit(buckets))).withColumn("total", F.col("size") * F.col("copies"))
     spans = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
+    sums = units.groupBy("source", "bucket").agg(F.sum("total").alias("words"))
     sums = sums.select("source", "bucket", F.coalesce(F.sum("words").over(spans), F.lit(0)).alias("base"))
-    within = Window.partitionBy("source", "bucket").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("inner", F.coalesce(F.sum("size").over(within), F.lit(0)))
+    within = Window.partitionBy("source", "bucket").orderBy("doc_id", "text_hash", "size").rowsBetween(Window.unboundedPreceding, -1)
+    units = units.withColumn("inner", F.coalesce(F.sum("total").over(within), F.lit(0)))
     sums = sums.withColumnsRenamed({"source": "s_source", "bucket": "s_bucket"})
-    joined = rows.join(sums, rows.source.eqNullSafe(sums.s_source) & (rows.bucket == sums.s_bucket))
-    return joined.select("doc_id", "source", "size", (F.col("base") + F.col("inner")).alias("start"))
+    joined = units.join(sums, units.source.eqNullSafe(sums.s_source) & (units.bucket == sums.s_bucket))
+    joined = joined.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    return joined.select(*unit, (F.col("base") + F.col("inner") + F.col("copy") * F.col("size")).alias("start"))
 
 
 def plan_slots(sources: list[dict], spark, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> DataFrame:
@@ -217,7 +240,9 @@ def plan_slots(sources: list[dict], spark, shard_slots: int = SHARD_SLOTS, seed:
 
 def source_plan(packed: DataFrame, weights=WEIGHTS, share=SHARE, repeat=REPEAT, block_words=BLOCK_WORDS, seed=SEED) -> list[dict]:
     """One entry per source, in code point order with null last: the only rows that reach the driver."""
-    sizes = [(r["source"], int(r["n"])) for r in packed.groupBy("source").agg(F.sum("size").alias("n")).collect()]
+    sizes = [(r["source"], int(r["n"])) for r in packed.groupBy("source").agg(F.sum("size").alias("n")).limit(MAX_SOURCES + 1).collect()]
+    if len(sizes) > MAX_SOURCES:
+        raise ValueError(f"there are over {MAX_SOURCES} sources: their plan would not fit the driver and each task; map them to fewer first")
     sizes.sort(key=lambda x: (x[0] is None, x[0] or ""))
     out = []
     for no, ((source, size), target) in enumerate(zip(sizes, targets(sizes, weights, share, repeat), strict=True)):
@@ -243,11 +268,14 @@ def mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source",
 
 
 def pieces(placed: DataFrame, slots: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The mixed output as spans: (shard, slot, doc_id, first word of the document, words), in slot order by `at`."""
-    spans = _spans(placed, block_words)
-    taken = spans.join(slots, ["source_no", "block"])
+    """The mixed output as spans: which words of which document each slot of each shard takes, in the slot's order by `at`.
+
+    (shard, slot, at, source_no, doc_id, start, first_word, words); blocks are joined to slots by their index.
+    """
+    taken = _spans(placed, block_words).join(slots, ["source_no", "block"])
     end = F.least("to", F.coalesce("words_cap", F.lit(block_words)))
-    return taken.where(end > F.col("from")).select("shard", "slot", "doc_id", (F.col("block") * block_words + F.col("from") - F.col("start")).alias("first_word"), (end - F.col("from")).alias("words"), F.col("from").alias("at"))
+    first = F.col("block") * block_words + F.col("from") - F.col("start")
+    return taken.where(end > F.col("from")).select("shard", "slot", F.col("from").alias("at"), "source_no", "doc_id", "start", first.alias("first_word"), (end - F.col("from")).alias("words"))
 
 
 def _spans(placed: DataFrame, block_words: int) -> DataFrame:
@@ -259,15 +287,40 @@ def _spans(placed: DataFrame, block_words: int) -> DataFrame:
     return some.withColumns({"from": F.greatest(F.col("start") - base, F.lit(0)), "to": F.least(F.col("start") + F.col("size") - base, F.lit(block_words))})
 
 
+def mixed_texts(docs: DataFrame, placed: DataFrame, slots: DataFrame, block_words: int = BLOCK_WORDS, id_col="doc_id", text_col="text", source_col="source") -> DataFrame:
+    """The mixture itself: (shard, slot, source_no, n_words, text), the words of each slot joined by one space.
+
+    Each document's words are cut where blocks end, once for all slots that take them; a text travels in parts of at
+    most a block.
+    """
+    unit = ["doc_id", "source", "size", "text_hash"]
+    texts = docs.select(F.struct(*_unit(id_col, text_col, source_col)).alias("unit"), F.col(text_col).cast("binary").alias("body")).dropDuplicates(["unit"])
+    starts = placed.where("size > 0").select(F.struct(*unit).alias("unit"), "source_no", "start")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for no, start, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                words, at = body.split(), 0
+                while at < len(words):
+                    block, offset = divmod(start + at, block_words)
+                    part = words[at : at + block_words - offset]
+                    rows.append((no, block, offset, len(part), b" ".join(part).decode()))
+                    at += len(part)
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [*[pa.int64()] * 4, pa.string()], strict=True)], names=["source_no", "block", "at", "n", "part"])
+
+    parts = starts.join(texts, "unit").select("source_no", "start", "body").mapInArrow(cut, "source_no long, block long, at long, n long, part string")
+    taken = parts.join(slots, ["source_no", "block"]).withColumn("left", F.least("n", F.coalesce("words_cap", F.lit(block_words)) - F.col("at"))).where("left > 0")
+    part = F.when(F.col("left") < F.col("n"), F.array_join(F.slice(F.split("part", " "), F.lit(1), F.col("left").cast("int")), " ")).otherwise(F.col("part"))
+    grouped = taken.groupBy("shard", "slot", "source_no").agg(F.sum("left").alias("n_words"), F.sort_array(F.collect_list(F.struct("at", part.alias("part")))).alias("parts"))
+    return grouped.select("shard", "slot", "source_no", "n_words", F.array_join(F.transform("parts", lambda x: x["part"]), " ").alias("text"))
+
+
 def taken_words(placed: DataFrame, slots: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken (words that the slots take, repeats counted)."""
-    use = slots.groupBy("source_no", "block").agg(F.count(F.when(F.col("words_cap").isNull(), 1)).alias("whole"), F.max("words_cap").alias("cut"))
-    use = written(use, "block-use")
-    placed = placed.withColumn("row_no", F.struct("doc_id", "source_no", "start"))
-    spans = _spans(placed, block_words).select("row_no", "source_no", "block", "from", "to")
-    part = F.greatest(F.lit(0), F.least("to", F.coalesce("cut", F.lit(0))) - F.col("from"))
-    words = spans.join(use, ["source_no", "block"]).groupBy("row_no").agg(F.sum((F.col("to") - F.col("from")) * F.col("whole") + part).alias("taken"))
-    words = words.select(F.col("row_no.doc_id").alias("t_id"), F.col("row_no.source_no").alias("t_no"), F.col("row_no.start").alias("t_start"), "taken")
+    """One row per document: doc_id, size, source_size, target, taken (the words of its pieces, repeats counted)."""
+    words = pieces(placed, slots, block_words).groupBy("doc_id", "source_no", "start").agg(F.sum("words").alias("taken"))
+    words = words.select(F.col("doc_id").alias("t_id"), F.col("source_no").alias("t_no"), F.col("start").alias("t_start"), "taken")
     joined = placed.where("size > 0").join(words, placed.doc_id.eqNullSafe(words.t_id) & (placed.source_no == words.t_no) & (placed.start == words.t_start), "left")
     none = placed.where("size = 0").withColumn("taken", F.lit(0).cast("long"))
     cols = ["doc_id", "size", "source_size", "target"]

@@ -1,5 +1,6 @@
 """Mixing, WARC archives and the pipeline."""
 
+import math
 import random
 import re
 
@@ -48,6 +49,65 @@ def test_shard_counts_sum_to_the_totals():
     assert all(p[0].sum() == 100 for p in parts[:8]) and parts[8][0].sum() == 3
 
 
+def test_hypergeometric_draws_at_every_size():
+    """By inversion: the exact probabilities for a small urn; mean and spread for one beyond a generator's usual range."""
+    draw = np.random.Generator(np.random.Philox(key=[1, 2]))
+    got = np.bincount([mixing._hyper(draw, 7, 5, 6) for _ in range(20_000)], minlength=7) / 20_000
+    want = [math.comb(7, x) * math.comb(5, 6 - x) / math.comb(12, 6) for x in range(7)]
+    assert np.abs(got - want).max() < 0.015
+    good, bad, sample = 20_000_000_000, 10_000_000_000, 12_000_000_000
+    some = np.array([mixing._hyper(draw, good, bad, sample) for _ in range(200)], float)
+    sd = math.sqrt(sample * (good / (good + bad)) * (bad / (good + bad)) * (good + bad - sample) / (good + bad - 1))
+    assert abs(some.mean() - sample * 2 / 3) < 5 * sd / math.sqrt(200) and 0.7 < some.std() / sd < 1.3
+    assert mixing._hyper(draw, 0, 5, 3) == 0 and mixing._hyper(draw, 5, 0, 3) == 3
+
+
+def test_mixture_of_texts_against_the_streams(spark, docs):
+    """Each document's words, the blocks of the streams and the slots, put together in plain Python."""
+    rnd = random.Random(12)
+    rows = [(i, " ".join(f"d{i}w{k}" for k in range(rnd.randint(0, 90))), rnd.choice(["a", "b", None])) for i in range(60)]
+    rows += [(7, "twice the same", "a"), (7, "twice the same", "a"), (None, "no id here", "b"), (None, "nor here", "b"), (8, None, "b")]
+    table = docs(*rows)
+    placed, slots, sources = mixing.mix(table, block_words=16, shard_slots=20)
+    streams: dict[int, dict[int, str]] = {}
+    text_of: dict[tuple, list] = {}
+    for i, text, source in rows:
+        text_of.setdefault((i, source, len((text or "").split())), []).append((text or "").split())
+    for r in placed.orderBy("start").collect():
+        options = text_of[r["doc_id"], r["source"], r["size"]]
+        words = options.pop()
+        for k, w in enumerate(words):
+            assert (r["start"] + k) not in streams.setdefault(r["source_no"], {})
+            streams[r["source_no"]][r["start"] + k] = w
+    for no, stream in streams.items():
+        assert sorted(stream) == list(range(len(stream)))
+    want, taken = {}, {}
+    for r in slots.collect():
+        stream = streams[r["source_no"]]
+        words = [stream[p] for p in range(r["block"] * 16, min(len(stream), (r["block"] + 1) * 16))][: r["words_cap"]]
+        want[r["shard"], r["slot"]] = " ".join(words)
+        for w in words:
+            taken[w] = taken.get(w, 0) + 1
+    got = {(r["shard"], r["slot"]): r["text"] for r in mixing.mixed_texts(table, placed, slots, 16).collect()}
+    assert got == want and len(got) > 100
+    totals = {r["source_no"]: round(r["target"]) for r in sources.collect()}
+    assert sum(len(t.split()) for t in got.values()) == sum(totals.values())
+    for r in mixing.taken_words(placed, slots, 16).collect():
+        if r["doc_id"] is not None and r["doc_id"] not in (7, 8):
+            words = next(t for i, t, _ in rows if i == r["doc_id"]).split()
+            assert r["taken"] == sum(taken.get(w, 0) for w in words) <= 2 * r["size"]
+    shards = {}
+    for r in slots.collect():
+        shards.setdefault(r["shard"], []).append(r["slot"])
+    assert all(sorted(x) == list(range(len(x))) for x in shards.values())
+
+
+def test_too_many_sources_are_refused(spark, docs, monkeypatch):
+    monkeypatch.setattr(mixing, "MAX_SOURCES", 2)
+    with pytest.raises(ValueError, match="sources"):
+        mixing.mix(docs((1, "a", "x"), (2, "b", "y"), (3, "c", "z")))
+
+
 def test_mix_whole_table(spark, docs):
     rnd = random.Random(4)
     rows = [(i, "wort " * rnd.randint(0, 400), rnd.choice(["a", "b", "b", "b", None])) for i in range(300)] + [(999, None, "z"), (1000, "", None), (5, "x y", "a"), (None, "q", "a")]
