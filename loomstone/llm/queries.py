@@ -73,9 +73,13 @@ def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(table(spark, sf_dir, "documents"))
 
 
+#: Of op10: most pages are larger than one segment.
+WARC_SEGMENT = 2_048
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = warc.archive_path(spark)
-    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    warc.write_archives(table(spark, sf_dir, "pages"), path, segment_bytes=WARC_SEGMENT)
     return warc.read_archives(spark, path, keep_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "error")
 
 

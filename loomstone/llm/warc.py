@@ -11,9 +11,11 @@ Reading: whole records are decoded where they are read. Segments are grouped by
 order of their numbers as a stream, checked for gaps and for the total length, joined, and decoded from chunked framing.
 
 Defined cases: a null payload counts as empty, and empty payloads are equal payloads; a null url is written as an empty
-target; a null id is written without an id and read back as null (it is the smallest). Rows that repeat an id and a
-payload are both responses if the id is the largest. Empty tables give empty archives and results. Extra columns are
-ignored. A broken record (gap, wrong length, bad framing) is returned with an `error` and a null payload, never dropped.
+target; a null id is written without an id and read back as null (it is the smallest). Of rows that tie for the largest
+id of a payload one is the response. Record identifiers hold a key of the row, so rows that repeat an id and a payload
+have records and segments of their own. Empty tables give empty archives and results. Extra columns are ignored,
+whatever their names. A broken record (gap, wrong length, bad framing, a head that can't be read) is returned with an
+`error` and a null payload, never dropped; reading goes on at the next record.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -28,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstone.llm.common import fresh_path, written
+from loomstone.llm.common import HOT_KEYS, HOT_LEAST, fresh_path, removed, with_row_key, written
 
 SEGMENT_BYTES = 32_768
 CHUNK_BYTES = 8_192
@@ -74,10 +77,10 @@ def record_id(*parts: object) -> str:
     return f"<urn:uuid:{uuid.uuid5(_SPACE, '/'.join(map(str, parts)))}>"
 
 
-def page_records(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool, segment_bytes: int = SEGMENT_BYTES) -> Iterator[bytes]:
-    """The records of one page, each without the blank line that ends it."""
-    digest = base32_sha1(payload)
-    own = record_id(page_id, digest)
+def page_records(row: int, page_id: int | None, url: str | None, payload: bytes, first: tuple[int, int | None] | None = None, segment_bytes: int = SEGMENT_BYTES) -> Iterator[bytes]:
+    """The records of one page, each without the blank line that ends it; `first` (row, page id) makes it a revisit."""
+    digest, revisit = base32_sha1(payload), first is not None
+    own = record_id(row, digest)
     target = " ".join((url or "").split())
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
     block = http if revisit else http + chunked(payload)
@@ -92,7 +95,7 @@ def page_records(page_id: int | None, url: str | None, payload: bytes, refers_to
         ("X-Page-ID", page_id),
     ]
     if revisit:
-        fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", record_id(refers_to, digest)), ("X-Refers-To-Page-ID", refers_to)]
+        fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", record_id(first[0], digest)), ("X-Refers-To-Page-ID", first[1])]
     parts = [block[i : i + segment_bytes] for i in range(0, len(block), segment_bytes)]
     if len(parts) > 1:
         fields.append(("WARC-Segment-Number", 1))
@@ -100,7 +103,7 @@ def page_records(page_id: int | None, url: str | None, payload: bytes, refers_to
     for no, part in enumerate(parts[1:], 2):
         more = [
             ("WARC-Type", "continuation"),
-            ("WARC-Record-ID", record_id(page_id, digest, no)),
+            ("WARC-Record-ID", record_id(row, digest, no)),
             ("WARC-Date", DATE),
             ("WARC-Target-URI", target),
             ("WARC-Segment-Origin-ID", own),
@@ -115,22 +118,25 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     """Writes `pages` as gzipped archives in the folder `path`; payloads under `min_bytes` are all responses."""
     body = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), body.alias("payload"))
-    # Only ids and digests are grouped; payloads travel once, to the row with the group's largest id.
-    keyed = rows.withColumn("digest", F.unhex(F.sha1("payload")))
-    groups = written(keyed.where(F.octet_length("payload") >= min_bytes).groupBy("digest").agg(F.max("page_id").alias("last_id"), F.count("*").alias("n")).where("n > 1"), "payload-groups")
-    total = groups.agg(F.sum("n")).first()[0] or 0
-    many = max(64, total // 10_000)
-    hot, some = groups.where(F.col("n") >= many), groups.where(F.col("n") < many)
-    # At most 10,000 digests can be hot; every other one has few rows in the sort-merge join.
-    marked = keyed.join(F.broadcast(hot.select("digest", F.col("last_id").alias("hot_id"))), "digest", "left")
-    marked = marked.join(some.select("digest", F.col("last_id").alias("some_id")), "digest", "left")
-    marked = marked.select("page_id", "url", "payload", F.coalesce("hot_id", "some_id").alias("last_id"))
+    rows, row = with_row_key(rows.withColumn("digest", F.unhex(F.sha1("payload"))), "warc-rows")
+    # Only ids and digests are grouped; payloads stay where they are.
+    last = F.max(F.struct("page_id", row))
+    groups = written(rows.where(F.octet_length("payload") >= min_bytes).groupBy("digest").agg(last.alias("last"), F.count("*").alias("n")).where("n > 1"), "payload-groups")
+    # A row of a group that is not its last refers to it. Groups of many rows are at most HOT_KEYS: they are broadcast.
+    many = max(HOT_LEAST, rows.count() // HOT_KEYS)
+    hot, some = F.broadcast(groups.where(F.col("n") >= many).select("digest", F.col("last").alias("hot"))), groups.where(F.col("n") < many)
+    keyed = rows.select("digest", row, F.octet_length("payload").alias("bytes"))
+    others = keyed.join(hot, "digest", "left_anti").join(some.select("digest", "last"), "digest").where(F.col(row) != F.col(f"last.{row}"))
+    others = others.where(F.col("bytes") >= min_bytes).select(row, "last")
+    marked = rows.join(hot, "digest", "left").join(others, row, "left")
+    first = F.when((F.octet_length("payload") >= min_bytes) & (F.col(f"hot.{row}") != F.col(row)), F.col("hot")).otherwise(F.col("last"))
+    marked = marked.withColumn("first", first).select(row, "page_id", "url", "payload", F.col(f"first.{row}").alias("first_row"), F.col("first.page_id").alias("first_id"))
 
     def render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out, held = [], 0
-            for page_id, url, payload, last in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for record in page_records(page_id, url, payload, last, last is not None and page_id != last, segment_bytes):
+            for no, page_id, url, payload, first_row, first_id in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for record in page_records(no, page_id, url, payload, None if first_row is None else (first_row, first_id), segment_bytes):
                     out.append(record)
                     held += len(record)
                     if held > 8_000_000:
@@ -140,25 +146,46 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
 
     records = marked.mapInArrow(render, "value binary").select(F.col("value").cast("string"))
     records.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", file_records).text(path)
+    removed(rows, groups)
+
+
+_NEXT = re.compile(rb"WARC/1\.[01]\r\n[A-Za-z-]+: ")
 
 
 def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(fields, block) of each record of an archive."""
+    """(fields, block) of each record of an archive; one that can't be read has an `error` among its fields."""
     at = 0
     while at < len(data):
-        end = data.find(b"\r\n\r\n", at)
-        if end < 0 or not data.startswith(b"WARC/", at):
-            raise ValueError(f"no record at byte {at}")
-        fields = dict(line.split(": ", 1) for line in data[at:end].decode().split("\r\n")[1:] if ": " in line)
-        size = int(fields["Content-Length"])
-        yield fields, data[end + 4 : end + 4 + size]
-        at = end + 4 + size + 4
+        end, fields = data.find(b"\r\n\r\n", at), {}
+        try:
+            if end < 0 or not data.startswith(b"WARC/", at):
+                raise ValueError(f"no record at byte {at}")
+            fields = dict(line.split(": ", 1) for line in data[at:end].decode().split("\r\n")[1:] if ": " in line)
+            size, after = int(fields["Content-Length"]), end + 4 + int(fields["Content-Length"])
+            if size < 0 or after > len(data) or data[after : after + 4] not in (b"", CRLF + CRLF):
+                raise ValueError("the block is cut")
+            for number in ("WARC-Segment-Number", "WARC-Segment-Total-Length", "X-Page-ID", "X-Refers-To-Page-ID", "X-Payload-Length"):
+                int(fields.get(number, 0))
+            if fields["WARC-Type"] == "continuation" and not {"WARC-Segment-Origin-ID", "WARC-Segment-Number"} <= fields.keys():
+                raise ValueError("a continuation names no origin or number")
+            if "WARC-Segment-Number" in fields and fields["WARC-Type"] != "continuation" and "WARC-Record-ID" not in fields:
+                raise ValueError("a first segment has no identifier")
+        except (ValueError, KeyError) as e:
+            more = _NEXT.search(data, at + 1)
+            target = fields.get("WARC-Target-URI")
+            yield {"WARC-Type": fields.get("WARC-Type", "unknown"), **({"WARC-Target-URI": target} if target else {}), "error": f"the record can't be read: {e}"}, b""
+            at = more.start() if more else len(data)
+            continue
+        yield fields, data[end + 4 : after]
+        at = after + 4
 
 
 def _row(fields: dict[str, str], block: bytes) -> tuple:
     number = lambda k: int(fields[k]) if k in fields else None
     digest = fields.get("WARC-Payload-Digest", "").removeprefix("sha1:")
     head = (number("X-Page-ID"), fields.get("WARC-Target-URI"), fields["WARC-Type"], number("X-Refers-To-Page-ID"))
+    if "error" in fields:
+        return (*head, None, None, None, fields["error"])
     if fields["WARC-Type"] == "revisit":
         return (*head, None, number("X-Payload-Length"), digest, None)
     http, blank, body = block.partition(b"\r\n\r\n")

@@ -154,10 +154,39 @@ def test_archives_round_trip(spark, tmp_path):
     kinds = {r["page_id"]: (r["record_type"], r["refers_to"]) for r in got.to_dict("records") if r["page_id"] in text}
     assert kinds[1] == ("revisit", 2) and kinds[2][0] == "response" and kinds[3] == ("revisit", 4) and kinds[4][0] == "response"
     warc.write_archives(df.limit(0), f"file://{tmp_path}/none")
+    assert warc.read_archives(spark, f"file://{tmp_path}/none").count() == 0
     warc.write_archives(df.where("page_id < 3"), f"file://{tmp_path}/large", min_bytes=10)
     assert warc.read_archives(spark, f"file://{tmp_path}/large").where("record_type = 'response'").count() == 2
 
 
+def test_repeated_and_null_ids_with_long_payloads(spark, tmp_path):
+    """Rows that repeat id and payload, many equal payloads, and texts of over a megabyte in many segments."""
+    rnd = random.Random(3)
+    big, huge = "".join(rnd.choices("ab<>\r\n é", k=900)), "wörter \r\n\r\n" * 120_000
+    rows = [(1, "u", big), (1, "u", big), (None, "u", big + "?"), (None, "u", big + "?"), (2, "u", huge), *((10 + i, "u", "the same page" * 40) for i in range(200))]
+    path = f"file://{tmp_path}/w"
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 as row_key", "2 as digest")
+    warc.write_archives(df, path, segment_bytes=256, file_records=500)
+    got = warc.read_archives(spark, path).toPandas()
+    assert len(got) == len(rows) and got["error"].isna().all()
+    by = {k: part for k, part in got.groupby("payload_digest")}
+    for text in (big, big + "?", huge, "the same page" * 40):
+        part = by[warc.base32_sha1(text.encode())]
+        assert (part["record_type"] == "response").sum() == 1 and (part["payload_bytes"] == len(text.encode())).all()
+        assert bytes(part[part["record_type"] == "response"]["payload"].iloc[0]) == text.encode()
+    same = by[warc.base32_sha1(b"the same page" * 40)]
+    assert same[same["record_type"] == "response"]["page_id"].tolist() == [209] and set(same[same["record_type"] == "revisit"]["refers_to"]) == {209}
+
+
+def test_heads_that_cannot_be_read():
+    good = b"".join(r + b"\r\n\r\n" for r in warc.page_records(1, 5, "u", b"text"))
+    broken = [good.replace(b"WARC-Target-URI: u", b"WARC-Target-URI: \xff\xfe"), good.replace(b"Content-Length", b"Content-Size"), good.replace(b"X-Page-ID: 5", b"X-Page-ID: five"), good[:-40]]
+    for bad in broken:
+        got = [warc._row(*r) for r in warc.parse_records(good + bad + good)]
+        assert [r[0] for r in got][0] == 5 and got[-1][4] == b"text" and any(r[7] and r[4] is None for r in got)
+    assert [bool(warc._row(*r)[7]) for r in warc.parse_records(b"no archive")] == [True]
+
+
 def test_reassembly_reports_what_is_broken():
     block = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n" + warc.chunked(b"payload")
     head = {"WARC-Type": "response", "X-Page-ID": "1", "WARC-Target-URI": "u"}
