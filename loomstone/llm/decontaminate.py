@@ -1,17 +1,19 @@
 """Benchmark decontamination: size-partitioned MinHash containment search, then exact shingle containment.
 
 Items are partitioned by their number n of distinct shingles (powers of two). An item's sketch is its k smallest shingle
-hashes (bottom-k MinHash), where k depends on the partition: a document that holds at least the share `containment` of n
-shingles misses at most n - ceil(containment * n) of them, so with k one more than the most that an item of the
-partition may miss, it holds at least one of the sketch. A document's shingle hashes are looked up in the sketches, and
-each item found so is verified by counting its distinct shingles in the document, as words, not hashes. So unlike
-banded MinHash, whose recall falls with the ratio of the document's size to the item's, the search misses nothing.
+hashes (bottom-k MinHash), a uniform sample of its shingles, so the share of the sketch that a document holds estimates
+how much of the item it contains. k is set for each partition so that the estimate has a bound which no contained item
+can fail: an item that may miss d of its n shingles is held in at least k - d of its sketch, and k is SPARE more than
+the most that an item of the partition may miss. Items whose estimate (k - d) / k is met are verified by counting their
+distinct shingles in the document, as words, not hashes. So unlike banded MinHash, whose recall falls with the ratio of
+the document's size to the item's, the search misses nothing. Long documents have no sketch of their own: a bounded one
+could not hold a short item's shingles.
 
 Words are runs of bytes other than ASCII white space and punctuation, with A-Z lower-cased. An item of fewer than
 `shingle` words is one shingle of all its words; an item without words is in no document.
 
-The items of one block (at most `block_items` items, and as many bytes as they have) travel to the executors; more items
-make more blocks, each searched against all documents. The documents aren't shuffled.
+The items of one block (at most `block_items` items and BLOCK_BYTES bytes, or one longer item) travel to the executors;
+more items make more blocks, each searched against all documents. The documents aren't shuffled.
 
 Defined cases: null texts count as empty; rows with equal ids are judged each on its own; null ids are kept as null.
 Empty tables give empty results (no items: nothing is contaminated). `drop_contaminated` returns all columns of its
@@ -21,7 +23,7 @@ input, whatever their names; the search ignores extra columns.
 from __future__ import annotations
 
 import math
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +35,9 @@ from loomstone.llm.common import whole_text
 
 SHINGLE = 5
 CONTAINMENT = 0.8
-BLOCK_ITEMS = 20_000
+BLOCK_ITEMS, BLOCK_BYTES = 20_000, 32_000_000
+#: Sketched shingles that a containing document is sure to hold, where the item has so many.
+SPARE = 8
 _PUNCT = bytes(i for i in range(33, 127) if not chr(i).isalnum())
 _PLAIN = bytes.maketrans(_PUNCT, b" " * len(_PUNCT))
 _BASE = np.uint64(0xD6E8FEB86659FD93)
@@ -69,10 +73,14 @@ def run_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
     return (out ^ (out >> np.uint64(32))) * np.uint64(0x9FB21C651E98DF25)
 
 
+def may_miss(n: int, containment: float) -> int:
+    """The most of n shingles that a document may lack which contains the item."""
+    return n - math.ceil(containment * n - 1e-9)
+
+
 def sketch_size(n: int, containment: float) -> int:
-    """Of the partition of sizes that n is in: one more than the most shingles that one of its items may miss."""
-    largest = (1 << n.bit_length()) - 1
-    return largest - math.ceil(containment * largest - 1e-9) + 1
+    """Of the partition of sizes that n is in: SPARE more than the most shingles that one of its items may miss."""
+    return min(n, may_miss((1 << n.bit_length()) - 1, containment) + SPARE)
 
 
 class Sketches:
@@ -88,9 +96,10 @@ class Sketches:
                 continue
             k = min(shingle, len(words))
             hashes = np.unique(np.concatenate([run_hashes(word_hashes(s.split(b" ")), k) for s in own]))
-            for h in hashes[: sketch_size(len(own), containment)].tolist():
+            sketch = hashes[: sketch_size(len(own), containment)].tolist()
+            for h in sketch:
                 found[k][h].append(len(self.of_item))
-            self.of_item.append((item_id, k, own))
+            self.of_item.append((item_id, len(sketch) - may_miss(len(own), containment), own))
         self.lookup = {k: dict(v) for k, v in found.items()}
         self.maps = {}
         for k, v in self.lookup.items():
@@ -106,7 +115,8 @@ class Sketches:
             runs = run_hashes(hashes, k)
             maybe = runs[bits[runs >> np.uint64(64 - _BITMAP)]].tolist() if len(runs) else []
             lookup = self.lookup[k]
-            items = sorted({i for h in maybe for i in lookup.get(h, ())})
+            hits = Counter(i for h in set(maybe) for i in lookup.get(h, ()))
+            items = sorted(i for i, n in hits.items() if n >= self.of_item[i][1])
             if not items:
                 continue
             held = shingles(words, k)
@@ -121,12 +131,15 @@ class Sketches:
 def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_items: int) -> Iterator[list[tuple[int | None, bytes]]]:
     """The items in blocks; the driver holds one block at a time."""
     block: list[tuple[int | None, bytes]] = []
+    size = 0
     rows = benchmark.select(F.col(id_col).cast("long").alias("item_id"), whole_text(text_col).alias("body")).distinct()
     for row in rows.toLocalIterator():
-        block.append((row["item_id"], bytes(row["body"])))
-        if len(block) == block_items:
+        body = bytes(row["body"])
+        if block and (len(block) == block_items or size + len(body) > BLOCK_BYTES):
             yield block
-            block = []
+            block, size = [], 0
+        block.append((row["item_id"], body))
+        size += len(body)
     if block:
         yield block
 

@@ -2,12 +2,13 @@
 
 The patterns (email, ip, card, phone) give the base spans, which always stay. The model then labels whole segments of
 tokens: a candidate segment of up to MAX_TOKENS tokens is scored by features of the whole span (its shape, digit count,
-check sum, the words before it), and dynamic programming over segments chooses boundaries and kinds jointly. Its spans
-that touch no base span are added; one kind, `secret`, has no pattern.
+check sum, the words before it), neighbouring segments by their kinds, and dynamic programming over segments of bounded
+length chooses boundaries and kinds jointly. Its spans that touch no base span are added; one kind, `secret`, has no
+pattern. A span may have any number of characters.
 
-A segment of a kind other than "none" consists of tokens with a digit or an @, and "none" segments are single tokens of
-score 0. So the best labelling of a text is made of the best labellings of its stretches of such tokens, and only these
-are decoded: exact, and linear in the text.
+A segment of a kind other than "none" consists of tokens with a digit or an @, and "none" segments are single tokens.
+Other words have no kind and end a stretch of such tokens, so the best labelling of a text is made of the best
+labellings of its stretches, and only these are decoded: exact, and linear in the text.
 
 The weights are trained here, by gradient ascent on the conditional likelihood (forward and backward sums over
 segments) of TRAIN_LINES generated lines; the number of lines is the bound of the sample and a parameter.
@@ -19,7 +20,6 @@ code points, the end exclusive. Empty tables give empty results; extra columns a
 from __future__ import annotations
 
 import hashlib
-import math
 import random
 import re
 from collections.abc import Iterator
@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "secret")
+#: What follows the kinds in the model: tokens of no kind, and the begin of a stretch.
+NONE, START = len(KINDS), len(KINDS) + 1
 MAX_TOKENS = 6
 TRAIN_LINES = 600
 EPOCHS = 12
@@ -160,10 +162,13 @@ def stretches(text: str) -> Iterator[list[tuple[int, int]]]:
 
 
 class SemiCrf:
-    """Weights by (kind, feature); segments of kind none are single tokens of score 0."""
+    """Weights by (kind, feature) for whole segments, and by (kind before, kind) for neighbouring ones.
 
-    def __init__(self, index: dict[str, int], weights: np.ndarray):
-        self.index, self.weights = index, weights
+    Kind NONE is a single token; its segment scores 0, its transitions do not. START is what a stretch begins with.
+    """
+
+    def __init__(self, index: dict[str, int], weights: np.ndarray, moves: np.ndarray):
+        self.index, self.weights, self.moves = index, weights, moves
 
     def candidates(self, text: str, run: list[tuple[int, int]]) -> dict[tuple[int, int], tuple[int, int, np.ndarray]]:
         """By (first token, number of tokens): the trimmed span and its feature numbers."""
@@ -171,7 +176,7 @@ class SemiCrf:
         for i in range(len(run)):
             for n in range(1, min(MAX_TOKENS, len(run) - i) + 1):
                 start, end = trimmed(text, run[i][0], run[i + n - 1][1])
-                if start < end and end - start <= 256:
+                if start < end:
                     ids = [self.index[f] for f in features(text, start, end, n) if f in self.index]
                     out[i, n] = (start, end, np.array(ids, np.int64))
         return out
@@ -180,45 +185,64 @@ class SemiCrf:
         return {k: self.weights[:, ids].sum(axis=1) for k, (_, _, ids) in cands.items()}
 
     def decode(self, text: str) -> list[tuple[str, int, int]]:
+        """The best segmentation of each stretch: over segments ending at each token, by the kind of the last one."""
         out = []
         for run in stretches(text):
             cands = self.candidates(text, run)
             scores = self.scores(cands)
-            best, back = [0.0] * (len(run) + 1), [(1, -1)] * (len(run) + 1)
+            best = np.full((len(run) + 1, START + 1), -np.inf)
+            best[0, START] = 0.0
+            back: list[list[tuple[int, int]]] = [[(0, START)] * (START + 1) for _ in range(len(run) + 1)]
+            into = [best[0][:, None] + self.moves]
             for j in range(1, len(run) + 1):
-                best[j], back[j] = best[j - 1], (1, -1)
                 for n in range(1, min(MAX_TOKENS, j) + 1):
+                    arrive = into[j - n]
                     s = scores.get((j - n, n))
-                    if s is not None:
-                        kind = int(s.argmax())
-                        if best[j - n] + s[kind] > best[j]:
-                            best[j], back[j] = best[j - n] + float(s[kind]), (n, kind)
-            j, found = len(run), []
+                    kinds = [*(range(NONE) if s is not None else ()), *([NONE] if n == 1 else ())]
+                    for kind in kinds:
+                        before = int(arrive[:, kind].argmax())
+                        value = arrive[before, kind] + (s[kind] if kind < NONE else 0.0)
+                        if value > best[j, kind]:
+                            best[j, kind], back[j][kind] = value, (n, before)
+                into.append(best[j][:, None] + self.moves)
+            j, kind, found = len(run), int(best[len(run)].argmax()), []
             while j > 0:
-                n, kind = back[j]
-                if kind >= 0:
+                n, before = back[j][kind]
+                if kind < NONE:
                     start, end, _ = cands[j - n, n]
                     found.append((KINDS[kind], start, end))
-                j -= n
+                j, kind = j - n, before
             out += found[::-1]
         return out
 
 
-def _logsum(x: list[float]) -> float:
-    m = max(x)
-    return m + math.log(sum(math.exp(v - m) for v in x))
-
-
-def gradient(scores: dict, n_tokens: int) -> tuple[float, dict[tuple[int, int], np.ndarray]]:
-    """log of the sum over all segmentations, and each segment's probability by kind."""
-    fwd, bwd = [0.0] * (n_tokens + 1), [0.0] * (n_tokens + 1)
-    total = {k: _logsum(list(s)) for k, s in scores.items()}
-    for j in range(1, n_tokens + 1):
-        fwd[j] = _logsum([fwd[j - 1], *(fwd[j - n] + total[j - n, n] for n in range(1, min(MAX_TOKENS, j) + 1) if (j - n, n) in total)])
-    for j in range(n_tokens - 1, -1, -1):
-        bwd[j] = _logsum([bwd[j + 1], *(bwd[j + n] + total[j, n] for n in range(1, min(MAX_TOKENS, n_tokens - j) + 1) if (j, n) in total)])
-    z = fwd[n_tokens]
-    return z, {(i, n): np.exp(fwd[i] + s + bwd[i + n] - z) for (i, n), s in scores.items()}
+def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
+    m = np.maximum(x.max(axis=axis, keepdims=True), -1e300)
+    return (m + np.log(np.exp(x - m).sum(axis=axis, keepdims=True))).squeeze(axis)
+
+
+def gradient(scores: dict, n_tokens: int, moves: np.ndarray) -> tuple[float, dict[tuple[int, int], np.ndarray], np.ndarray]:
+    """log of the sum over all segmentations, each segment's probability by kind, and the expected number of each move."""
+    emit = {(i, n): np.append(s, 0.0 if n == 1 else -np.inf) for (i, n), s in scores.items()}
+    for i in range(n_tokens):
+        emit.setdefault((i, 1), np.append(np.full(NONE, -np.inf), 0.0))
+    fwd, bwd = np.full((n_tokens + 1, START + 1), -np.inf), np.full((n_tokens + 1, START + 1), -np.inf)
+    fwd[0, START], bwd[n_tokens] = 0.0, 0.0
+    with np.errstate(divide="ignore", invalid="ignore"):
+        arrive = [_logsum(fwd[0][:, None] + moves, 0)]
+        for j in range(1, n_tokens + 1):
+            ends = [arrive[j - n] + emit[j - n, n] for n in range(1, min(MAX_TOKENS, j) + 1) if (j - n, n) in emit]
+            fwd[j, :START] = _logsum(np.stack(ends), 0)
+            arrive.append(_logsum(fwd[j][:, None] + moves, 0))
+        after = [np.zeros(0)] * n_tokens
+        for j in range(n_tokens - 1, -1, -1):
+            starts = [emit[j, n] + bwd[j + n, :START] for n in range(1, min(MAX_TOKENS, n_tokens - j) + 1) if (j, n) in emit]
+            after[j] = _logsum(np.stack(starts), 0)
+            bwd[j] = _logsum(moves + after[j][None, :], 1)
+        z = float(_logsum(fwd[n_tokens], 0))
+        probs = {(i, n): np.exp(arrive[i] + e + bwd[i + n, :START] - z) for (i, n), e in emit.items()}
+        steps = sum(np.exp(fwd[j][:, None] + moves + after[j][None, :] - z) for j in range(n_tokens))
+    return z, probs, steps
 
 
 def training_lines(count: int = TRAIN_LINES, seed: int = SEED) -> list[tuple[str, list[tuple[str, int, int]]]]:
@@ -287,30 +311,45 @@ def fit(count: int, epochs: int, seed: int) -> SemiCrf:
                     if start < end:
                         names.update(features(text, start, end, n))
     index = {f: i for i, f in enumerate(sorted(names))}
-    model = SemiCrf(index, np.zeros((len(KINDS), len(index))))
+    model = SemiCrf(index, np.zeros((len(KINDS), len(index))), np.zeros((START + 1, START)))
     items = []
     for text, spans in lines:
         gold = {(s, e): KINDS.index(k) for k, s, e in spans}
         for run in stretches(text):
             cands = model.candidates(text, run)
             if cands:
-                items.append((len(run), cands, [(k, gold[c[:2]]) for k, c in _cover(cands, gold)]))
-    square, rng = np.full_like(model.weights, 1e-8), random.Random(seed)
+                truth = sorted((k, gold[c[:2]]) for k, c in _cover(cands, gold))
+                items.append((len(run), cands, truth, _moves(len(run), truth)))
+    square, moved, rng = np.full_like(model.weights, 1e-8), np.full_like(model.moves, 1e-8), random.Random(seed)
     for _ in range(epochs):
         rng.shuffle(items)
-        for n_tokens, cands, truth in items:
-            _, probs = gradient(model.scores(cands), n_tokens)
+        for n_tokens, cands, truth, seen in items:
+            _, probs, steps = gradient(model.scores(cands), n_tokens, model.moves)
             step = -1e-4 * model.weights
             for k, (_, _, ids) in cands.items():
-                if probs[k].max() > 1e-6:
-                    step[:, ids] -= probs[k][:, None]
+                if probs[k][:NONE].max() > 1e-6:
+                    step[:, ids] -= probs[k][:NONE, None]
             for k, kind in truth:
                 step[kind, cands[k][2]] += 1
             square += step * step
             model.weights += 0.3 * step / np.sqrt(square)
+            step = seen - steps - 1e-4 * model.moves
+            moved += step * step
+            model.moves += 0.3 * step / np.sqrt(moved)
     return model
 
 
+def _moves(n_tokens: int, truth: list[tuple[tuple[int, int], int]]) -> np.ndarray:
+    """How often each kind follows each other one, tokens outside `truth` being of no kind."""
+    out, before, at = np.zeros((START + 1, START)), START, 0
+    for (i, n), kind in [*truth, ((n_tokens, 0), -1)]:
+        for k in [NONE] * (i - at) + [kind] * (kind >= 0):
+            out[before, k] += 1
+            before = k
+        at = i + n
+    return out
+
+
 def _cover(cands: dict, gold: dict) -> Iterator[tuple[tuple[int, int], tuple]]:
     """The candidate segments that are gold spans, each with its fewest tokens."""
     done: set[tuple[int, int]] = set()
@@ -333,7 +372,7 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
 
 
-OUT = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
+OUT = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long"
 
 
 def find_personal_data(docs: DataFrame, model: SemiCrf | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -346,9 +385,9 @@ def find_personal_data(docs: DataFrame, model: SemiCrf | None = None, id_col: st
             for text in batch.column(1).to_pylist():
                 base, spans = all_spans(text, model)
                 counts = [sum(k == kind for k, _, _ in base) for kind in BASE_KINDS]
-                rows.append((*counts, hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans)))
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
-            kinds = [pa.int64()] * 4 + [pa.string()] * 2
+                rows.append((*counts, hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans), len(spans)))
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
+            kinds = [*[pa.int64()] * 4, pa.string(), pa.string(), pa.int64()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=[x.split()[0] for x in OUT.split(", ")])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("body")).mapInArrow(find, OUT)

@@ -101,6 +101,7 @@ def _op1_sql() -> str:
     bound = lambda t: f"regexp_matches(u, '(^|[^a-z0-9]){t}([^a-z0-9]|$)')"
     hard = " + ".join(f"{bound(t)}::BIGINT" for t in url_filter.STRICT)
     soft = " + ".join(f"{bound(t)}::BIGINT" for t in url_filter.SOFT)
+    weight = " + ".join(f"{w} * {bound(t)}::BIGINT" for t, w in url_filter.SOFT.items())
     rules = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     return f"""
@@ -108,12 +109,12 @@ WITH rules(rh, rp, rv) AS (VALUES {rules}),
 p AS (SELECT page_id, translate(coalesce(url, ''), '{upper}', '{lower}') AS u,
         CASE WHEN contains(url, '://') THEN regexp_extract(url, '^.*?://([^/?#]*)', 1, 's') ELSE '' END AS host0,
         CASE WHEN contains(url, '://') THEN regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's') ELSE '' END AS path FROM pages),
-j AS (SELECT *, translate(host0, '{upper}', '{lower}') AS host, {hard} AS strict_hits, {soft} AS soft_hits FROM p),
+j AS (SELECT *, translate(host0, '{upper}', '{lower}') AS host, {hard} AS strict_hits, {soft} AS soft_hits, {weight} AS soft_weight FROM p),
 fit AS (SELECT j.page_id, max_by(rh || rp, length(rh || rp)) AS rule, max_by(rv, length(rh || rp)) AS rv
         FROM j JOIN rules ON (j.host = rh OR ends_with(j.host, '.' || rh)) AND starts_with(j.path, rp) GROUP BY 1)
 SELECT j.page_id, host, path, rule,
-  coalesce(rv, CASE WHEN strict_hits > 0 OR soft_hits >= 2 THEN 'block' ELSE 'allow' END) AS verdict,
-  strict_hits, soft_hits, soft_hits * 0.5::DOUBLE AS soft_weight
+  coalesce(rv, CASE WHEN strict_hits > 0 OR (soft_hits >= 2 AND soft_weight >= {url_filter.SOFT_LIMIT}) THEN 'block' ELSE 'allow' END) AS verdict,
+  strict_hits, soft_hits, soft_weight
 FROM j LEFT JOIN fit USING (page_id)"""
 
 
