@@ -7,8 +7,11 @@ its link-adjusted characters per tag,
     density = C / T * log(C / max(LC, 1) * T / max(LT, 1)) / (1 + log(log(C / max(C - LC, 1) * LC + LCb / Cb * C + e)))
 
 (C, T: characters and tags of the subtree, LC, LT: those in links, b: of the body; the 1 keeps pages without links
-defined), and the sum of its children's densities. The subtree with the largest sum is the content; the smallest density on its path up to the body is the
-threshold at which neighbouring parts of its container count as content too. All text of the content is kept.
+defined), and the sum of its children's densities, texts being children of one tag without links. The subtree with the
+largest sum is the content; if it is only a part of a text (a paragraph, a list), the container around it is. The
+smallest density on its path up to the body is the threshold at which neighbouring containers and lists count as content
+too; neighbouring paragraphs and headings do if they aren't mostly links. An `article` or `main` around the densest
+subtree is taken as a whole. All text of the content is kept.
 
 Rules of the output: character references are decoded, each run of white space in a block is one space, blocks are
 trimmed, empty blocks vanish, and blocks are joined in page order by an empty line.
@@ -23,6 +26,8 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -69,6 +74,7 @@ class Page:
         self.hinted: list[int] = []
         self.headers: list[int] = []  # named a header: the page's own unless it holds a heading
         self.stack = [0]
+        self.at: defaultdict[str, list[int]] = defaultdict(list)  # by tag: where its open elements are in the stack
         self._read(source)
         while self.stack:
             self._close()
@@ -82,6 +88,7 @@ class Page:
         if tag in BLOCKS or tag == "br":
             self.parts.append((node, None if tag != "br" else " "))
         if tag not in VOID:
+            self.at[tag].append(len(self.stack))
             self.stack.append(node)
         else:
             self.end[node] = node + 1
@@ -89,19 +96,23 @@ class Page:
 
     def _close(self) -> None:
         node = self.stack.pop()
+        if self.stack:
+            self.at[self.tag[node]].pop()
         self.end[node] = len(self.tag)
         if self.tag[node] in BLOCKS:
             self.parts.append((node, None))
 
+    def _innermost(self, tags: set[str] | frozenset[str]) -> int:
+        """Where in the stack the innermost open element of `tags` is; 0 if there is none."""
+        return max((self.at[t][-1] for t in tags if self.at[t]), default=0)
+
     def _close_until(self, tags: set[str] | frozenset[str], barrier: set[str] | frozenset[str]) -> None:
         """Closes the outermost open element of `tags` above the innermost barrier."""
-        at = None
-        for i in range(len(self.stack) - 1, 0, -1):
-            if self.tag[self.stack[i]] in barrier:
-                break
-            if self.tag[self.stack[i]] in tags:
-                at = i
-        while at is not None and len(self.stack) > at:
+        bar, first = self._innermost(barrier), []
+        for t in tags:
+            k = bisect_right(self.at[t], bar)
+            first += self.at[t][k : k + 1]
+        while first and len(self.stack) > min(first):
             self._close()
 
     def _start(self, tag: str, attrs: str) -> None:
@@ -184,14 +195,11 @@ class Page:
             self.parts.append((self.stack[-1], " "))
             return
         barrier = {"article", "main", "table", "body"} if tag not in BLOCKS else {"body"} if tag not in ("html", "body") else set()
-        for i in range(len(self.stack) - 1, 0, -1):
-            name = self.tag[self.stack[i]]
-            if name == tag:
-                while len(self.stack) > i:
-                    self._close()
-                break
-            if name in barrier:
-                return
+        mine = self._innermost({tag})
+        if mine and mine < self._innermost(barrier - {tag}):
+            return
+        while mine and len(self.stack) > mine:
+            self._close()
         if tag == "p":
             self.open_p = 0
 
@@ -209,6 +217,8 @@ _HEADINGS = _CONTENT | frozenset(("h2", "h3", "h4", "h5", "h6"))
 _WHOLE = frozenset(("article", "main"))
 #: Elements that hold a part of a text: the text itself is around them.
 _PARTS = frozenset("p li h1 h2 h3 h4 h5 h6 pre blockquote dt dd td th tr tbody thead tfoot ul ol dl hr figcaption".split())
+#: Those that are text however short they are.
+_TEXTS = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote".split())
 
 
 def mark_off(page: Page) -> None:
@@ -230,11 +240,11 @@ def mark_off(page: Page) -> None:
         off[i] = off[i] or off[page.parent[i]]
 
 
-def densities(page: Page) -> tuple[list[float], list[float], list[int]]:
-    """Density and sum of the children's densities of each node, and its characters."""
+def densities(page: Page) -> tuple[list[float], list[float], list[int], list[int]]:
+    """Density and sum of the children's densities of each node (texts are children too), its characters, and those in links."""
     n = len(page.tag)
     chars, link, tags, link_tags = [0] * n, [0] * n, [0] * n, [0] * n
-    sums, loose = [0.0] * n, [0] * n
+    sums, loose = [0.0] * n, [0.0] * n
     in_link = [False] * n
     for i in range(1, n):
         in_link[i] = in_link[page.parent[i]] or page.tag[i] == "a"
@@ -242,9 +252,10 @@ def densities(page: Page) -> tuple[list[float], list[float], list[int]]:
         if text and not page.off[node]:
             c = len(_SPACE.sub(" ", text).strip(" "))
             chars[node] += c
-            loose[node] += c
             if in_link[node]:
                 link[node] += c
+            elif c:
+                loose[node] += c * math.log(c)  # a text's own density: one tag, no links
     for i in range(n - 1, 0, -1):
         if not page.off[i]:
             p = page.parent[i]
@@ -265,17 +276,15 @@ def densities(page: Page) -> tuple[list[float], list[float], list[int]]:
             density[i] = c / t * top / (1 + base)
     for i in range(n - 1, 0, -1):
         sums[page.parent[i]] += density[i]
-    for i in range(n):
-        sums[i] += loose[i] * 0.5 if page.tag[i] in BLOCKS else 0.0
-    return density, sums, chars
+    return density, [x + y for x, y in zip(sums, loose, strict=True)], chars, link
 
 
-def content_nodes(page: Page) -> list[int]:
-    """The tops of the kept subtrees."""
-    density, sums, chars = densities(page)
+def content_nodes(page: Page) -> tuple[list[int], int | None]:
+    """The tops of the kept subtrees, and the node whose own text is kept beside them."""
+    density, sums, chars, link = densities(page)
     live = [i for i in range(len(page.tag)) if chars[i] and not page.off[i]]
     if not live:
-        return []
+        return [], None
     best = max(live, key=lambda i: (sums[i], -i))
     path = [best]
     while path[-1] != 0:
@@ -285,25 +294,20 @@ def content_nodes(page: Page) -> list[int]:
     for tag in ("article", "main"):
         # The outermost such element around the densest subtree is the article as a whole.
         if around := [i for i in path if page.tag[i] == tag]:
-            return [around[-1]]
-    top = best
-    for up in path[1:]:
-        if page.tag[top] in _PARTS or page.tag[top] not in BLOCKS and top != 0:
-            top = up
-            continue
-        if page.tag[up] in ("body", "html", "#page"):
-            break
-        rest = chars[up] - chars[top]
-        if rest and rest / max(1, sum(1 for c in range(up + 1, page.end[up]) if page.parent[c] == up)) >= threshold / 4:
-            top = up
-        else:
-            break
-    if page.tag[top] in ("body", "html", "#page"):
-        return [top]
-    parent = page.parent[top]
-    siblings = [i for i in live if page.parent[i] == parent and i != 0]
-    kept = [i for i in siblings if i == top or density[i] >= threshold or page.tag[i] in ("h1", "h2")]
-    return kept or [top]
+            return [around[-1]], None
+    inside = _counts(page, BLOCKS)
+    blocks = lambda i: inside[page.end[i]] > inside[i + 1]
+    part = lambda i: page.tag[i] in _PARTS or page.tag[i] not in BLOCKS and i != 0
+    # A part of a text, or a block of nothing but text, stands for the text around it.
+    top = next((i for i in path if i == 0 or not part(i) and (blocks(i) or page.tag[i] == "body")), 0)
+    outer = page.tag[top] in ("body", "html", "#page")
+    beside = [i for i in live if i and page.parent[i] == (top if outer else page.parent[top])]
+    plain = lambda i: page.tag[i] in _TEXTS and link[i] * 2 <= chars[i]
+    kept = [i for i in beside if i == top or plain(i) or density[i] >= threshold and (part(i) or blocks(i))]
+    if not outer:
+        return kept, None
+    # The text lies in the body itself: beside paragraphs and containers of blocks, blocks of bare text are no part of it.
+    return (kept if any(page.tag[i] in BLOCKS for i in kept) else beside), top
 
 
 def extract(source: str | None) -> str:
@@ -311,7 +315,16 @@ def extract(source: str | None) -> str:
         return ""
     page = Page(source)
     mark_off(page)
-    spans = [(i, page.end[i]) for i in content_nodes(page)]
+    tops, own = content_nodes(page)
+    keep = [False] * len(page.tag)
+    for i in tops:
+        keep[i] = True
+    for i in range(1, len(keep)):
+        keep[i] = keep[i] or (keep[page.parent[i]] and page.parent[i] != own)
+        if i == own:
+            keep[i] = True
+    if own == 0:
+        keep[0] = True
     blocks: list[str] = []
     now: list[str] = []
 
@@ -324,7 +337,7 @@ def extract(source: str | None) -> str:
     for node, text in page.parts:
         if text is None:
             flush()
-        elif not page.off[node] and any(s <= node < e for s, e in spans):
+        elif keep[node] and not page.off[node]:
             now.append(text)
     flush()
     return "\n\n".join(blocks)

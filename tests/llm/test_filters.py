@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -277,6 +278,35 @@ def test_html_articles_of_the_pages_table(spark):
         assert html_text.extract(r["html"]) == "\n\n".join(p for p in parts if p)
 
 
+def without_names(source):
+    """The page without class, id and role, every sectioning element a div: only densities can tell its parts apart."""
+    source = re.sub(r'\s(class|id|role)="[^"]*"', "", source)
+    return re.sub(r"<(/?)(nav|header|footer|aside|article|main|section)\b", r"<\1div", source)
+
+
+def test_html_articles_by_density_alone(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()
+    assert all(html_text.extract(without_names(r["html"])) == html_text.extract(r["html"]) for r in rows)
+    links = "".join(f"<li><a href=/{i}>Link number {i} of the menu</a></li>" for i in range(30))
+    more = "".join(f"<div><a href=/x{i}>Another story with a long title, number {i}</a></div>" for i in range(20))
+    for around in (("<div><ul>%s</ul></div>", "<div>%s</div><div>All rights reserved.</div>"), ("<table><tr><td><ul>%s</ul></td><td>", "</td><td>%s</td></tr></table>")):
+        page = f"<body>{around[0] % links}<div><h1>T</h1>{ARTICLE}<p>Short.</p></div>{around[1] % more}</body>"
+        got = html_text.extract(page).split("\n\n")
+        assert got[0] == "T" and got[-1] == "Short." and len(got) == 8
+    whole = html_text.extract(f"<body><div>{ARTICLE}</div><div>{ARTICLE}</div><div>{links}</div></body>")
+    assert whole.count("Paragraph") == 12 and "Link" not in whole
+
+
+@pytest.mark.parametrize(
+    "source",
+    ["<div>" * 20_000 + "x" + "</b>" * 100_000, "<b><article>" + "<div>" * 20_000 + "</b>" * 20_000, "<div>a" * 30_000, "<ul>" + "<li>x" * 50_000, "<body>" + "<div><p>some words</p></div>" * 20_000, "<a " + 'x="' * 100_000],
+)
+def test_html_time_is_linear(source):
+    began = time.perf_counter()
+    html_text.extract(source)
+    assert time.perf_counter() - began < 5
+
+
 def test_html_rules():
     assert html_text.extract("<p> a \n\t b&nbsp;&lt;x&gt; </p><p></p><p>c") == "a b\xa0<x>\n\nc"
     assert html_text.extract(None) == html_text.extract("") == html_text.extract("<script>x") == html_text.extract("<!-- <p>a</p>") == ""
