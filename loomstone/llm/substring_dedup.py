@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomstone.llm.common import hot_join, whole_text, written
+from loomstone.llm.common import hot_join, removed, whole_text, written
 
 WINDOW = 50
 ROUNDS = 6
@@ -182,10 +182,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     rows = surveyed.withColumn("same", F.struct("hi", "lo"))
     groups = written(rows.groupBy("same").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies")), "substring-copies")
     rows = written(hot_join(rows, groups, "same", "copies", rows.count()).drop("same", "copies"), "substring-rows")
+    removed(surveyed, groups)
     firsts = rows.where("doc_id = first_id").select("doc_id", "hi", "lo", F.explode("symbols").alias("symbol"))
-    shared = firsts.groupBy("symbol").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
-    shared = written(shared.select("symbol"), "substring-shared")
-    wanted = firsts.join(shared.hint("merge"), "symbol").groupBy("doc_id", "hi", "lo").agg(F.collect_set("symbol").alias("symbols"))
+    shared = firsts.groupBy("symbol").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("uses")).where("least < most")
+    shared = written(shared.select("symbol", "uses"), "substring-shared")
+    # A passage that many documents share has hot symbols and windows: these meet their groups by broadcast.
+    wanted = hot_join(firsts, shared, "symbol", "uses", rows.count()).groupBy("doc_id", "hi", "lo").agg(F.collect_set("symbol").alias("symbols"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from zstandard import ZstdCompressor
@@ -223,9 +225,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
                     )
 
     windows = written(texts.select("doc_id", "row", "packed", "symbols").mapInArrow(hash_windows, "h1 long, h2 long, doc_id long, row long, start long"), "substring-windows")
-    least = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
-    least = written(least.select("h1", "h2", "least"), "substring-first")
-    marks = windows.join(least.hint("merge"), ["h1", "h2"]).where("doc_id > least")
+    least = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("uses")).where("least < most")
+    least = written(least.select("h1", "h2", "least", "uses"), "substring-first")
+    marks = hot_join(windows, least, ["h1", "h2"], "uses", windows.count()).where("doc_id > least")
     marks = marks.groupBy("row").agg(F.collect_list("start").alias("starts"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
