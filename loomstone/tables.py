@@ -18,15 +18,22 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def settle(df: DataFrame, label: str = "step") -> DataFrame:
-    """`df` written to the shared folder and read back: the plan's lineage ends here and it is computed once."""
+    """`df` written to the shared folder and read back: the plan's lineage ends here and it is computed once.
+
+    The table is removed when the driver ends. Without a named folder a local master gets a temporary one.
+    """
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no folder that the driver and the executors share")
         base = tempfile.mkdtemp(prefix="loomstone-")
         atexit.register(shutil.rmtree, base, True)
         spark.sparkContext.setCheckpointDir(base)
     path = f"{base.rstrip('/')}/loomstone/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
 
 
