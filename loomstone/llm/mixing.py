@@ -201,7 +201,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     within = Window.partitionBy("source", "bucket").orderBy("doc_id", "text_hash", "size").rowsBetween(Window.unboundedPreceding, -1)
     units = units.withColumn("inner", F.coalesce(F.sum("total").over(within), F.lit(0)))
     sums = sums.withColumnsRenamed({"source": "s_source", "bucket": "s_bucket"})
-    joined = units.join(sums, units.source.eqNullSafe(sums.s_source) & (units.bucket == sums.s_bucket))
+    joined = units.join(sums.hint("merge"), units.source.eqNullSafe(sums.s_source) & (units.bucket == sums.s_bucket))
     joined = joined.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
     return joined.select(*unit, (F.col("base") + F.col("inner") + F.col("copy") * F.col("size")).alias("start"))
 
@@ -272,7 +272,7 @@ def pieces(placed: DataFrame, slots: DataFrame, block_words: int = BLOCK_WORDS)
 
     (shard, slot, at, source_no, doc_id, start, first_word, words); blocks are joined to slots by their index.
     """
-    taken = _spans(placed, block_words).join(slots, ["source_no", "block"])
+    taken = _spans(placed, block_words).join(slots.hint("merge"), ["source_no", "block"])
     end = F.least("to", F.coalesce("words_cap", F.lit(block_words)))
     first = F.col("block") * block_words + F.col("from") - F.col("start")
     return taken.where(end > F.col("from")).select("shard", "slot", F.col("from").alias("at"), "source_no", "doc_id", "start", first.alias("first_word"), (end - F.col("from")).alias("words"))
@@ -311,7 +311,7 @@ def mixed_texts(docs: DataFrame, placed: DataFrame, slots: DataFrame, block_word
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [*[pa.int64()] * 4, pa.string()], strict=True)], names=["source_no", "block", "at", "n", "part"])
 
     parts = starts.join(texts, "unit").select("source_no", "start", "body").mapInArrow(cut, "source_no long, block long, at long, n long, part string")
-    taken = parts.join(slots, ["source_no", "block"]).withColumn("left", F.least("n", F.coalesce("words_cap", F.lit(block_words)) - F.col("at"))).where("left > 0")
+    taken = parts.join(slots.hint("merge"), ["source_no", "block"]).withColumn("left", F.least("n", F.coalesce("words_cap", F.lit(block_words)) - F.col("at"))).where("left > 0")
     part = F.when(F.col("left") < F.col("n"), F.array_join(F.slice(F.split("part", " "), F.lit(1), F.col("left").cast("int")), " ")).otherwise(F.col("part"))
     grouped = taken.groupBy("shard", "slot", "source_no").agg(F.sum("left").alias("n_words"), F.sort_array(F.collect_list(F.struct("at", part.alias("part")))).alias("parts"))
     return grouped.select("shard", "slot", "source_no", "n_words", F.array_join(F.transform("parts", lambda x: x["part"]), " ").alias("text"))
@@ -321,7 +321,7 @@ def taken_words(placed: DataFrame, slots: DataFrame, block_words: int = BLOCK_WO
     """One row per document: doc_id, size, source_size, target, taken (the words of its pieces, repeats counted)."""
     words = pieces(placed, slots, block_words).groupBy("doc_id", "source_no", "start").agg(F.sum("words").alias("taken"))
     words = words.select(F.col("doc_id").alias("t_id"), F.col("source_no").alias("t_no"), F.col("start").alias("t_start"), "taken")
-    joined = placed.where("size > 0").join(words, placed.doc_id.eqNullSafe(words.t_id) & (placed.source_no == words.t_no) & (placed.start == words.t_start), "left")
+    joined = placed.where("size > 0").join(words.hint("merge"), placed.doc_id.eqNullSafe(words.t_id) & (placed.source_no == words.t_no) & (placed.start == words.t_start), "left")
     none = placed.where("size = 0").withColumn("taken", F.lit(0).cast("long"))
     cols = ["doc_id", "size", "source_size", "target"]
     return joined.select(*cols, F.coalesce("taken", F.lit(0)).cast("long").alias("taken")).unionByName(none.select(*cols, "taken"))
