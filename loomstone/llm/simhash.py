@@ -357,7 +357,7 @@ def shared_counts(source: DataFrame, shingle: int) -> DataFrame:
 
     names = ["bucket", "ids", "counts", "hashes", "texts"]
     sent = source.mapInArrow(send, "bucket int, ids binary, counts binary, hashes binary, texts binary")
-    dealt = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    dealt = sent.repartitionById(buckets, "bucket").sortWithinPartitions("bucket")
     return dealt.mapInArrow(count, "doc_id long, n long, m long").groupBy("doc_id").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
 
 
