@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+import builtins
+import functools
+import keyword
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from loomstone.functions import words
+
 #: Parts of a lower-cased path that mark non-production files (anywhere, also inside a word).
 NON_PRODUCTION = ("/tests/", "run_uat", "uat_test", "_rev", "/test_", "_test.py", "mock", "sandbox", "temp", "__pycache__", ".venv", ".git")
-#: In order, the first class whose pattern fits.
+#: In order, the first class whose pattern the path (with / for \\, in any case) has.
 PATH_CLASSES = (
-    ("doc_tooling", r"(^|/)(docs?|documentation)/.*(conf|build|generate|ext)"),
-    ("tooling", r"(^|/)(tools?|scripts?|ci|build|benchmarks?)/|(^|/)(setup|conftest|noxfile|fabfile)\.py$"),
-    ("test", r"(^|/)(tests?|testing)/|(^|/)test_[^/]*$|_test\.[a-z]+$"),
-    ("example", r"(^|/)(examples?|samples?|demos?|tutorials?)/"),
-    ("cli", r"(^|/)(cli|commands?|__main__)(/|\.|$)"),
+    ("doc_tooling", r"(^|/)(conf\.py$|docs?/conf|sphinx|mkdocs)"),
+    ("tooling", r"(^|/)(benchmarks?|prerelease|release|setup|build|[\w]*_shim|[\w]*_check|[\w]*_standalone[\w]*|conftest)\.py$"),
+    ("test", r"(^|/)(tests?|testing|conftest\.py$)(/|$)"),
+    ("example", r"(^|/)(examples?|tutorials?|samples?|demos?|docs?|doc)/"),
+    ("cli", r"(^|/)(cli|__main__\.py$|scripts?)(/|$)"),
 )
 #: Ignored folders of a source scan.
 IGNORED_DIRS = (".git", "__pycache__", "node_modules", ".venv", "venv")
@@ -28,9 +34,9 @@ def is_production(path) -> Column:
 
 
 def path_class(path) -> Column:
-    out = F.lit("production")
+    out, low = F.lit("production"), F.lower(F.replace(path, F.lit("\\"), F.lit("/")))
     for name, pattern in reversed(PATH_CLASSES):
-        out = F.when(F.lower(path).rlike(pattern), name).otherwise(out)
+        out = F.when(low.rlike(pattern), name).otherwise(out)
     return out
 
 
@@ -52,17 +58,33 @@ def module_name(path) -> Column:
     return F.regexp_replace(dotted, r"(^|\.)__init__$", "")
 
 
-def doc_token_class(token) -> Column:
-    """Class of a name quoted in documentation; the first rule that fits."""
+#: Forms of file names and of settings.
+FILE_NAME = r"(?i)^.*\.(py|html|txt|cfg|ini|toml|yaml|yml|json|rst|md|jinja2?|css|js|po|pot|mo)$"
+SETTING = r"^[A-Z][A-Z0-9_]{2,}$"
+
+
+def doc_token_class(token, with_role=None, own=()) -> Column:
+    """Class of a name quoted in documentation; the first rule that fits.
+
+    `with_role` tells that the text marks it as code of a kind; `own` are the repository's own dependencies.
+    """
+    role = F.lit(False) if with_role is None else F.coalesce(with_role, F.lit(False))
+    parts = F.split(token, r"\.")
+    head, last = F.element_at(parts, 1), F.element_at(parts, -1)
+    any_in = lambda names, *columns: functools.reduce(lambda a, b: a | b, (c.isin(*names) for c in columns))
+    keywords = sorted({*keyword.kwlist, *keyword.softkwlist, "match", "case", "type"})
+    packages = sorted({*words.DEPENDENCY_WORDS, *own})
+    dotted = F.contains(token, F.lit("."))
     return (
-        F.when(token.isin("True", "False", "None", "self", "cls", "def", "class", "return", "import", "async", "await", "yield", "lambda"), "keyword")
-        .when(token.rlike(r"\.(py|md|rst|txt|json|ya?ml|toml|cfg|ini|html?|js|css|sh)$"), "filename")
-        .when(token.isin("GET", "POST", "PUT", "DELETE", "PATCH", "HEAD", "OPTIONS"), "http")
-        .when(token.rlike(r"^[A-Z][A-Z0-9_]+$"), "config")
-        .when(token.isin("os", "sys", "re", "json", "logging", "pathlib", "datetime", "typing", "asyncio"), "stdlib")
-        .when(token.isin("int", "str", "float", "list", "dict", "set", "tuple", "bool", "len", "print", "range", "open", "type", "super"), "builtin")
-        .when(token.rlike(r"^(foo|bar|baz|example|my_?\w*)$"), "example")
-        .when(token.rlike(r"^\w+\.\w+"), "member")
-        .when(~token.rlike(r"[_A-Z(]"), "prose")
+        F.when(any_in(keywords, last, token), "keyword")
+        .when(token.rlike(FILE_NAME), "filename")
+        .when(any_in(words.HTTP_WORDS, token, last), "http")
+        .when(any_in(packages, head, token, last), "dependency")
+        .when(token.rlike(SETTING), "config")
+        .when(any_in(words.STDLIB_WORDS, last, head, token), "stdlib")
+        .when(any_in(sorted(dir(builtins)), last), "builtin")
+        .when(any_in(words.EXAMPLE_WORDS, last, token), "example")
+        .when(dotted & ~role, "member")
+        .when(~role & (token == F.lower(token)) & (token != F.upper(token)) & (F.length(token) < 14), "prose")
         .otherwise("api")
     )

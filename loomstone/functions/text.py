@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable
 
 import pandas as pd
@@ -149,11 +150,33 @@ def sql_name(name) -> Column:
 
 
 def quality_points(code) -> Column:
-    """The line and construct score of a function's text: shorter, loop-free code without many assignments scores higher."""
-    lines = F.size(F.split(F.trim(code), "\n"))
-    score = F.when(lines <= 3, 3).when(lines <= 6, 2).otherwise(1)
-    score = score - F.contains(code, F.lit("for ")).cast("int") - F.contains(code, F.lit("+=")).cast("int")
-    return score - F.when(F.length(code) - F.length(F.replace(code, F.lit("="), F.lit(""))) > 3, 1).otherwise(0)
+    """The score of a function's text: short ones get 4 (3 lines) or 2 (6 lines) points, others 1; a loop costs 3 and
+    an accumulation 2; at most one equals sign adds 2. Empty lines count, a last line break adds none."""
+    body = F.regexp_replace(F.regexp_replace(code, "\r\n?", "\n"), "\n$", "")
+    lines = F.when(F.length(code) == 0, 0).otherwise(F.size(F.split(body, "\n")))
+    score = F.when(lines <= 3, 4).when(lines <= 6, 2).otherwise(1)
+    score = score - F.when(F.contains(code, F.lit("for ")), 3).otherwise(0) - F.when(F.contains(code, F.lit("+=")), 2).otherwise(0)
+    return score + F.when(F.length(code) - F.length(F.replace(code, F.lit("="), F.lit(""))) <= 1, 2).otherwise(0)
+
+
+def rounded_cut(least: float, digits: int = 2) -> float:
+    """The smallest number that Python rounds to `least` or more: a comparison with it is one with the rounded value."""
+    x = least - 0.5 * 10**-digits
+    while round(x, digits) >= least:
+        x = math.nextafter(x, -math.inf)
+    while round(x, digits) < least:
+        x = math.nextafter(x, math.inf)
+    return x
+
+
+def lexical_level(score) -> Column:
+    """The level of a lexical score that is not rounded yet."""
+    return level(score, rounded_cut(0.75), rounded_cut(0.45))
+
+
+def embedding_level(score) -> Column:
+    """The level of a cosine that is not rounded yet."""
+    return level(score, rounded_cut(0.8), rounded_cut(0.5))
 
 
 def call_counts(text) -> Column:

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomstone.functions import words
 from loomstone.operators.joins import first_match
 from loomstone.tables import settle, union_all
 
@@ -29,7 +30,6 @@ INHERITED = (
     "assertGreaterEqual assertLess assertLessEqual assertRegex assertNotRegex assertCountEqual assertListEqual assertDictEqual assertSetEqual "
     "assertTupleEqual assertMultiLineEqual assertSequenceEqual setUp tearDown setUpClass tearDownClass fail skipTest"
 ).split()
-DEEPEST = 20
 
 
 def symbols(facts: DataFrame) -> DataFrame:
@@ -71,7 +71,7 @@ def ancestors(bases: DataFrame) -> DataFrame:
     step = bases.select(F.col("path").alias("from"), "ord", "base")
     live = bases.select("path", F.col("base").alias("ancestor"), F.array("ord").alias("place"), F.array("path", "base").alias("seen"))
     found = []
-    for _ in range(DEEPEST):
+    while True:  # a chain ends where it has no new base, at whatever depth
         live = settle(live, "ancestors")
         if live.isEmpty():
             break
@@ -231,13 +231,16 @@ def unresolved_by_pattern(unresolved: DataFrame, most: int = 5) -> DataFrame:
     return unresolved.groupBy("pattern").agg(F.count("*").alias("n"), F.slice(F.array_sort(F.collect_set(F.concat_ws(":", "module", "lineno"))), 1, most).alias("examples"))
 
 
-def unresolved_cause(name, receiver) -> F.Column:
-    """Why a call stays unresolved, by its names."""
+def unresolved_cause(name, pattern) -> F.Column:
+    """Why a call stays unresolved, by the name that is called; the last two are guesses from the way names are written."""
+    first = F.substring(name, 1, 1)
     return (
-        F.when(name.rlike("^(route|get|post|put|delete|fixture|mark|task|command)$"), "framework_helper")
-        .when(receiver.rlike(r"^\p{Lu}"), "class_alias")
-        .when(name.isin("append", "extend", "items", "keys", "values", "join", "split", "strip", "format", "update", "pop", "add", "encode", "decode"), "builtin_like")
-        .when(name.rlike("^[a-z_]"), "lower_case")
-        .when(name.rlike("^[A-Z]"), "upper_case")
-        .otherwise("unknown")
+        F.when(pattern == "parse_error", "parse_error")
+        .when(F.coalesce(name, F.lit("")) == "", "attribute_type_unknown")
+        .when(name.isin(*words.FRAMEWORK_HELPERS), "framework_helper")
+        .when(name.isin(*words.CLASS_ALIASES), "class_alias")
+        .when(name.isin(*words.BUILTIN_METHODS), "builtin_like")
+        .when(first.rlike(r"^\p{Ll}"), "name_suggests_object_method_unconfirmed")
+        .when(first.rlike(r"^\p{Lu}"), "name_suggests_external_class_unconfirmed")
+        .otherwise("attribute_type_unknown")
     )

@@ -8,10 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Domains that are a business's core, and those that serve any.
-CORE_DOMAINS = ("finance", "healthcare", "commerce", "energy", "logistics", "education", "government", "manufacturing")
-SERVING_DOMAINS = ("devops", "security", "database", "networking", "infrastructure", "monitoring")
-
+from loomstone.functions import words
 
 def signals(found: DataFrame, signatures: DataFrame, key: str) -> DataFrame:
     """(key, type, weight) of what was found; signatures: (key, type, weight)."""
@@ -71,28 +68,56 @@ def architecture(names: DataFrame, hints: DataFrame) -> DataFrame:
 
 def domain(hits: DataFrame) -> DataFrame:
     """One row (domain, hits): most hits, a core domain before a serving one of equals."""
-    core = F.col("domain").isin(*CORE_DOMAINS)
+    core = F.upper("domain").isin(*words.CORE_DOMAINS)
     return hits.groupBy("domain").agg(F.count("*").alias("hits")).orderBy(F.desc("hits"), core.desc(), "domain").limit(1)
 
 
 def subsumption(first, second) -> F.Column:
-    """Whether one of two domains takes in the other: a core one takes in a serving one, else they conflict."""
-    a, b = first.isin(*CORE_DOMAINS), second.isin(*CORE_DOMAINS)
-    c, d = first.isin(*SERVING_DOMAINS), second.isin(*SERVING_DOMAINS)
-    return F.when(first == second, "same").when((a & d) | (b & c), "subsumed").otherwise("conflict")
+    """What two domains are to each other: NONE if the same or the second is empty, RESOLVED_BY_SUBSUMPTION if one is a
+    core domain and the other serves any, else DOMAIN_CONFLICT_DETECTED, the only one to warn of."""
+    a, b = F.upper(first), F.upper(F.coalesce(second, F.lit("")))
+    core, serving = lambda x: x.isin(*words.CORE_DOMAINS), lambda x: x.isin(*words.SERVING_DOMAINS)
+    return F.when((a == b) | (b == ""), "NONE").when((core(a) & serving(b)) | (core(b) & serving(a)), "RESOLVED_BY_SUBSUMPTION").otherwise("DOMAIN_CONFLICT_DETECTED")
+
 
+def discovery_score(total_files, languages, config_files, dependency_files, doc_files, python_files) -> F.Column:
+    """How much a scan found, of four checks: files, a language, structure, contents. All arguments are counts."""
+    some = lambda c: F.coalesce(c, F.lit(0)) > 0
+    checks = (some(total_files), some(languages), some(config_files) | some(dependency_files) | some(languages) | some(doc_files), some(python_files) | some(languages) | some(total_files))
+    return sum((c.cast("int") for c in checks), F.lit(0)) / 4
 
-def discovery_score(has_manifest, has_source, has_docs, has_entry) -> F.Column:
-    return sum((F.coalesce(c, F.lit(False)).cast("int") for c in (has_manifest, has_source, has_docs, has_entry)), F.lit(0)) / 4
+
+def classification_score(signals: DataFrame, frameworks: DataFrame) -> DataFrame:
+    """(repo, score) of the repositories of frameworks (repo, framework: null if none) by signals (repo, type, weight).
+
+    Of four checks: signals, a framework, dominance (half of the weight, or a framework), a type of weight 2. Without
+    signals only the first two are asked.
+    """
+    sums = signals.groupBy("repo", "type").agg(F.sum("weight").alias("weight")).groupBy("repo").agg(F.max("weight").alias("top"), F.sum("weight").alias("total"))
+    named = F.col("framework").isNotNull()
+    some = F.col("total").isNotNull()
+    dominant = F.coalesce((F.col("total") > 0) & ((F.col("top") / F.when(F.col("total") > 0, F.col("total")) >= 0.5) | named), F.lit(False))
+    strong = F.coalesce((F.col("total") > 0) & (F.col("top") >= 2), F.lit(False))
+    points = some.cast("int") + named.cast("int") + dominant.cast("int") + strong.cast("int")
+    return frameworks.join(sums, "repo", "left").select("repo", (points / F.when(some, 4).otherwise(2)).alias("score"))
 
 
 def warnings(profile: DataFrame) -> DataFrame:
-    """profile with `warnings`: named gaps of a repository's row, in order."""
+    """profile with `warnings`: named gaps of a repository's row, in order.
+
+    profile: dependency_files, config_files, signals, python_files, unknown_extensions, languages (counts), type, score.
+    """
+    n = lambda c: F.coalesce(F.col(c), F.lit(0))
+    unknown = F.col("type") == "UNKNOWN"
     gaps = [
-        ("no_dependency_manifest", ~F.col("has_manifest")), ("no_entry_point", ~F.col("has_entry")), ("no_documentation", ~F.col("has_docs")),
-        ("no_tests", ~F.col("has_tests")), ("unknown_type", F.col("type") == "UNKNOWN"), ("low_confidence", F.col("confidence") < 0.5),
+        ("no_dependency_or_config_files", (n("dependency_files") == 0) & (n("config_files") == 0)),
+        ("no_framework_signals", (n("signals") == 0) & (n("python_files") > 0)),
+        ("several_types", F.col("type") == "MONOREPO"),
+        ("unknown_extensions", n("unknown_extensions") > 0),
+        ("languages_without_classification", (n("python_files") == 0) & unknown & (n("languages") > 0)),
+        ("low_classification_score", (F.col("score") < 0.4) & unknown),
     ]
-    return profile.withColumn("warnings", F.filter(F.array(*(F.when(F.coalesce(c, F.lit(True)), n) for n, c in gaps)), lambda x: x.isNotNull()))
+    return profile.withColumn("warnings", F.filter(F.array(*(F.when(F.coalesce(c, F.lit(False)), n) for n, c in gaps)), lambda x: x.isNotNull()))
 
 
 def unknown_extensions(counts: DataFrame, registry: DataFrame) -> DataFrame:
@@ -122,14 +147,15 @@ def dependencies(declared: DataFrame, imports: DataFrame, own: DataFrame, ignore
 
 
 def recommendations(reports: DataFrame) -> DataFrame:
-    """(repo, severity, advice) by the gate, misses in the repository and unresolved calls."""
+    """(repo, severity, advice) by the gate, misses in the repository and unresolved calls; one row at least for each."""
     told = (
-        ("HIGH", "resolve what blocks the gate", F.col("gate") == "BLOCKED"),
-        ("MEDIUM", "look into missed definitions", F.col("in_repo_misses") > 50),
-        ("LOW", "review unresolved calls", F.col("unresolved") > 0),
+        ("HIGH", "resolve the review that the gate asks for before any automatic change", F.col("gate") == "REVIEW_REQUIRED"),
+        ("MEDIUM", "resolve inherited calls by qualified names", F.col("in_repo_misses") > 50),
+        ("LOW", "expect unresolved calls of dynamic or external receivers", F.col("unresolved") > 0),
     )
-    rules = F.filter(F.array(*(F.when(c, F.struct(F.lit(s).alias("severity"), F.lit(a).alias("advice"))) for s, a, c in told)), lambda x: x.isNotNull())
-    return reports.select("repo", F.inline(rules))
+    rules = F.filter(F.array(*(F.when(F.coalesce(c, F.lit(False)), F.struct(F.lit(s).alias("severity"), F.lit(a).alias("advice"))) for s, a, c in told)), lambda x: x.isNotNull())
+    none = F.array(F.struct(F.lit("LOW").alias("severity"), F.lit("nothing to act on").alias("advice")))
+    return reports.select("repo", F.inline(F.when(F.size(rules) > 0, rules).otherwise(none)))
 
 
 def layer_graph(facts: DataFrame) -> DataFrame:

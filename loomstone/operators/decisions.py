@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomstone.functions import words
-from loomstone.functions.text import strings
+from loomstone.functions.text import python_round, rounded_cut, strings
 
 
 def clamp(score) -> Column:
@@ -53,10 +54,38 @@ def score_level(score) -> Column:
 
 
 def semantic_decision(lexical, embedding, domain_match, side_effects) -> dict[str, Column]:
-    """confidence (not rounded), decision and level; side effects raise the confidence, as defined."""
+    """confidence (to two places), decision and level; side effects raise the confidence, as defined.
+
+    The thresholds are those of the rounded confidence, as cuts of the unrounded one, so decisions stay in the JVM.
+    """
     conf = lexical * 0.2 + embedding * 0.5 + F.when(domain_match, 0.2).otherwise(0.0) + F.when(side_effects, 0.1).otherwise(0.0)
-    decision = F.when((conf >= 0.8) & ~side_effects, "SAFE").when((embedding >= 0.8) | (conf >= 0.5) | (domain_match & ~side_effects & (embedding >= 0.35)), "REVIEW").otherwise("BLOCK")
-    return {"confidence": conf, "decision": decision, "risk_level": F.when(decision == "SAFE", "LOW").when(decision == "REVIEW", "MEDIUM").otherwise("HIGH")}
+    decision = F.when((conf >= rounded_cut(0.8)) & ~side_effects, "SAFE").when((embedding >= 0.8) | (conf >= rounded_cut(0.5)) | (domain_match & ~side_effects & (embedding >= 0.35)), "REVIEW").otherwise("BLOCK")
+    return {"confidence": python_round(conf, F.lit(2)), "decision": decision, "risk_level": F.when(decision == "SAFE", "LOW").when(decision == "REVIEW", "MEDIUM").otherwise("HIGH")}
+
+
+def pair_actions(pairs: DataFrame, tags: DataFrame) -> DataFrame:
+    """The pair pipeline: pairs (left_id, right_id, semantic_score, semantic_decision, kind) with their owners' tags
+    (owner, tags, risk), the fused decision, the band of the kind's score, and the action that is left.
+
+    An owner without a row of tags has none: its risk is LOW, and `missing` names it.
+    """
+    def of(side: str, column: str) -> DataFrame:
+        return tags.select(F.col("owner").alias(column), F.col("tags").alias(f"tags_{side}"), F.col("risk").alias(f"risk_{side}"))
+
+    joined = pairs.join(of("a", "left_id"), "left_id", "left").join(of("b", "right_id"), "right_id", "left")
+    gone = F.filter(F.array(F.when(F.col("risk_a").isNull(), F.col("left_id")), F.when(F.col("risk_b").isNull(), F.col("right_id"))), lambda x: x.isNotNull())
+    none = F.array().cast("array<string>")
+    joined = joined.withColumn("missing", gone).withColumns({f"{c}_{x}": F.coalesce(f"{c}_{x}", v) for x in "ab" for c, v in (("tags", none), ("risk", F.lit("LOW")))})
+    points = patch_score(F.col("kind"))
+    out = fuse(joined).withColumns({"score": clamp(points), "band": band(points, 1), "raw_action": band(points, 2)})
+    return out.withColumn("action", reconcile_action(F.col("fusion_decision"), F.col("raw_action")))
+
+
+def risk_summary(uses, dependents, core, business, merge_safe) -> dict[str, Column]:
+    """points and risk of a change: uses, dependent files, a core file, a business name and an unsafe merge add up."""
+    yes = lambda c, n: F.when(F.coalesce(c, F.lit(False)), n).otherwise(0)
+    points = F.when(uses <= 0, 0).when(uses <= 2, 1).otherwise(2) + yes(dependents >= 3, 2) + yes(core, 2) + yes(business, 1) + yes(~merge_safe, 2)
+    return {"points": points, "risk": F.when(points == 0, "Low").when(points <= 2, "Medium").otherwise("High")}
 
 
 def fuse(df: DataFrame, score="semantic_score", decision="semantic_decision", tags_a="tags_a", tags_b="tags_b", risk_a="risk_a", risk_b="risk_b") -> DataFrame:
@@ -86,8 +115,9 @@ def fuse(df: DataFrame, score="semantic_score", decision="semantic_decision", ta
 
 
 def reconcile_action(decision, action) -> Column:
-    """A reviewed or blocked pair is never applied by itself."""
-    return F.when((decision == "BLOCK"), "FREEZE_PATCH").when((decision == "REVIEW") & (action == "AUTO_APPLY"), "INDIVIDUAL_APPROVAL").otherwise(action)
+    """A reviewed or blocked pair is never applied by itself; every other action stays as it is."""
+    automatic = action == "AUTO_APPLY"
+    return F.when(automatic & (decision == "REVIEW"), "BATCH_APPROVAL").when(automatic & (decision == "BLOCK"), "INDIVIDUAL_APPROVAL").otherwise(action)
 
 
 def approval(severity) -> Column:
@@ -168,11 +198,25 @@ def signal_type(signals: DataFrame, least: float = 2.0) -> str:
     return choose_type(sums)
 
 
+def application_types(signals: DataFrame, least: float = 2.0) -> DataFrame:
+    """(repo, type) of signals (repo, type, weight); a repository's types are few, so each is decided as one row."""
+    sums = signals.groupBy("repo", "type").agg(F.sum("weight").alias("weight"))
+    kept = F.expr(f"filter(collect_list(struct(type, weight)), x -> x.weight >= {float(least)})")
+
+    @F.pandas_udf("string")
+    def choose(found: pd.Series) -> pd.Series:
+        return found.map(lambda rows: choose_type({r["type"]: float(r["weight"]) for r in rows}))
+
+    return sums.groupBy("repo").agg(kept.alias("found")).select("repo", choose("found").alias("type"))
+
+
 def choose_type(sums: dict[str, float]) -> str:
+    """Types in order of their weight, each that is still there removing those below it, stronger ones too; then the
+    monorepo rule. Of equal weights the first name goes first."""
     left = dict(sums)
     for kind in sorted(sums, key=lambda k: (-sums[k], k)):
         if kind in left:
-            for below in words.TYPE_HIERARCHY.get(kind, "").split():
+            for below in words.TYPE_HIERARCHY.get(kind, ()):
                 left.pop(below, None)
     if not left:
         return "UNKNOWN"

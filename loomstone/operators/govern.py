@@ -36,11 +36,28 @@ def roll_up(found: DataFrame) -> DataFrame:
     return found.groupingSets([[F.col("check")], [F.col("severity")], []], "check", "severity").agg(F.count("*").alias("n"), F.countDistinct("file").alias("files"))
 
 
+#: The states that a run may report.
+RUN_STATES = ("COMPLETE", "REVIEW_REQUIRED", "BLOCKED", "M2_PREFLIGHT_VENV", "M2_ERROR", "M3_ERROR", "ERROR")
+
+
 def invariant_violations(reports: DataFrame) -> DataFrame:
-    """Reports (status, gate, findings, has_index) that break the contract, with the reason."""
-    bad = (
-        F.when((F.col("gate") == "BLOCKED") & (F.col("status") == "COMPLETE"), "blocked but complete")
-        .when((F.col("status") == "COMPLETE") & ~F.col("has_index"), "complete without an index")
-        .when((F.col("gate") == "APPROVED") & (F.col("findings") > 0), "approved with blocking findings")
+    """Reports that break the contract, a row for each of their `failures`; an honest hold or block breaks none.
+
+    reports: repo, error, status, gate, reason, guesses (null: not measured), base_edges, added_edges, total_edges (null:
+    not reported), engine_status, capabilities (a count). An error of the run itself is its only failure.
+    """
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    complete, status = F.col("status") == "COMPLETE", F.coalesce("status", F.lit(""))
+    measured = complete & F.col("guesses").isNotNull()
+    checks = (
+        ("unknown status", ~status.isin(*RUN_STATES)),
+        ("edges without completion", (status != "COMPLETE") & (zero("total_edges") > 0)),
+        ("guesses", measured & (F.col("guesses") != 0)),
+        ("edge provenance", measured & (F.col("total_edges") != zero("base_edges") + zero("added_edges"))),
+        ("capabilities of a failed engine", complete & F.col("engine_status").isin("ENGINE_ERROR", "NOT_IMPLEMENTED") & (zero("capabilities") > 0)),
+        ("review without its gate", (status == "REVIEW_REQUIRED") & ~F.coalesce(F.col("gate") == "REVIEW_REQUIRED", F.lit(False))),
+        ("block without a reason", (status == "BLOCKED") & (F.coalesce("reason", F.lit("")) == "")),
     )
-    return reports.withColumn("violation", bad).where("violation IS NOT NULL")
+    found = F.filter(F.array(*(F.when(F.coalesce(c, F.lit(False)), n) for n, c in checks)), lambda x: x.isNotNull())
+    failures = F.when(F.coalesce("error", F.lit("")) != "", F.array(F.lit("pipeline error"))).otherwise(found)
+    return reports.select("repo", F.explode(failures).alias("failure"))

@@ -32,7 +32,7 @@ def reversed_edges(edges: DataFrame) -> DataFrame:
 
 def closure(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(node, depth): what the seeds (node) reach along src -> dst, with the first depth; seeds have depth 0."""
-    edges = edges.select("src", "dst")
+    edges = settle(edges.select("src", "dst"), "closure-edges")  # once, not once a round
     frontier = settle(seeds.select("node").distinct().withColumn("depth", F.lit(0)), "frontier")
     seen, depth = [frontier], 0
     while max_depth is None or depth < max_depth:
@@ -43,6 +43,8 @@ def closure(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) ->
         if frontier.isEmpty():
             break
         seen.append(frontier)
+        if len(seen) > 4:  # a round reads few tables, however many rounds there were
+            seen = [settle(union_all(seen), "seen")]
     return union_all(seen)
 
 
@@ -157,7 +159,8 @@ def nodes_of(edges: DataFrame) -> DataFrame:
 
 def dead_code(edges: DataFrame, nodes: DataFrame | None = None, words: tuple[str, ...] = ENTRY_WORDS) -> DataFrame:
     """(node, likely_entry_point): nodes that nothing calls. An entry word counts anywhere in the name."""
-    nodes = nodes if nodes is not None else nodes_of(edges)
+    # What is no callee of an edge can only be a caller.
+    nodes = nodes if nodes is not None else edges.select(F.col("src").alias("node")).distinct()
     quiet = nodes.join(edges.select(F.col("dst").alias("node")).distinct(), "node", "left_anti")
     name = F.col("node").cast("string")
     entry = F.lit(False)
@@ -187,15 +190,11 @@ def depends_on(edges: DataFrame, prefix: str) -> DataFrame:
 
 def hotspots(edges: DataFrame, top: int = 15) -> DataFrame:
     """(direction, node, degree): the top nodes by distinct callers (in) and by calls (out); zeros go after the cut."""
-    nodes = nodes_of(edges)
-    fan_in = edges.groupBy(F.col("dst").alias("node")).agg(F.countDistinct("src").alias("degree"))
-    fan_out = edges.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("degree"))
-
-    def best(degree: DataFrame, name: str) -> DataFrame:
-        all_nodes = nodes.join(degree, "node", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
-        return all_nodes.orderBy(F.desc("degree"), "node").limit(top).where("degree > 0").select(F.lit(name).alias("direction"), "node", "degree")
-
-    return best(fan_in, "in").union(best(fan_out, "out"))
+    ends = edges.select(F.inline(F.array(*(F.struct(F.lit(w).alias("direction"), F.col(n).alias("node"), F.col(o).alias("other")) for w, n, o in (("in", "dst", "src"), ("out", "src", "dst"))))))
+    counted = ends.groupBy("direction", "node").agg(F.countDistinct("other").alias("callers"), F.count("*").alias("calls"))
+    degrees = counted.select("direction", "node", F.when(F.col("direction") == "in", F.col("callers")).otherwise(F.col("calls")).alias("degree"))
+    rank = F.row_number().over(Window.partitionBy("direction").orderBy(F.desc("degree"), "node"))
+    return degrees.withColumn("rank", rank).where(F.col("rank") <= top).select("direction", "node", "degree")
 
 
 def edge_stats(calls: DataFrame) -> DataFrame:
@@ -247,25 +246,45 @@ def recursion_clusters(edges: DataFrame) -> DataFrame:
 def chokepoints(edges: DataFrame, target) -> DataFrame:
     """(node): strict dominators of the target from all nodes without callers; none if no such node reaches it.
 
-    Within the target's ancestors, (avoided, node) pairs spread from the roots along edges that miss the avoided node; a
-    node is a dominator if avoiding it never gets to the target.
+    Every dominator lies on any one way to the target, so one shortest way from a root is taken. Its nodes have their
+    places on it; every other ancestor has the smallest place from which it is reached without a later node of the way
+    (-1 from another root). A node of the way is passed by if a later one is entered from a smaller place.
     """
-    above = settle(impact_by_depth(edges, target, None).select("node").union(one_node(edges, target)), "ancestors")
+    above = settle(impact_by_depth(edges, target, None).select("node", "depth").union(one_node(edges, target).withColumn("depth", F.lit(0))), "ancestors")
     inner = settle(edges.select("src", "dst").distinct().join(above, F.col("src") == above.node, "left_semi").join(above, F.col("dst") == above.node, "left_semi"), "ancestor-edges")
-    roots = settle(above.join(edges.select(F.col("dst").alias("node")).distinct(), "node", "left_anti"), "roots")
-    if roots.isEmpty():
+    roots = settle(above.join(inner.select(F.col("dst").alias("node")).distinct(), "node", "left_anti"), "roots")
+    start = roots.orderBy("depth", "node").first()
+    if start is None or start["depth"] == 0:
         return above.select("node").limit(0)
-    avoided = above.where(F.col("node") != target).select(F.col("node").alias("avoid"))
-    pairs = settle(roots.join(avoided, F.col("node") != F.col("avoid")), "avoiding")  # of one target's ancestors only
-    seen, frontier = [pairs], pairs
-    while True:
-        step = frontier.join(inner, frontier.node == inner.src).where("dst <> avoid").select(F.col("dst").alias("node"), "avoid").distinct()
-        frontier = settle(step.join(union_all(seen), ["node", "avoid"], "left_anti"), "avoiding")
-        if frontier.isEmpty():
-            break
-        seen.append(frontier)
-    passed = union_all(seen).where(F.col("node") == target).select("avoid")
-    return avoided.join(passed, "avoid", "left_anti").select(F.col("avoid").alias("node"))
+    way = shortest_path(inner, start["node"], target).select(F.posexplode("path").alias("place", "node"))
+    way = settle(way.select("node", F.col("place").cast("long").alias("place")), "way")
+    others = roots.join(way, "node", "left_anti").select("node", F.lit(-1).cast("long").alias("place"))
+    reached, frontier = settle(others, "reached"), settle(way.union(others), "reaching")
+    entered = []
+    while not frontier.isEmpty():
+        step = frontier.join(inner, frontier.node == inner.src).groupBy(F.col("dst").alias("node")).agg(F.min("place").alias("place"))
+        onto = step.join(way.withColumnRenamed("place", "own"), "node", "left")
+        entered.append(settle(onto.where("own IS NOT NULL").select("own", "place"), "entered"))
+        old = reached.withColumnRenamed("place", "old")
+        frontier = settle(onto.where("own IS NULL").join(old, "node", "left").where("old IS NULL OR place < old").select("node", "place"), "reaching")
+        reached = settle(reached.union(frontier).groupBy("node").agg(F.min("place").alias("place")), "reached")
+    jumps = settle(union_all(entered).groupBy("own").agg(F.min("place").alias("place")).where("place < own - 1"), "jumps")
+    passed = way.join(jumps.withColumnRenamed("place", "from_place"), F.col("place").between(F.col("from_place") + 1, F.col("own") - 1), "left_semi")  # places of one way only
+    return way.where(F.col("node") != F.lit(target)).join(passed.select("node"), "node", "left_anti").select("node")
+
+
+def module_adjacency(imports: DataFrame) -> DataFrame:
+    """(src, dst) of imports (module, target: dotted): the longest prefix of a target that is another module."""
+    modules = imports.select(F.col("module").alias("dst")).distinct()
+    parts = F.split("target", r"\.")
+    tried = imports.select("module", "target", F.posexplode(F.transform(F.sequence(F.size(parts), F.lit(1), F.lit(-1)), lambda n: F.array_join(F.slice(parts, 1, n), "."))).alias("rank", "dst"))
+    hit = tried.distinct().join(modules, "dst").where("dst <> module")
+    return hit.groupBy("module", "target").agg(F.min_by("dst", "rank").alias("dst")).select(F.col("module").alias("src"), "dst").distinct()
+
+
+def dead_clusters(quiet: DataFrame, top: int = 10) -> DataFrame:
+    """(module, n): the top-level modules with most nodes that nothing calls."""
+    return quiet.groupBy(F.split("node", r"\.")[0].alias("module")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "module").limit(top)
 
 
 def split_id(node: str = "node") -> F.Column:

@@ -178,9 +178,14 @@ def last_origins(facts: DataFrame, symbols: DataFrame) -> DataFrame:
 def script_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
     """imports (file, target) of JavaScript with path: relative targets as they are, with an extension, or an index file."""
     folder = F.regexp_replace("file", "/?[^/]*$", "")
-    joined = F.regexp_replace(F.concat_ws("/", F.when(folder != "", folder), "target"), r"(^|/)\./", "$1")
-    for _ in range(4):
-        joined = F.regexp_replace(joined, r"(^|/)[^/.][^/]*/\.\./", "$1")
+    parts = F.split(F.concat_ws("/", F.when(folder != "", folder), "target"), "/")
+
+    def enter(path, part):
+        """One step of a path: `.` stays, `..` goes up where there is something above, all else goes down."""
+        up = (part == "..") & (F.size(path) > 0) & (F.coalesce(F.element_at(F.concat(F.array(F.lit("")), path), -1), F.lit("")) != "..")
+        return F.when(part.isin(".", ""), path).when(up, F.slice(path, F.lit(1), F.greatest(F.size(path) - 1, F.lit(0)))).otherwise(F.concat(path, F.array(part)))
+
+    joined = F.array_join(F.aggregate(parts, F.array().cast("array<string>"), enter), "/")
     tails = ["", ".js", ".jsx", ".ts", ".tsx", ".mjs", ".cjs", "/index.js", "/index.jsx", "/index.ts", "/index.tsx"]
     tried = imports.where(F.col("target").startswith(".")).select("file", "target", F.posexplode(F.array(*(F.concat(joined, F.lit(t)) for t in tails))).alias("rank", "path"))
     hit = tried.join(files.select("path").distinct(), "path")

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loomstone.functions import paths, text, words
-from loomstone.operators import decisions
+from loomstone.operators import decisions, govern, joins
 from loomstone.plans.registry import query
 from loomstone.tables import load
 
@@ -36,16 +35,15 @@ def q_degree_class(spark, d):
     return parts.select("p_partkey", uses.alias("uses"), decisions.usage_level(uses).alias("level"), F.coalesce("dependents", F.lit(0)).alias("dependents"))
 
 
-@query("""WITH O AS (SELECT o_custkey, count(*) AS orders, sum(CASE WHEN o_orderpriority = '1-URGENT' THEN 1 ELSE 0 END) AS urgent FROM orders GROUP BY 1),
-P AS (SELECT c_custkey, (CASE WHEN coalesce(orders, 0) >= 15 THEN 3 WHEN coalesce(orders, 0) >= 8 THEN 2 ELSE 0 END + CASE WHEN coalesce(urgent, 0) >= 3 THEN 2 ELSE 0 END
-  + CASE WHEN c_acctbal < 0 THEN 2 ELSE 0 END + CASE WHEN orders IS NULL THEN 1 ELSE 0 END) AS points FROM customer LEFT JOIN O ON o_custkey = c_custkey)
-SELECT c_custkey, points, CASE WHEN points >= 5 THEN 'High' WHEN points >= 3 THEN 'Medium' ELSE 'Low' END AS risk FROM P""")
+@query("""WITH O AS (SELECT o_custkey, count(*) AS orders, count(DISTINCT o_orderpriority) AS kinds FROM orders GROUP BY 1),
+P AS (SELECT c_custkey, CASE WHEN coalesce(orders, 0) = 0 THEN 0 WHEN orders <= 2 THEN 1 ELSE 2 END + CASE WHEN coalesce(kinds, 0) >= 3 THEN 2 ELSE 0 END
+  + CASE WHEN c_mktsegment = 'BUILDING' THEN 2 ELSE 0 END + CASE WHEN c_nationkey % 5 = 0 THEN 1 ELSE 0 END + CASE WHEN c_acctbal < 0 THEN 2 ELSE 0 END AS points FROM customer LEFT JOIN O ON o_custkey = c_custkey)
+SELECT c_custkey, points, CASE WHEN points = 0 THEN 'Low' WHEN points <= 2 THEN 'Medium' ELSE 'High' END AS risk FROM P""")
 def q_risk_points(spark, d):
-    o = load(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("orders"), F.count_if(F.col("o_orderpriority") == "1-URGENT").alias("urgent"))
+    o = load(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("orders"), F.countDistinct("o_orderpriority").alias("kinds"))
     c = load(spark, d, "customer").join(o, F.col("c_custkey") == F.col("o_custkey"), "left")
-    n, urgent = F.coalesce("orders", F.lit(0)), F.coalesce("urgent", F.lit(0))
-    points = F.when(n >= 15, 3).when(n >= 8, 2).otherwise(0) + F.when(urgent >= 3, 2).otherwise(0) + F.when(F.col("c_acctbal") < 0, 2).otherwise(0) + F.when(F.col("orders").isNull(), 1).otherwise(0)
-    return c.select("c_custkey", points.alias("points")).withColumn("risk", F.when(F.col("points") >= 5, "High").when(F.col("points") >= 3, "Medium").otherwise("Low"))
+    told = decisions.risk_summary(F.coalesce("orders", F.lit(0)), F.coalesce("kinds", F.lit(0)), F.col("c_mktsegment") == "BUILDING", F.col("c_nationkey") % 5 == 0, F.col("c_acctbal") >= 0)
+    return c.select("c_custkey", told["points"].alias("points"), told["risk"].alias("risk"))
 
 
 #: Event types as behaviour calls.
@@ -100,7 +98,7 @@ _COS = "(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(
 
 @query(f"""WITH P AS (SELECT a.vec_id, {_COS} AS emb, a.label = b.label AS dom, a.vec_id % 2 = 0 AS eff, (a.vec_id % 10) / 10.0 AS lex FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1),
 C AS (SELECT *, lex * 0.2 + emb * 0.5 + CASE WHEN dom THEN 0.2 ELSE 0 END + CASE WHEN eff THEN 0.1 ELSE 0 END AS conf FROM P)
-SELECT vec_id, CASE WHEN conf >= 0.8 AND NOT eff THEN 'SAFE' WHEN emb >= 0.8 OR conf >= 0.5 OR (dom AND NOT eff AND emb >= 0.35) THEN 'REVIEW' ELSE 'BLOCK' END AS decision FROM C""")
+SELECT vec_id, CASE WHEN round(conf, 2) >= 0.8 AND NOT eff THEN 'SAFE' WHEN emb >= 0.8 OR round(conf, 2) >= 0.5 OR (dom AND NOT eff AND emb >= 0.35) THEN 'REVIEW' ELSE 'BLOCK' END AS decision FROM C""")
 def q_semantic(spark, d):
     a = load(spark, d, "embeddings")
     b = a.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"), F.col("label").alias("other_label"))
@@ -110,21 +108,19 @@ def q_semantic(spark, d):
 
 
 @query(f"""WITH R AS (SELECT a.vec_id, b.vec_id AS other_id, round({_COS}, 6) AS cosine, row_number() OVER (PARTITION BY a.vec_id ORDER BY round({_COS}, 6) DESC, b.vec_id) AS rn
-  FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0) SELECT vec_id, other_id, cosine FROM R WHERE rn <= 3""")
+  FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0) SELECT vec_id, other_id, cosine FROM R WHERE rn <= 3""")
 def q_cosine_topk(spark, d):
-    all_rows = load(spark, d, "embeddings")
-    asked = all_rows.where("vec_id % 100 = 0")
-    other = all_rows.select(F.col("vec_id").alias("other_id"), F.col("embedding").alias("other"), "label")
-    near = asked.join(other, "label").where("vec_id <> other_id").withColumn("cosine", F.round(text.cosine(F.col("embedding"), F.col("other")), 6))
-    rn = F.row_number().over(Window.partitionBy("vec_id").orderBy(F.desc("cosine"), "other_id"))
-    return near.withColumn("rn", rn).where("rn <= 3").select("vec_id", "other_id", "cosine")
+    rows = load(spark, d, "embeddings").select(F.col("vec_id").alias("other_id"), F.col("embedding").alias("other"))
+    asked = load(spark, d, "embeddings").where("vec_id % 100 = 0").select("vec_id", "embedding")
+    near = joins.nearest(asked, rows, F.round(text.cosine(F.col("embedding"), F.col("other")), 6), 3, "vec_id", "other_id")
+    return near.withColumnRenamed("score", "cosine")
 
 
 @query("""WITH F AS (SELECT event_type, CASE event_type WHEN 'error' THEN 'BLOCK' WHEN 'purchase' THEN 'REVIEW' ELSE 'INFO' END AS severity, user_id FROM events)
-SELECT event_type AS category, severity, count(*) AS n, count(DISTINCT user_id) AS users FROM F GROUP BY GROUPING SETS ((event_type), (severity), ())""")
+SELECT event_type AS "check", severity, count(*) AS n, count(DISTINCT user_id) AS files FROM F GROUP BY GROUPING SETS ((event_type), (severity), ())""")
 def q_findings_rollup(spark, d):
-    load(spark, d, "events").selectExpr("event_type AS category", "CASE event_type WHEN 'error' THEN 'BLOCK' WHEN 'purchase' THEN 'REVIEW' ELSE 'INFO' END AS severity", "user_id").createOrReplaceTempView("loom_findings")
-    return spark.sql("SELECT category, severity, count(*) AS n, count(DISTINCT user_id) AS users FROM loom_findings GROUP BY GROUPING SETS ((category), (severity), ())")
+    severity = F.when(F.col("event_type") == "error", "BLOCK").when(F.col("event_type") == "purchase", "REVIEW").otherwise("INFO")
+    return govern.roll_up(load(spark, d, "events").select(F.col("event_type").alias("check"), severity.alias("severity"), F.col("user_id").alias("file")))
 
 
 @query("""SELECT event_id, CASE event_type WHEN 'error' THEN 'REJECTED' WHEN 'purchase' THEN 'PENDING_REVIEW' ELSE 'APPROVED' END AS decision FROM events""")
@@ -160,12 +156,18 @@ def q_name_tokens(spark, d):
     return load(spark, d, "part").select("p_partkey", F.concat_ws(" ", text.name_tokens(name)).alias("tokens"))
 
 
-@query("""WITH P AS (SELECT page_id, regexp_extract(url, '://[^/]*/([^?#]*)', 1) AS path FROM pages)
-SELECT page_id, CASE WHEN regexp_matches(path, '^(en|fr)/') THEN 'site' WHEN regexp_matches(path, '\\.html$') THEN 'file' WHEN regexp_matches(path, '/$') THEN 'folder' ELSE 'other' END AS category FROM P""")
+PATH_HEADS = ("docs/", "src/Docs/conf", "pkg/", "tests/", "src/testing/", "a/examples/b/", "scripts/", "pkg\\\\cli\\\\", "", "Sphinx/", "lib/contest/", "doc/")
+PATH_TAILS = ("a.py", "conf.py", "setup.py", "my_shim.py", "conftest.py", "__main__.py", "build.py/x", "test_a.py", "rebuild.py")
+_PATHS = f"""P AS (SELECT p_partkey, replace({list(PATH_HEADS)}[p_partkey % {len(PATH_HEADS)} + 1] || {list(PATH_TAILS)}[p_partkey % {len(PATH_TAILS)} + 1], '\\', '/') AS path FROM part)"""
+
+
+@query(f"""WITH {_PATHS} SELECT p_partkey, CASE WHEN regexp_matches(path, '(?i)(^|/)(conf[.]py$|docs?/conf|sphinx|mkdocs)') THEN 'doc_tooling'
+  WHEN regexp_matches(path, '(?i)(^|/)(benchmarks?|prerelease|release|setup|build|[a-z0-9_]*_shim|[a-z0-9_]*_check|[a-z0-9_]*_standalone[a-z0-9_]*|conftest)[.]py$') THEN 'tooling'
+  WHEN regexp_matches(path, '(?i)(^|/)(tests?|testing|conftest[.]py$)(/|$)') THEN 'test' WHEN regexp_matches(path, '(?i)(^|/)(examples?|tutorials?|samples?|demos?|docs?|doc)/') THEN 'example'
+  WHEN regexp_matches(path, '(?i)(^|/)(cli|__main__[.]py$|scripts?)(/|$)') THEN 'cli' ELSE 'production' END AS category FROM P""")
 def q_path_category(spark, d):
-    path = F.regexp_extract("url", "://[^/]*/([^?#]*)", 1)
-    category = F.when(path.rlike("^(en|fr)/"), "site").when(path.rlike(r"\.html$"), "file").when(path.rlike("/$"), "folder").otherwise("other")
-    return load(spark, d, "pages").select("page_id", category.alias("category"))
+    pick = lambda names: F.element_at(F.array(*(F.lit(x.replace("\\\\", "\\")) for x in names)), (F.col("p_partkey") % len(names) + 1).cast("int"))
+    return load(spark, d, "part").select("p_partkey", paths.path_class(F.concat(pick(PATH_HEADS), pick(PATH_TAILS))).alias("category"))
 
 
 @query("""WITH P AS (SELECT c_custkey, string_split('mod.' || lower(c_mktsegment) || CASE WHEN c_custkey % 3 = 0 THEN '' ELSE '.Seg' END || '.run' || c_nationkey, '.') AS p FROM customer)
@@ -184,10 +186,14 @@ def q_production(spark, d):
     return load(spark, d, "pages").select("page_id", paths.is_production(F.col("url")).alias("production"))
 
 
-@query("""WITH W AS (SELECT doc_id, unnest(regexp_extract_all(text, '\\b(the|and|of)\\b')) AS word FROM documents) SELECT word, count(*) AS uses, count(DISTINCT doc_id) AS docs FROM W GROUP BY 1""")
+_CODE = "'x = f' || p_size % 7 || '(g' || p_partkey % 5 || '.run(1)) + (h) ' || lower(p_type) || ' (z) _k' || p_size || '()'"
+
+
+@query(f"""WITH W AS (SELECT p_partkey, unnest(regexp_extract_all({_CODE}, '\\b(\\w+)\\(', 1)) AS name FROM part) SELECT name, count(*) AS uses, count(DISTINCT p_partkey) AS owners FROM W GROUP BY 1""")
 def q_call_count(spark, d):
-    w = load(spark, d, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"\b(the|and|of)\b"), 1)).alias("word"))
-    return w.groupBy("word").agg(F.count("*").alias("uses"), F.countDistinct("doc_id").alias("docs"))
+    code = F.concat(F.lit("x = f"), F.col("p_size") % 7, F.lit("(g"), F.col("p_partkey") % 5, F.lit(".run(1)) + (h) "), F.lower("p_type"), F.lit(" (z) _k"), "p_size", F.lit("()"))
+    names = load(spark, d, "part").select("p_partkey", F.explode(text.call_counts(code)).alias("name"))
+    return names.groupBy("name").agg(F.count("*").alias("uses"), F.countDistinct("p_partkey").alias("owners"))
 
 
 _MINED = {"email": "[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+[.][A-Za-z0-9.-]+", "licence": "(MIT|BSD|Apache|CC BY)", "digits": "[0-9]{8,}", "token": "token = "}
@@ -199,10 +205,14 @@ def q_pattern_mine(spark, d):
     return load(spark, d, "documents").select("doc_id", F.inline(hits)).where("hits > 0")
 
 
-@query("""WITH T AS (SELECT doc_id, coalesce(lower(text), '') AS t FROM documents)
-SELECT doc_id, CASE WHEN regexp_matches(t, 'restore|recover') AND regexp_matches(t, 'backup') THEN 'yes' ELSE 'no' END AS recovery, contains(t, 'commit') AS commits, contains(t, 'send') OR contains(t, 'email') AS notifies FROM T""")
+_EFFECTS = "T AS (SELECT doc_id, lower(coalesce(text, '') || CASE doc_id % 6 WHEN 0 THEN ' db.restore(1) ' WHEN 1 THEN ' save and verify ' WHEN 2 THEN ' write rollback ' ELSE '' END) AS t FROM documents)"
+
+
+@query(f"""WITH {_EFFECTS} SELECT doc_id, contains(t, '.restore(') OR contains(t, '.rollback(') OR contains(t, 'backup') OR (regexp_matches(t, 'write|save') AND regexp_matches(t, 'rollback|restore|recover')) AS recovers,
+  contains(t, 'commit') AS commits, contains(t, 'send') OR contains(t, 'email') AS notifies, regexp_matches(t, 'write|save') AS stores, regexp_matches(t, 'write|save') AND regexp_matches(t, 'authenticate|authorize|verify') AS secures FROM T""")
 def q_side_effects(spark, d):
-    docs = load(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("t")).withColumn("effects", text.side_effects(F.col("t")))
-    low = F.lower("t")
+    third = F.col("doc_id") % 6
+    more = F.when(third == 0, " db.restore(1) ").when(third == 1, " save and verify ").when(third == 2, " write rollback ").otherwise("")
+    docs = load(spark, d, "documents").select("doc_id", text.side_effects(F.concat(F.coalesce("text", F.lit("")), more)).alias("effects"))
     has = lambda e: F.array_contains("effects", e)
-    return docs.select("doc_id", F.when(low.rlike("restore|recover") & low.rlike("backup"), "yes").otherwise("no").alias("recovery"), has("database_commit").alias("commits"), has("notification_dispatch").alias("notifies"))
+    return docs.select("doc_id", has("system_recovery").alias("recovers"), has("database_commit").alias("commits"), has("notification_dispatch").alias("notifies"), has("persistent_storage").alias("stores"), has("security_validation").alias("secures"))

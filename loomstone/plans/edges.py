@@ -29,14 +29,19 @@ def natural(spark: SparkSession, sf_dir: str) -> DataFrame:
     ])
 
 
-def synthetic_sql(m: int) -> str:
-    return f"""K AS (SELECT DISTINCT p_partkey % {m} AS src FROM part), E AS (SELECT src, (src * 7 + 3) % {m} AS dst FROM K UNION ALL SELECT src, (src * 5 + 1) % {m} FROM K)"""
+#: On all part keys modulo their number: one edge triples, one halves. Cyclic, of out-degree two, growing with the table.
+SYNTHETIC_SQL = """N AS (SELECT count(*) AS n FROM part), K AS (SELECT DISTINCT p_partkey % n AS src, n FROM part, N),
+E AS (SELECT src, (src * 3 + 1) % n AS dst FROM K UNION ALL SELECT src, src // 2 FROM K)"""
 
 
-def synthetic(spark: SparkSession, sf_dir: str, m: int = 199) -> DataFrame:
-    """Two linear maps modulo m on the part keys modulo m: strongly cyclic where both are permutations."""
-    k = load(spark, sf_dir, "part").select((F.col("p_partkey") % m).alias("src")).distinct()
-    return k.select("src", ((F.col("src") * 7 + 3) % m).alias("dst")).union(k.select("src", ((F.col("src") * 5 + 1) % m).alias("dst")))
+def part_count(spark: SparkSession, sf_dir: str) -> int:
+    return load(spark, sf_dir, "part").count()
+
+
+def synthetic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = part_count(spark, sf_dir)
+    k = load(spark, sf_dir, "part").select((F.col("p_partkey") % n).alias("src")).distinct()
+    return k.select("src", ((F.col("src") * 3 + 1) % n).alias("dst")).union(k.selectExpr("src", "src DIV 2 AS dst"))
 
 
 EVENT_SQL = """E AS (SELECT DISTINCT src, dst FROM (SELECT event_type AS src, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst FROM events) WHERE dst IS NOT NULL)"""

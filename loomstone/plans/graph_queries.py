@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomstone.operators import graph
-from loomstone.plans.edges import EVENT_SQL, NAT_SQL, event_flow, natural, synthetic, synthetic_sql
+from loomstone.plans.edges import EVENT_SQL, NAT_SQL, SYNTHETIC_SQL, event_flow, natural, part_count, synthetic
 from loomstone.plans.registry import query
 from loomstone.tables import load
 
-SYN, CON = synthetic_sql(199), synthetic_sql(200)
+#: Two tripling steps from 17, modulo the number of parts.
+FAR_SQL, FAR = "(SELECT 157 % n FROM N)", 157
 
 
 @query(f"WITH {NAT_SQL} SELECT DISTINCT src AS caller FROM E WHERE dst = 'n3'")
@@ -26,25 +27,25 @@ def q_impact_of(spark, d):
     return graph.impact_of(natural(spark, d), "r1")
 
 
-@query(_up(CON, "17"))
+@query(_up(SYNTHETIC_SQL, "17"))
 def q_impact_of_sparse(spark, d):
-    return graph.impact_of(synthetic(spark, d, 200), 17)
+    return graph.impact_of(synthetic(spark, d), 17)
 
 
-@query(f"WITH RECURSIVE {SYN}, R(node, depth) AS (SELECT 17, 0 UNION SELECT E.src, depth + 1 FROM E JOIN R ON E.dst = R.node WHERE depth < 25) SELECT node, min(depth)::INT AS depth FROM R WHERE node <> 17 GROUP BY 1")
+@query(f"WITH RECURSIVE {SYNTHETIC_SQL}, R(node, depth) AS (SELECT 17, 0 UNION SELECT E.src, depth + 1 FROM E JOIN R ON E.dst = R.node WHERE depth < 25) SELECT node, min(depth)::INT AS depth FROM R WHERE node <> 17 GROUP BY 1")
 def q_impact_depth(spark, d):
     return graph.impact_by_depth(synthetic(spark, d), 17)
 
 
-@query(f"WITH RECURSIVE {CON}, R(node) AS (SELECT 3 UNION SELECT E.dst FROM E JOIN R ON E.src = R.node) SELECT node FROM R WHERE node <> 3")
+@query(f"WITH RECURSIVE {SYNTHETIC_SQL}, R(node) AS (SELECT 3 UNION SELECT E.dst FROM E JOIN R ON E.src = R.node) SELECT node FROM R WHERE node <> 3")
 def q_reachable(spark, d):
-    return graph.reachable_from(synthetic(spark, d, 200), 3)
+    return graph.reachable_from(synthetic(spark, d), 3)
 
 
-@query(f"""WITH RECURSIVE {SYN}, P(path) AS (SELECT [17::BIGINT] UNION ALL SELECT list_append(path, E.dst) FROM P JOIN E ON E.src = path[-1]
-  WHERE len(path) < 8 AND path[-1] <> 40 AND NOT list_contains(path, E.dst)) SELECT array_to_string(path, '>') AS path FROM P WHERE path[-1] = 40""")
+@query(f"""WITH RECURSIVE {SYNTHETIC_SQL}, P(path) AS (SELECT [17::BIGINT] UNION ALL SELECT list_append(path, E.dst) FROM P JOIN E ON E.src = path[-1]
+  WHERE len(path) < 8 AND path[-1] <> {FAR_SQL} AND NOT list_contains(path, E.dst)) SELECT array_to_string(path, '>') AS path FROM P WHERE path[-1] = {FAR_SQL}""")
 def q_paths_between(spark, d):
-    return graph.paths_between(synthetic(spark, d), 17, 40).select(F.concat_ws(">", F.col("path").cast("array<string>")).alias("path"))
+    return graph.paths_between(synthetic(spark, d), 17, FAR % part_count(spark, d)).select(F.concat_ws(">", F.col("path").cast("array<string>")).alias("path"))
 
 
 @query(f"""WITH RECURSIVE {NAT_SQL}, U AS (SELECT DISTINCT src, dst FROM E), P(path) AS (SELECT ['r2'] UNION ALL SELECT list_prepend(U.src, path) FROM P JOIN U ON U.dst = path[1] WHERE len(path) < 8)
@@ -73,14 +74,14 @@ def q_depends_on(spark, d):
 
 
 def _scc(edges: str) -> str:
-    return f"""WITH RECURSIVE {edges}, N AS (SELECT src AS node FROM E UNION SELECT dst FROM E),
-R(a, b) AS (SELECT node, node FROM N UNION SELECT a, E.dst FROM R JOIN E ON E.src = R.b)
+    return f"""WITH RECURSIVE {edges}, V AS (SELECT src AS node FROM E UNION SELECT dst FROM E),
+R(a, b) AS (SELECT node, node FROM V UNION SELECT a, E.dst FROM R JOIN E ON E.src = R.b)
 SELECT x.a AS node, min(x.b) AS component FROM R x JOIN R y ON x.a = y.b AND x.b = y.a GROUP BY 1"""
 
 
-@query(_scc(CON))
+@query(_scc(SYNTHETIC_SQL))
 def q_scc(spark, d):
-    return graph.strong_components(synthetic(spark, d, 200))
+    return graph.strong_components(synthetic(spark, d))
 
 
 @query(_scc(EVENT_SQL))
@@ -109,15 +110,15 @@ def q_hotspots(spark, d):
     return graph.hotspots(natural(spark, d))
 
 
-@query(f"WITH RECURSIVE {SYN}, R(node, depth) AS (SELECT 17, 0 UNION SELECT E.dst, depth + 1 FROM E JOIN R ON E.src = R.node WHERE depth < 30) SELECT min(depth)::BIGINT AS length FROM R WHERE node = 40")
+@query(f"WITH RECURSIVE {SYNTHETIC_SQL}, R(node, depth) AS (SELECT 17, 0 UNION SELECT E.dst, depth + 1 FROM E JOIN R ON E.src = R.node WHERE depth < 30) SELECT min(depth)::BIGINT AS length FROM R WHERE node = {FAR_SQL}")
 def q_shortest_len(spark, d):
-    return graph.shortest_length(synthetic(spark, d), 17, 40)
+    return graph.shortest_length(synthetic(spark, d), 17, FAR % part_count(spark, d))
 
 
-@query(f"""WITH RECURSIVE {SYN}, R(node, path) AS (SELECT 17::BIGINT, [17::BIGINT] UNION ALL SELECT E.dst, list_append(path, E.dst) FROM E JOIN R ON E.src = R.node WHERE len(path) < 8 AND NOT list_contains(path, E.dst))
-SELECT array_to_string(path, '>') AS path FROM R WHERE node = 40 ORDER BY len(path), path LIMIT 1""")
+@query(f"""WITH RECURSIVE {SYNTHETIC_SQL}, R(node, path) AS (SELECT 17::BIGINT, [17::BIGINT] UNION ALL SELECT E.dst, list_append(path, E.dst) FROM E JOIN R ON E.src = R.node WHERE len(path) < 8 AND NOT list_contains(path, E.dst))
+SELECT array_to_string(path, '>') AS path FROM R WHERE node = {FAR_SQL} ORDER BY len(path), path LIMIT 1""")
 def q_shortest_path(spark, d):
-    return graph.shortest_path(synthetic(spark, d), 17, 40).select(F.concat_ws(">", F.col("path").cast("array<string>")).alias("path"))
+    return graph.shortest_path(synthetic(spark, d), 17, FAR % part_count(spark, d)).select(F.concat_ws(">", F.col("path").cast("array<string>")).alias("path"))
 
 
 KINDED = f"{NAT_SQL}, K AS (SELECT *, CASE WHEN starts_with(src, 'o') THEN 'external' WHEN starts_with(dst, 'r') THEN 'builtin' ELSE 'internal' END AS kind FROM E)"
@@ -138,8 +139,33 @@ def q_class_impact(spark, d):
     return graph.impact_of_many(natural(spark, d), targets)
 
 
-@query(f"""WITH {NAT_SQL} SELECT 'n7' AS target, (SELECT count(DISTINCT src) FROM E WHERE dst = 'n7') AS direct_callers,
-(SELECT count(*) FROM (SELECT src FROM E WHERE dst = 'n7' UNION SELECT b.src FROM E a JOIN E b ON b.dst = a.src WHERE a.dst = 'n7')) AS affected,
-1::BIGINT AS modules, 0::BIGINT AS classes, 3 AS max_depth, true AS public_api, 'HIGH' AS regression_risk""")
+@query(f"""WITH RECURSIVE {NAT_SQL}, U AS (SELECT DISTINCT src, dst FROM E), A(node) AS (SELECT src FROM U WHERE dst = 'n7' UNION SELECT U.src FROM U JOIN A ON U.dst = A.node),
+P(path) AS (SELECT ['n7'] UNION ALL SELECT list_prepend(U.src, path) FROM P JOIN U ON U.dst = path[1] WHERE len(path) < 8 AND NOT list_contains(path, U.src)),
+D AS (SELECT coalesce(max(len(path)), 0)::INT AS max_depth FROM P WHERE len(path) > 1 AND path[1] NOT IN (SELECT dst FROM U)),
+F AS (SELECT 'n7' AS target, (SELECT count(DISTINCT src) FROM E WHERE dst = 'n7') AS direct_callers, count(*) AS affected,
+  count(DISTINCT regexp_replace(node, '[.]?[^.]*$', '')) AS modules, count(DISTINCT node) FILTER (regexp_matches(node, '(^|[.])[A-Z]')) AS classes FROM A)
+SELECT *, NOT starts_with(target, '_') AS public_api,
+  CASE (NOT starts_with(target, '_'))::INT + (max_depth >= 3)::INT + (affected >= 3)::INT WHEN 3 THEN 'HIGH' WHEN 2 THEN 'MEDIUM' ELSE 'LOW' END AS regression_risk FROM F, D""")
 def q_change_impact(spark, d):
     return graph.change_impact(natural(spark, d), "n7")
+
+
+_MODULES = "'p' || p_size || '.' || lower(replace(p_brand, '#', ''))"
+_IMPORTS = f"I AS (SELECT DISTINCT {_MODULES} AS module, 'p' || (p_size * 3 % 50 + 1) || '.' || lower(replace(p_brand, '#', '')) || '.f' || p_partkey % 5 AS target FROM part)"
+
+
+@query(f"""WITH {_IMPORTS}, M AS (SELECT DISTINCT module AS dst FROM I), T AS (SELECT module, target, unnest(range(1, 4)) AS n, string_split(target, '.') AS s FROM I),
+C AS (SELECT module, target, n, array_to_string(s[1:n], '.') AS dst FROM T), H AS (SELECT module, target, max_by(C.dst, n) AS dst FROM C JOIN M USING (dst) WHERE dst <> module GROUP BY 1, 2)
+SELECT DISTINCT module AS src, dst FROM H""")
+def q_module_adjacency(spark, d):
+    module = F.concat(F.lit("p"), "p_size", F.lit("."), F.lower(F.replace("p_brand", F.lit("#"), F.lit(""))))
+    target = F.concat(F.lit("p"), F.col("p_size") * 3 % 50 + 1, F.lit("."), F.lower(F.replace("p_brand", F.lit("#"), F.lit(""))), F.lit(".f"), F.col("p_partkey") % 5)
+    return graph.module_adjacency(load(spark, d, "part").select(module.alias("module"), target.alias("target")).distinct())
+
+
+@query("""WITH E AS (SELECT DISTINCT 'm' || l_suppkey % 7 || '.o' || l_orderkey AS src, 'k' || l_partkey % 3 || '.p' || l_partkey AS dst FROM lineitem)
+SELECT string_split(node, '.')[1] AS module, count(*) AS n FROM (SELECT DISTINCT src AS node FROM E) WHERE node NOT IN (SELECT dst FROM E) GROUP BY 1 ORDER BY n DESC, module LIMIT 10""")
+def q_dead_clusters(spark, d):
+    li = load(spark, d, "lineitem")
+    edges = li.select(F.concat(F.lit("m"), F.col("l_suppkey") % 7, F.lit(".o"), "l_orderkey").alias("src"), F.concat(F.lit("k"), F.col("l_partkey") % 3, F.lit(".p"), "l_partkey").alias("dst")).distinct()
+    return graph.dead_clusters(graph.dead_code(edges))

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loomstone.operators import cognition, decisions, graph, joins, lineage, logs, profile, resolution
+from loomstone.plans.edges import part_count
 from loomstone.plans.registry import query
 from loomstone.tables import load
 
@@ -19,13 +20,14 @@ def q_flow(spark, d):
     return lineage.data_flows(reads, writes).groupBy("src", "dst").agg(F.count("*").alias("ways"))
 
 
-_UP = """WITH RECURSIVE K AS (SELECT DISTINCT p_partkey % 401 AS src FROM part), E AS (SELECT src, (src * 3 + 1) % 401 AS dst FROM K WHERE src <> (src * 3 + 1) % 401), R(node, depth) AS (SELECT 25::BIGINT, 0 UNION SELECT E.{a}, depth + 1 FROM E JOIN R ON E.{b} = R.node WHERE depth < 10)
+_UP = """WITH RECURSIVE N AS (SELECT count(*) AS n FROM part), K AS (SELECT DISTINCT p_partkey % n AS src, n FROM part, N), E AS (SELECT src, (src * 3 + 1) % n AS dst FROM K WHERE src <> (src * 3 + 1) % n), R(node, depth) AS (SELECT 25::BIGINT, 0 UNION SELECT E.{a}, depth + 1 FROM E JOIN R ON E.{b} = R.node WHERE depth < 10)
 SELECT DISTINCT node FROM R WHERE node <> 25"""
 
 
 def _chain(spark, d):
-    k = load(spark, d, "part").select((F.col("p_partkey") % 401).alias("src")).distinct()
-    return k.select("src", ((F.col("src") * 3 + 1) % 401).alias("dst")).where("src <> dst")
+    n = part_count(spark, d)
+    k = load(spark, d, "part").select((F.col("p_partkey") % n).alias("src")).distinct()
+    return k.select("src", ((F.col("src") * 3 + 1) % n).alias("dst")).where("src <> dst")
 
 
 @query(_UP.format(a="src", b="dst"))

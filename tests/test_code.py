@@ -2,7 +2,7 @@
 
 import pytest
 
-from loomstone.operators import calls, cognition, docs, duplicates, govern, lineage, resolution
+from loomstone.operators import calls, cognition, docs, duplicates, govern, graph, lineage, resolution
 from loomstone.sources import inventory, languages
 from loomstone.sources.python_facts import function_bodies, python_facts, typed_constant
 
@@ -225,15 +225,33 @@ def test_cognition(spark):
     hints = spark.createDataFrame([("mvc", "models", 2, 1), ("mvc", "views", 2, 1), ("layers", "service", 1, 2)], "pattern string, hint string, least int, rank int")
     names = spark.createDataFrame([("Models",), ("views",), ("service",)], "name string")
     assert tuple(cognition.architecture(names, hints).first()) == ("mvc", 2)
-    hits = spark.createDataFrame([("devops",), ("finance",)], "domain string")
-    assert cognition.domain(hits).first()["domain"] == "finance"
+    hits = spark.createDataFrame([("Data",), ("Finance_System",)], "domain string")
+    assert cognition.domain(hits).first()["domain"] == "Finance_System"
     files = spark.createDataFrame([("a/Dockerfile", "FROM x"), ("b.py", "plain")], "path string, content string")
     rules = spark.createDataFrame([("docker", "Dockerfile$", "FROM", "CONTAINER", 3), ("none", "b.py", "absent", "X", 1)], "pattern string, file_regex string, keyword string, type string, weight int")
     assert [tuple(r) for r in cognition.pattern_signals(files, rules).collect()] == [("docker", "CONTAINER", 3)]
     model = python_facts(spark.createDataFrame([("m.py", "class N:\n def __init__(self):\n  self.a = nn.Linear(1)\n  self.b = nn.ReLU()\n def forward(self, x):\n  y = self.a(x)\n  return self.b(y)\n")], "path string, source string"))
     assert [(r["step"], r["layer"]) for r in cognition.layer_graph(model).orderBy("step").collect()] == [(1, "Linear"), (2, "ReLU")]
-    row = spark.createDataFrame([("r", "BLOCKED", 60, 0)], "repo string, gate string, in_repo_misses int, unresolved int")
-    assert [r["severity"] for r in cognition.recommendations(row).collect()] == ["HIGH", "MEDIUM"]
+    rows = [("a", "REVIEW_REQUIRED", 60, 0), ("b", "BLOCKED", 50, 3), ("c", "APPROVED", None, None)]
+    told = cognition.recommendations(spark.createDataFrame(rows, "repo string, gate string, in_repo_misses int, unresolved int")).collect()
+    assert [(r["repo"], r["severity"]) for r in told] == [("a", "HIGH"), ("a", "MEDIUM"), ("b", "LOW"), ("c", "LOW")]
+
+
+def test_deep_chains_and_paths(spark):
+    """Bases and relative imports of any depth."""
+    deep = spark.createDataFrame([(f"m.C{i}", 0, f"m.C{i + 1}") for i in range(40)] + [("m.C40", 0, "m.C0")], "path string, ord int, base string")
+    got = calls.ancestors(deep).where("path = 'm.C0'").select("ancestor").distinct().count()
+    assert got == 40
+    files = spark.createDataFrame([("lib/util.js",), ("a/b/c/d/e/f/x.ts",)], "path string")
+    imports = spark.createDataFrame([("a/b/c/d/e/f/main.js", "../../../../../../lib/util"), ("a/b/c/d/e/f/main.js", "./../f/./x"), ("a/main.js", "../../outside")], "file string, target string")
+    got = {(r["target"], r["path"]) for r in resolution.script_imports(imports, files).collect()}
+    assert got == {("../../../../../../lib/util", "lib/util.js"), ("./../f/./x", "a/b/c/d/e/f/x.ts")}
+
+
+def test_adjacency_of_modules(spark):
+    rows = [("pkg", "os"), ("pkg.util", "pkg.util.helper"), ("pkg.main", "pkg.util.helper"), ("pkg.main", "pkg.main.x"), ("pkg.main", "pkg.util")]
+    got = graph.module_adjacency(spark.createDataFrame(rows, "module string, target string"))
+    assert sorted(map(tuple, got.collect())) == [("pkg.main", "pkg"), ("pkg.main", "pkg.util"), ("pkg.util", "pkg")]
 
 
 def test_sampling_and_dependencies(spark):

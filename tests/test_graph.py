@@ -1,4 +1,4 @@
-"""Graph kernels on the golden graph and against plain Python on random graphs."""
+"""Graph kernels on a small graph and against plain Python on random graphs."""
 
 import random
 from collections import deque
@@ -7,39 +7,72 @@ import pytest
 
 from loomstone.operators import graph
 
-GOLD = [("A", "B"), ("A", "C"), ("B", "D"), ("C", "D"), ("D", "E"), ("E", "D"), ("F", "G"), ("G", "F"), ("H", "H")]
+#: Three ways into a hub, a cycle of three behind it, a pair that calls each other, and one that calls itself.
+EDGES = [
+    ("root", "left"), ("root", "mid"), ("root", "right"), ("left", "hub"), ("mid", "hub"), ("right", "hub"), ("hub", "x"), ("x", "y"), ("y", "hub"),
+    ("p", "q"), ("q", "p"), ("solo", "solo"),
+]
 
 
 @pytest.fixture(scope="module")
-def gold(spark):
-    return spark.createDataFrame(GOLD, "src string, dst string")
+def small(spark):
+    return spark.createDataFrame(EDGES, "src string, dst string")
 
 
 def vals(df):
     return sorted(tuple(r) for r in df.collect())
 
 
-def test_golden_answers(gold):
-    assert vals(graph.who_calls(gold, "D")) == [("B",), ("C",), ("E",)]
-    assert vals(graph.impact_by_depth(gold, "D").select("node", "depth")) == [("A", 2), ("B", 1), ("C", 1), ("E", 1)]
-    assert vals(graph.reachable_from(gold, "A")) == [("B",), ("C",), ("D",), ("E",)]
-    assert vals(graph.chokepoints(gold, "E")) == [("A",), ("D",)]
-    assert vals(graph.chokepoints(gold, "D")) == [("A",)]
-    assert vals(graph.chokepoints(gold, "F")) == []
-    groups = {(r["kind"], tuple(r["members"])) for r in graph.recursion_clusters(gold).collect()}
-    assert groups == {("mutual", ("D", "E")), ("mutual", ("F", "G")), ("direct", ("H",))}
-    assert vals(graph.shortest_length(gold, "A", "E")) == [(3,)] and vals(graph.shortest_length(gold, "E", "A")) == [(None,)]
-    assert graph.shortest_path(gold, "A", "E").first()["path"] == ["A", "B", "D", "E"]
-    assert graph.shortest_path(gold, "E", "A").count() == 0
-    assert {tuple(r["path"]) for r in graph.paths_between(gold, "A", "D").collect()} == {("A", "B", "D"), ("A", "C", "D")}
-    assert graph.paths_between(gold, "A", "A").count() == 0
-
-
-def test_paths_to_marks_what_is_cut(gold):
-    got = {(tuple(r["path"]), r["truncated"]) for r in graph.paths_to(gold, "E").collect()}
-    assert got == {(("A", "B", "D", "E"), False), (("A", "C", "D", "E"), False)}
-    cut = {(tuple(r["path"]), r["truncated"]) for r in graph.paths_to(gold, "E", 3).collect()}
-    assert cut == {(("B", "D", "E"), False), (("B", "D", "E"), True), (("C", "D", "E"), False), (("C", "D", "E"), True)}
+def test_answers_on_a_small_graph(small):
+    assert vals(graph.who_calls(small, "hub")) == [("left",), ("mid",), ("right",), ("y",)]
+    assert vals(graph.impact_by_depth(small, "hub").select("node", "depth")) == [("left", 1), ("mid", 1), ("right", 1), ("root", 2), ("x", 2), ("y", 1)]
+    assert vals(graph.reachable_from(small, "root")) == [("hub",), ("left",), ("mid",), ("right",), ("x",), ("y",)]
+    assert vals(graph.chokepoints(small, "y")) == [("hub",), ("root",), ("x",)]
+    assert vals(graph.chokepoints(small, "hub")) == [("root",)]
+    assert vals(graph.chokepoints(small, "p")) == vals(graph.chokepoints(small, "root")) == []
+    groups = {(r["kind"], tuple(r["members"])) for r in graph.recursion_clusters(small).collect()}
+    assert groups == {("mutual", ("hub", "x", "y")), ("mutual", ("p", "q")), ("direct", ("solo",))}
+    assert vals(graph.shortest_length(small, "root", "y")) == [(4,)] and vals(graph.shortest_length(small, "y", "root")) == [(None,)]
+    assert graph.shortest_path(small, "root", "y").first()["path"] == ["root", "left", "hub", "x", "y"]
+    assert graph.shortest_path(small, "y", "root").count() == 0
+    assert {tuple(r["path"]) for r in graph.paths_between(small, "root", "hub").collect()} == {("root", w, "hub") for w in ("left", "mid", "right")}
+    assert graph.paths_between(small, "root", "root").count() == 0
+
+
+def test_paths_to_marks_what_is_cut(small):
+    got = {(tuple(r["path"]), r["truncated"]) for r in graph.paths_to(small, "y").collect()}
+    assert got == {(("root", w, "hub", "x", "y"), False) for w in ("left", "mid", "right")}
+    cut = {(tuple(r["path"]), r["truncated"]) for r in graph.paths_to(small, "y", 3).collect()}
+    assert cut == {(("hub", "x", "y"), False), (("hub", "x", "y"), True)}
+
+
+def plain_dominators(edges, target):
+    """Nodes without which no node that has no callers reaches the target, by trying each."""
+    callers = {}
+    for a, b in edges:
+        callers.setdefault(b, set()).add(a)
+
+    def reached(avoid):
+        seen, todo = {target}, [target]
+        while todo:
+            for a in callers.get(todo.pop(), ()):
+                if a != avoid and a not in seen:
+                    seen.add(a)
+                    todo.append(a)
+        return seen
+
+    above = reached(None)
+    roots = {n for n in above if n not in callers} - {target}
+    return sorted((n,) for n in above - {target} if not (roots - {n}) & reached(n)) if roots else []
+
+
+def test_chokepoints_equal_plain_python(spark):
+    rng = random.Random(7)
+    for no in range(6):
+        n = 14
+        edges = sorted({(a, b) for a, b in ((rng.randrange(n), rng.randrange(n)) for _ in range(17 + 2 * no)) if a != b and b > 0 and (b > a - 3)} | {(0, 1), (1, 2)})
+        frame = spark.createDataFrame(edges, "src long, dst long")
+        assert vals(graph.chokepoints(frame, n - 1)) == plain_dominators(edges, n - 1), edges
 
 
 def test_chains_end_as_defined(spark):

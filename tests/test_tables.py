@@ -40,8 +40,11 @@ def test_fusion(spark, score, decision, a, b, risk_a, risk_b, want):
 def test_decision_tables(spark):
     got = one(spark, b=decisions.band(F.lit(140)), c=decisions.band(F.lit(-3), 2), p=decisions.patch_score(F.lit("file_deletion")), q=decisions.patch_score(F.lit("other")), g=decisions.gate([F.lit(True)], [F.lit(None).cast("boolean")]),
               h=decisions.health(F.lit(None).cast("int"), F.lit(0)), i=decisions.health(F.lit(0), F.lit(0)), r=decisions.reconcile_action(F.lit("REVIEW"), F.lit("AUTO_APPLY")), d=decisions.patch_decision(F.lit(True), F.lit(True), F.lit(0.7)))
-    assert tuple(got) == ("CRITICAL", "AUTO_APPLY", 95, 50, "REVIEW_REQUIRED", "NOT_RATED", "SOUND", "INDIVIDUAL_APPROVAL", "REVIEW")
+    assert tuple(got) == ("CRITICAL", "AUTO_APPLY", 95, 50, "REVIEW_REQUIRED", "NOT_RATED", "SOUND", "BATCH_APPROVAL", "REVIEW")
     assert decisions.choose_type({"NLP_TOOL": 6, "ML_PIPELINE": 5, "CLI_TOOL": 1}) == "NLP_TOOL"
+    assert decisions.choose_type({"GAME_ENGINE": 9, "MOBILE_APPLICATION": 3}) == "MOBILE_APPLICATION"  # a weaker type removes a stronger one below it
+    for x in (0.794, 0.795, 0.7949999, 0.796, 0.4949, 0.495, 0.4951):
+        assert (x >= text.rounded_cut(0.8)) == (round(x, 2) >= 0.8) and (x >= text.rounded_cut(0.5)) == (round(x, 2) >= 0.5)
     assert decisions.choose_type({"WEB_APPLICATION": 4, "ML_PIPELINE": 4}) == "MONOREPO" and decisions.choose_type({}) == "UNKNOWN"
 
 
