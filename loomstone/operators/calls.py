@@ -82,20 +82,46 @@ def ancestors(bases: DataFrame) -> DataFrame:
     return out.groupBy("path", "ancestor").agg(F.min("place").alias("place"))
 
 
-def variable_types(facts: DataFrame, table: DataFrame, named: DataFrame) -> DataFrame:
+def call_paths(rows: DataFrame, table: DataFrame, named: DataFrame) -> DataFrame:
+    """rows (module, target) with path and path_kind: what the target names in the module itself, else by an import."""
+    known = table.select("path", F.col("kind").alias("path_kind"))
+    local, far = known.toDF("l_path", "l_kind"), known.toDF("f_path", "f_kind")
+    alias = named.select(F.col("module").alias("n_module"), F.col("name").alias("n_name"), F.col("target").alias("n_target"))
+    head = F.split("target", r"\.", 2)
+    out = rows.withColumns({"here": F.concat_ws(".", "module", "target"), "head": head[0], "rest": F.get(head, 1)})
+    out = out.join(local, F.col("here") == F.col("l_path"), "left").join(alias, (F.col("module") == F.col("n_module")) & (F.col("head") == F.col("n_name")), "left")
+    out = out.withColumn("there", F.concat_ws(".", "n_target", "rest")).join(far, F.col("there") == F.col("f_path"), "left")
+    return out.select(*rows.columns, F.coalesce("l_path", "f_path").alias("path"), F.coalesce("l_kind", "f_kind").alias("path_kind"))
+
+
+_BUILTIN_TYPES = ("list", "dict", "set", "str")
+
+
+def known_returns(facts: DataFrame, table: DataFrame, named: DataFrame) -> DataFrame:
+    """(path, type): functions all of whose returns have one type, through the calls that they return."""
+    rows = facts.where("kind = 'return' AND NOT endswith(id, '.<module>')").select("module", F.col("id").alias("fid"), F.get("items", 0).alias("shape"), "target")
+    rows = call_paths(rows, table, named)
+    built = (F.col("shape") == "builtin") & F.col("target").isin(*_BUILTIN_TYPES)
+    made = (F.col("shape") == "call") & (F.col("path_kind") == "class")
+    called = (F.col("shape") == "call") & F.col("path_kind").isin("function", "nested", "method")
+    kind = F.when(built | made, "type").when(called, "call").otherwise("unknown")
+    value = F.when(built, F.concat(F.lit("builtin:"), "target")).when(made, F.concat(F.lit("class:"), "path")).otherwise(F.col("path"))
+    typed = return_types(settle(rows.select("fid", kind.alias("kind"), value.alias("value")), "returns"))
+    return typed.where("label <> 'AMBIGUOUS'").select(F.col("fid").alias("path"), F.element_at("types", 1).alias("type"))
+
+
+def variable_types(facts: DataFrame, table: DataFrame, named: DataFrame, returns: DataFrame | None = None) -> DataFrame:
     """(module, scope, var, seq, type): each plain assignment's type, null where it isn't known.
 
-    type is builtin:<name> or class:<path>.
+    type is builtin:<name> or class:<path>; with `returns` (path, type) a called function gives its type.
     """
     assigned = facts.where("kind = 'assign' AND NOT contains(name, '.')").select("module", F.concat_ws(".", "scope").alias("scope"), F.col("name").alias("var"), "seq", F.get("items", 0).alias("shape"), "target")
-    head = F.split("target", r"\.", 2)
-    classes = table.where("kind = 'class'").select(F.col("path").alias("c_path"))
-    local, alias = classes.select(F.col("c_path").alias("l_path")), named.select(F.col("module").alias("n_module"), F.col("name").alias("n_name"), F.col("target").alias("n_target"))
-    out = assigned.withColumns({"here": F.concat_ws(".", "module", "target"), "head": head[0], "rest": F.get(head, 1)})
-    out = out.join(local, F.col("here") == F.col("l_path"), "left").join(alias, (F.col("module") == F.col("n_module")) & (F.col("head") == F.col("n_name")), "left")
-    out = out.withColumn("far", F.concat_ws(".", "n_target", "rest")).join(classes, F.col("far") == F.col("c_path"), "left")
-    kind = F.when((F.col("shape") == "builtin") & F.col("target").isin("list", "dict", "set", "str"), F.concat(F.lit("builtin:"), "target")).when(F.col("shape") == "call", F.concat(F.lit("class:"), F.coalesce("l_path", "c_path")))
-    return out.select("module", "scope", "var", "seq", kind.alias("type"))
+    out = call_paths(assigned, table, named)
+    kind = F.when((F.col("shape") == "builtin") & F.col("target").isin(*_BUILTIN_TYPES), F.concat(F.lit("builtin:"), "target")).when((F.col("shape") == "call") & (F.col("path_kind") == "class"), F.concat(F.lit("class:"), "path"))
+    out = out.withColumn("type", kind)
+    if returns is not None:
+        out = out.join(returns.toDF("path", "returned"), "path", "left").withColumn("type", F.coalesce("type", F.when(F.col("shape") == "call", F.col("returned"))))
+    return out.select("module", "scope", "var", "seq", "type")
 
 
 def typed_receivers(calls: DataFrame, types: DataFrame) -> DataFrame:
@@ -109,8 +135,11 @@ def typed_receivers(calls: DataFrame, types: DataFrame) -> DataFrame:
     return seen.groupBy("call").agg(F.max_by("type", "depth").alias("type"))
 
 
-def resolve_calls(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(edges: module, caller, callee, lineno, resolution; unresolved: module, lineno, pattern, name)."""
+def resolve_calls(facts: DataFrame, by_returns: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(edges: module, caller, callee, lineno, resolution; unresolved: module, lineno, pattern, name).
+
+    With `by_returns` a variable that a function's result is assigned to has the type which the function returns.
+    """
     facts = settle(facts, "facts")
     table, named, bases = settle(symbols(facts), "symbols"), settle(aliases(facts), "aliases"), settle(resolved_bases(facts), "bases")
     roots = facts.select(F.split("module", r"\.")[0].alias("root")).distinct()
@@ -118,7 +147,8 @@ def resolve_calls(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
     calls = calls.withColumn("head", F.get("items", 0))
     alias = named.select(F.col("module").alias("n_module"), F.col("name").alias("n_name"), F.col("target").alias("alias"))
     calls = settle(calls.join(alias, (F.col("module") == F.col("n_module")) & (F.col("head") == F.col("n_name")), "left").drop("n_module", "n_name"), "calls")
-    types = typed_receivers(calls, variable_types(facts, table, named))
+    returns = known_returns(facts, table, named) if by_returns else None
+    types = typed_receivers(calls, variable_types(facts, table, named, returns))
     calls = settle(calls.join(types, "call", "left"), "calls")
     plain, own = F.size("items") == 1, (F.size("items") == 2) & (F.col("head") == "self") & F.col("class").isNotNull()
     rest = F.array_join(F.slice("items", 2, F.greatest(F.size("items") - 1, F.lit(0))), ".")

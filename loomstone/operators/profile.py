@@ -90,3 +90,11 @@ def unsupported_numbers(rendered: DataFrame, text: str, evidence: DataFrame, val
     """(number): numbers of a rendered text that no evidence has."""
     shown = rendered.select(F.explode(F.regexp_extract_all(text, F.lit(r"(\d+)"), 1)).alias("number")).distinct()
     return shown.join(evidence.select(F.col(value).cast("string").alias("number")), "number", "left_anti")
+
+
+def module_tree(facts: DataFrame) -> DataFrame:
+    """(module, classes: array of class, methods): the browsable tree; free functions are under a null class."""
+    made = facts.where("kind = 'function' AND (target IS NULL OR target = 'class')").select("module", F.when(F.col("target") == "class", F.col("class")).alias("class"), "name")
+    by_class = made.groupBy("module", "class").agg(F.array_sort(F.collect_set("name")).alias("methods"))
+    empty = facts.where("kind = 'class'").select("module", F.col("name").alias("class")).join(by_class, ["module", "class"], "left_anti").withColumn("methods", F.array().cast("array<string>"))
+    return by_class.unionByName(empty).groupBy("module").agg(F.array_sort(F.collect_list(F.struct("class", "methods"))).alias("classes"))

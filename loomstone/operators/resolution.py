@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomstone.operators.calls import ancestors
 from loomstone.operators.joins import agreeing, first_match
+from loomstone.tables import settle
 
 
 def attribute_types(facts: DataFrame, classes: DataFrame) -> DataFrame:
@@ -33,6 +34,21 @@ def attribute_calls(facts: DataFrame, types: DataFrame, symbols: DataFrame, base
     return best.select("module", "caller", "callee", "lineno", label.alias("resolution"))
 
 
+def imported_receivers(facts: DataFrame, named: DataFrame, symbols: DataFrame, bases: DataFrame) -> DataFrame:
+    """Edges of Name.method() where Name is an imported class: its own method first, then the nearest ancestor's."""
+    classes = symbols.where("kind = 'class'").select(F.col("path").alias("holder"))
+    alias = named.select("module", F.col("name").alias("var"), F.col("target").alias("holder")).join(classes, "holder")
+    calls = facts.where("kind = 'call' AND size(items) = 2").select("module", F.col("id").alias("caller"), "lineno", F.get("items", 0).alias("var"), "name", "seq")
+    at = settle(calls.join(alias, ["module", "var"]), "imported-receivers")
+    family = ancestors(bases).select(F.col("path").alias("holder"), "ancestor", "place")
+    own = at.withColumn("place", F.array().cast("array<int>"))
+    up = at.join(family, "holder").select(*(F.col("ancestor").alias("holder") if c == "holder" else c for c in at.columns), "place")
+    hit = own.unionByName(up).withColumn("path", F.concat_ws(".", "holder", "name")).join(symbols.where("kind = 'method'").select("path", "callee"), "path")
+    best = first_match(hit.select("module", "seq", "caller", "lineno", "callee", "place"), ["module", "seq"], ["place", "callee"])
+    label = F.when(F.size("place") == 0, "imported_class_method_call").otherwise("imported_inherited_method_call")
+    return best.select("module", "caller", "callee", "lineno", label.alias("resolution"))
+
+
 def annotated_calls(facts: DataFrame, named: DataFrame, symbols: DataFrame) -> DataFrame:
     """Edges of var.method() where an annotation in the same function gives var's class: of the module, or imported.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from loomstone.operators import cognition, decisions, graph, joins, lineage, logs, profile, resolution
+from loomstone.operators import cognition, decisions, govern, graph, joins, lineage, logs, profile, resolution
 from loomstone.plans.edges import part_count
 from loomstone.plans.registry import query
 from loomstone.tables import load
@@ -165,13 +165,9 @@ def q_decision_priority(spark, d):
     return logs.decision_of_pair(log, "a", "b", "decision", ["event_id"])
 
 
-@query("""WITH S AS (SELECT conv_id, turn, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS next_turn, role FROM conversations)
-SELECT S.conv_id, S.turn, count(c.turn) AS inside FROM S LEFT JOIN conversations c ON c.conv_id = S.conv_id AND c.turn >= S.turn AND c.turn < coalesce(S.next_turn, 1000000) WHERE S.role = 'user' GROUP BY 1, 2""")
+@query("""SELECT conv_id AS file, role AS name, turn AS start_line, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS end_line FROM conversations""")
 def q_spans(spark, d):
-    turns = load(spark, d, "conversations")
-    spans = turns.withColumn("end", F.coalesce(F.lead("turn").over(Window.partitionBy("conv_id").orderBy("turn")), F.lit(1000000))).where("role = 'user'")
-    inner = turns.select("conv_id", F.col("turn").alias("at"))
-    return spans.join(inner, "conv_id", "left").groupBy("conv_id", "turn", "end").agg(F.count_if((F.col("at") >= F.col("turn")) & (F.col("at") < F.col("end"))).alias("inside")).drop("end")
+    return govern.function_spans(load(spark, d, "conversations").select(F.col("conv_id").alias("file"), F.col("role").alias("name"), F.col("turn").alias("start_line")))
 
 
 @query("SELECT source, count(*) AS total, count(l.doc_id) AS covered, (count(l.doc_id) / count(*))::DOUBLE AS share FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id GROUP BY 1")
