@@ -6,8 +6,8 @@ log-count ratio of its n-gram between the classes, each text's vector has unit l
 loss is fitted by dual coordinate descent. A logistic curve, fitted on margins of rows that the model was not fitted on,
 turns a margin into a score.
 
-Fitting takes at most `per_class` labelled rows of each label, those with the smallest hash of the id: a bounded,
-documented sample. Scoring reads every whole text.
+Fitting takes at most `per_class` labelled rows of each label, those with the smallest hash of the id, and of these, in
+a fixed order, as many as have FIT_FEATURES features: a bounded, documented sample. Scoring reads every whole text.
 
 Defined cases: null and empty texts have no n-grams and score by the model's offset; rows with a null label or id are
 not fitted on; with one class or none labelled every score is the share of label 1 (1 where nothing is labelled).
@@ -26,10 +26,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomstone.llm.common import whole_text
+from loomstone.llm.common import removed, whole_text, written
 
 BITS = 18
 PER_CLASS = 3000
+#: Features of all fitted rows together: 512 MB on the driver. Of 6,000 rows of usual length all are far within it.
+FIT_FEATURES = 64_000_000
 THRESHOLD = 0.7
 SEED = 42
 _PIECE = 1 << 20
@@ -184,9 +186,17 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Colu
 
     ids = spark.createDataFrame([(r["mark_id"], r["mark"]) for r in chosen], "mark_id long, mark int")
     picked = docs.select(F.col(id_col).cast("long").alias("mark_id"), whole_text(text_col).alias("body")).join(F.broadcast(ids), "mark_id")  # at most 2 * per_class ids
-    got = picked.select("mark_id", "mark", "body").mapInArrow(features, "mark_id long, mark int, idx binary").collect()
-    got = {r["mark_id"]: (r["mark"], np.frombuffer(bytes(r["idx"]), np.int32).astype(np.int64)) for r in sorted(got, key=lambda r: (r["mark_id"], bytes(r["idx"])))}
-    order = sorted(got, key=lambda i: (i * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF)
+    made = written(picked.select("mark_id", "mark", "body").mapInArrow(features, "mark_id long, mark int, idx binary"), "quality-features")
+    # At most 2 * per_class sizes reach the driver first; then the features of as many rows, in a fixed order, as FIT_FEATURES allows.
+    sizes: dict[int, int] = {}
+    for r in made.select("mark_id", F.octet_length("idx").alias("size")).collect():
+        sizes[r["mark_id"]] = max(sizes.get(r["mark_id"], 0), r["size"] // 4)
+    order = sorted(sizes, key=lambda i: (i * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF)
+    order = [i for i, total in zip(order, np.cumsum([sizes[i] for i in order]).tolist(), strict=True) if total <= FIT_FEATURES or i == order[0]]
+    taken = spark.createDataFrame([(i,) for i in order], "mark_id long")
+    rows = made.join(F.broadcast(taken), "mark_id").collect()  # as many ids as above
+    removed(made)
+    got = {r["mark_id"]: (r["mark"], np.frombuffer(bytes(r["idx"]), np.int32).astype(np.int64)) for r in sorted(rows, key=lambda r: (r["mark_id"], bytes(r["idx"])))}
     return [got[i][1] for i in order], np.array([got[i][0] for i in order]), share
 
 
