@@ -24,6 +24,51 @@ PATH_CLASSES = (
 #: Ignored folders of a source scan.
 IGNORED_DIRS = (".git", "__pycache__", "node_modules", ".venv", "venv")
 
+#: What the project scan leaves out, besides folders that begin with a dot.
+PROJECT_DIRS, PROJECT_FILES = (".venv", "__pycache__", ".git", ".idea", ".vscode"), ("main.py", "run_uat.py", "run_uat_per_case.py", "uat_test_cases.py")
+#: Parts of a path that the graph scan leaves out.
+GRAPH_IGNORED = (
+    ".venv", "venv", "__pycache__", ".git", ".pytest_cache", "backups", "archive", "logs", "reports", "real_world", "site-packages", "vendor", "external",
+)
+#: Parts of a path that mark copies and archives.
+BACKUP_MARKS = (".bak", "_old", "_backup", " - Copy", "_pre_", ".pre_", "_archive")
+
+
+def _slashes(path) -> Column:
+    return F.replace(path, F.lit("\\"), F.lit("/"))
+
+
+def in_project_scan(path) -> Column:
+    """Python files but for named ones, and those in named or hidden folders."""
+    parts = F.split(path, "/")
+    folders = F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0)))
+    hidden = F.exists(folders, lambda p: p.isin(*PROJECT_DIRS) | (p.startswith(".") & ~p.isin(".", "..")))
+    return path.endswith(".py") & ~F.element_at(parts, -1).isin(*PROJECT_FILES) & ~hidden
+
+
+def in_graph_scan(path) -> Column:
+    """Python files none of whose parts, the file's own name too, is ignored."""
+    return path.endswith(".py") & ~F.exists(F.split(path, "/"), lambda p: p.isin(*GRAPH_IGNORED))
+
+
+def is_internal(path) -> Column:
+    """Files of the engine itself: under core/, and main.py anywhere."""
+    p = _slashes(path)
+    return p.startswith("./core/") | p.startswith("core/") | p.endswith("main.py")
+
+
+def is_under(path, project_root) -> Column:
+    """Whether the path begins with the project's root, whatever the case and the kind of slash."""
+    return F.startswith(F.lower(_slashes(path)), F.lower(_slashes(F.lit(project_root) if isinstance(project_root, str) else project_root)))
+
+
+def is_backup(path) -> Column:
+    return functools.reduce(lambda a, b: a | b, (F.contains(path, F.lit(m)) for m in BACKUP_MARKS))
+
+
+def is_test_name(name) -> Column:
+    return name.startswith("test_") | name.startswith("_test_")
+
 
 def is_production(path) -> Column:
     low = F.lower(F.replace(path, F.lit("\\"), F.lit("/")))

@@ -147,6 +147,12 @@ def health(guesses, uncategorised) -> Column:
     return F.when(guesses.isNull(), "NOT_RATED").when((guesses > 0) | (F.coalesce(uncategorised, F.lit(0)) > 0), "UNVERIFIED").otherwise("SOUND")
 
 
+def health_risk(guesses, uncategorised, in_repo_misses) -> Column:
+    """The risk beside the rating: HIGH if unverified, MEDIUM with over 200 misses in the repository, null if not rated."""
+    rating = health(guesses, uncategorised)
+    return F.when(rating == "UNVERIFIED", "HIGH").when(rating == "SOUND", F.when(F.coalesce(in_repo_misses, F.lit(0)) > 200, "MEDIUM").otherwise("LOW"))
+
+
 def complete(has_primary, has_index) -> Column:
     """A run is complete with primary artifacts or a reasoning index; unknown counts as neither."""
     return F.coalesce(has_primary, F.lit(False)) | F.coalesce(has_index, F.lit(False))

@@ -98,3 +98,26 @@ def module_tree(facts: DataFrame) -> DataFrame:
     by_class = made.groupBy("module", "class").agg(F.array_sort(F.collect_set("name")).alias("methods"))
     empty = facts.where("kind = 'class'").select("module", F.col("name").alias("class")).join(by_class, ["module", "class"], "left_anti").withColumn("methods", F.array().cast("array<string>"))
     return by_class.unionByName(empty).groupBy("module").agg(F.array_sort(F.collect_list(F.struct("class", "methods"))).alias("classes"))
+
+
+def edge_differences(predicted: DataFrame, truth: DataFrame) -> DataFrame:
+    """(src, dst, found): edges of both sets as tp, fp (only predicted) or fn (only true)."""
+    a = predicted.select("src", "dst").distinct().withColumn("p", F.lit(True))
+    b = truth.select("src", "dst").distinct().withColumn("t", F.lit(True))
+    return a.join(b, ["src", "dst"], "full_outer").select("src", "dst", F.when(F.col("p") & F.col("t"), "tp").when(F.col("p"), "fp").otherwise("fn").alias("found"))
+
+
+#: Words that judge where a report should measure, and forms that blur a number.
+JUDGEMENTS = (
+    "medium-sized", "small-sized", "large-sized", "medium sized", "well-structured", "well structured", "poorly-structured", "mature", "immature",
+    "robust", "fragile", "clean", "messy", "high-quality", "low-quality", "well-organized", "well organized", "modern", "legacy", "elegant", "solid",
+    "healthy", "sound-architecture", "production-ready", "enterprise-grade", "battle-tested", "reusable package",
+)
+HEDGES = (r"\bapproximately\s+[\d,]+", r"\broughly\s+[\d,]+", r"~\s*[\d,]{2,}", r"\babout\s+[\d,]{3,}", r"\border of\b")
+
+
+def judging_words(text) -> Column:
+    """The judging words and blurring forms that a text has, in the order of the lists; words count as whole ones."""
+    low = F.lower(text)
+    words_ = [F.when(low.rlike(rf"\b{w}\b"), w) for w in JUDGEMENTS]
+    return F.filter(F.array(*words_, *(F.when(low.rlike(h), h) for h in HEDGES)), lambda x: x.isNotNull())

@@ -11,7 +11,8 @@ from loomstone.functions.paths import IGNORED_DIRS, extension, under_ignored
 LANGUAGES = {
     ".py": "python", ".java": "java", ".js": "javascript", ".jsx": "javascript", ".mjs": "javascript", ".ts": "typescript", ".tsx": "typescript",
     ".go": "go", ".cs": "csharp", ".c": "c", ".h": "c", ".cpp": "cpp", ".cc": "cpp", ".cxx": "cpp", ".hpp": "cpp", ".rs": "rust",
-    ".sql": "sql", ".pls": "sql", ".plsql": "sql", ".pks": "sql", ".pkb": "sql", ".prc": "sql", ".fnc": "sql", ".trg": "sql", ".vw": "sql",
+    ".sql": "sql", ".ddl": "sql", ".dml": "sql", ".proc": "sql", ".sp": "sql", ".fnc": "sql", ".prc": "sql", ".trg": "sql", ".pkg": "sql",
+    ".pkb": "sql", ".pks": "sql", ".pgsql": "sql", ".plpgsql": "sql", ".tsql": "sql", ".vw": "sql", ".view": "sql", ".pls": "sql", ".plsql": "sql",
 }
 IMPLEMENTED = ("python", "java", "javascript", "typescript", "go", "csharp", "c", "cpp", "sql")
 DOCUMENTS = (".md", ".rst", ".txt", ".adoc", ".pdf", ".docx", ".html")
@@ -101,6 +102,61 @@ def package_json(files: DataFrame, path: str = "path", content: str = "content")
     return part("j.dependencies", False).union(part("j.devDependencies", True))
 
 
+#: Texts in build files of Java and in package.json, with the signal (type, weight) that each gives.
+JAVA_MARKERS = {
+    "spring-boot": ("WEB_APPLICATION", 2), "springframework": ("WEB_APPLICATION", 2), "spring.boot": ("WEB_APPLICATION", 2), "org.springframework": ("WEB_APPLICATION", 2),
+    "hibernate": ("WEB_APPLICATION", 1), "jakarta.persistence": ("WEB_APPLICATION", 1), "javax.servlet": ("API_SERVICE", 1), "io.quarkus": ("API_SERVICE", 2),
+    "io.micronaut": ("API_SERVICE", 2), "org.elasticsearch": ("DATA_ENGINEERING", 2), "co.elastic": ("DATA_ENGINEERING", 2),
+}
+FRONTEND_MARKERS = ('"react"', '"react-dom"', '"vue"', '"@angular/', '"svelte"', '"next"', '"nuxt"', '"gatsby"')
+#: Secondary frameworks by a text that names them in a manifest.
+SECONDARY = {
+    "celery": "Celery", "sqlalchemy": "SQLAlchemy", "alembic": "Alembic", "redis": "Redis", "dramatiq": "Dramatiq", "rq": "RQ", "pytest": "Pytest",
+    "pydantic": "Pydantic", "marshmallow": "Marshmallow", "httpx": "HTTPX", "requests": "Requests",
+}
+
+
+def manifest_signals(files: DataFrame, signatures: DataFrame) -> DataFrame:
+    """(path, type, weight): what manifests (path, content) tell of a repository's kind.
+
+    signatures: (package, type, weight), a dimension table. Requirements and setup files give a signal a line, a project
+    file one for each package that it names, build files of Java and package.json one for each marker that they hold.
+    """
+    read = files.select("path", F.lower(F.col("content").cast("string")).alias("text"), F.element_at(F.split(F.lower("path"), "/"), -1).alias("name"))
+    lines = read.where(F.col("name").startswith("requirements") | F.col("name").isin("pipfile", "setup.py", "setup.cfg")).select("path", F.posexplode(F.split("text", "\r\n|\n|\r")).alias("no", "line"))
+    line = F.trim("line")
+    lines = lines.where((line != "") & ~line.rlike(r"^(#|git\+|-r |--|-e |\./|\.\./)")).select("path", F.col("no").cast("string").alias("no"), F.trim(F.split(line, r"[>=<!;\[@]")[0]).alias("raw"))
+    quoted = F.regexp_extract_all("text", F.lit("[\"']([a-z][a-z0-9\\-_.]+?)(?:[>=<!;\\[,\\s\"'])"), 1)
+    keyed = F.regexp_extract_all("text", F.lit(r"(?m)^([a-z][a-z0-9\-_.]+)\s*="), 1)
+    named = read.where("name = 'pyproject.toml'").select("path", F.explode(F.array_distinct(F.concat(quoted, keyed))).alias("raw"))
+    # A name is looked up with underscores, then as it is; a project file also tries underscores for dots and dashes.
+    forms = lambda dots: F.array(F.translate("raw", "-.", "__") if dots else F.translate("raw", "-", "_"), F.col("raw"), F.translate("raw", "_.", "--") if dots else F.col("raw"))
+    tried = lines.select("path", "no", F.posexplode(forms(False)).alias("rank", "package")).unionByName(named.select("path", F.col("raw").alias("no"), F.posexplode(forms(True)).alias("rank", "package")))
+    hit = tried.join(signatures, "package").groupBy("path", "no").agg(F.min_by(F.struct("package", "type", "weight"), "rank").alias("found"))
+    hit = hit.join(read.select("path", F.col("name") == "pyproject.toml"), "path").toDF("path", "no", "found", "once")
+    by_line = hit.where("NOT once").select("path", "found.type", "found.weight")
+    by_package = hit.where("once").select("path", "found").distinct().select("path", "found.type", "found.weight")
+    java = F.filter(F.array(*(F.when(F.contains("text", F.lit(m)), F.struct(F.lit(t).alias("type"), F.lit(w).alias("weight"))) for m, (t, w) in JAVA_MARKERS.items())), lambda x: x.isNotNull())
+    front = F.filter(F.array(*(F.when(F.contains("text", F.lit(m)), F.struct(F.lit("FRONTEND_APPLICATION").alias("type"), F.lit(2).alias("weight"))) for m in FRONTEND_MARKERS)), lambda x: x.isNotNull())
+    builds = read.where(F.col("name").isin("pom.xml", "build.gradle", "build.gradle.kts")).select("path", F.inline(java))
+    scripts = read.where("name = 'package.json'").select("path", F.inline(front))
+    return by_line.union(by_package).union(builds).union(scripts).select("path", "type", F.col("weight").cast("long").alias("weight"))
+
+
+def secondary_frameworks(files: DataFrame) -> DataFrame:
+    """(framework): those that a manifest (content) names anywhere, also inside a word, each once."""
+    text = F.lower(F.col("content").cast("string"))
+    found = F.filter(F.array(*(F.when(F.contains(text, F.lit(k)), v) for k, v in SECONDARY.items())), lambda x: x.isNotNull())
+    return files.select(F.explode(found).alias("framework")).distinct()
+
+
+def package_folder(files: DataFrame, package: str) -> DataFrame:
+    """One row (folder, depth): the shallowest folder of the package's name with an __init__.py, the smaller of equals."""
+    folder = F.regexp_replace("path", "/[^/]*$", "")
+    own = files.where(F.col("path").endswith("/__init__.py")).select(folder.alias("folder")).where(F.element_at(F.split("folder", "/"), -1) == package)
+    return own.select("folder", F.size(F.split("folder", "/")).alias("depth")).orderBy("depth", "folder").limit(1)
+
+
 def entry_points(files: DataFrame, content: str = "content", most: int = 100) -> DataFrame:
     """(path): named entry files, and of the first `most` Python files those that run something; 0 lifts the bound."""
     text = F.col(content).cast("string")
