@@ -165,9 +165,10 @@ def q_decision_priority(spark, d):
     return logs.decision_of_pair(log, "a", "b", "decision", ["event_id"])
 
 
-@query("""SELECT conv_id AS file, role AS name, turn AS start_line, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS end_line FROM conversations""")
+@query("""SELECT conv_id AS file, role AS name, turn AS start_line, coalesce(lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) - 1, -1) AS end_line FROM conversations""")
 def q_spans(spark, d):
-    return govern.function_spans(load(spark, d, "conversations").select(F.col("conv_id").alias("file"), F.col("role").alias("name"), F.col("turn").alias("start_line")))
+    spans = govern.function_spans(load(spark, d, "conversations").select(F.col("conv_id").alias("file"), F.col("role").alias("name"), F.col("turn").alias("start_line")))
+    return spans.withColumn("end_line", F.coalesce("end_line", F.lit(-1)))
 
 
 @query("SELECT source, count(*) AS total, count(l.doc_id) AS covered, (count(l.doc_id) / count(*))::DOUBLE AS share FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id GROUP BY 1")
