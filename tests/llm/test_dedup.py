@@ -118,6 +118,14 @@ def test_simhash_components_equal_brute_force(spark, docs):
     assert got[300]["fingerprint"] == "0" * 16 and got[301]["component_id"] == 300
 
 
+def test_fingerprint_of_a_very_long_text(spark, docs):
+    words = ["lorem", "Ipsum", "dolor", "sit", "amet"] * 60_000
+    rows = [(1, " ".join(words)), (2, " ".join(words[:-5])), (3, "x" * 2_000_000)]
+    got = {r["doc_id"]: r for r in simhash.near_components(docs(*rows)).collect()}
+    assert {i: int(got[i]["fingerprint"], 16) for i in (2, 3)} == {2: brute_fingerprint(rows[1][1]), 3: brute_fingerprint(rows[2][1])}
+    assert got[2]["component_id"] == 1 and got[3]["component_id"] == 3
+
+
 def test_simhash_links_are_complete_for_planted_fingerprints(spark):
     rnd = random.Random(5)
     fps = set()

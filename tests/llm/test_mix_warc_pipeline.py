@@ -240,6 +240,35 @@ def test_pipeline_stages_against_brute_force(spark):
     assert corpus_pipeline.STAGES[4][1](spark, now, sf).count() == len(clean)
 
 
+def test_pipeline_with_nulls_repeats_and_clashing_columns(spark, tmp_path):
+    rng = random.Random(11)
+    text = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    one, leak, long = text(60), text(30), text(150_000)
+    rows = [(0, one), (1, one), (1, "B b " + text(20)), (None, one), (5, "same"), (5, "same"), (None, None), (7, None), (8, ""), (9, " ".join([*one.split()[:-1], "else"])), (10, "before " + leak + " after"), (11, long), (None, text(9)), (None, text(9))]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, row_key string, key string, n long, kept boolean"
+    docs = [(i, t, None, rng.choice(["a", None]), None, "x", None, 3, False) for i, t in rows]
+    folder = f"file://{tmp_path}/sf"
+    for name, made in {
+        "documents": spark.createDataFrame(docs, schema), "labels": spark.createDataFrame([(None, 1, 0), (1, None, 0), (0, 1, 0)], "doc_id long, quality int, toxic int"),
+        "benchmark": spark.createDataFrame([(1, leak), (2, None), (None, "")], "item_id long, text string"),
+    }.items():
+        made.write.parquet(f"{folder}/{name}.parquet")
+    now = spark.read.parquet(f"{folder}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        now = written(stage(spark, now, folder), "stage")
+        assert now.columns == schema.replace(" ", ",").split(",")[0:1] + [c.split()[0] for c in schema.split(", ")][1:]
+    # one of the three copies and the near copy; "same" once; one empty text; the leak is gone; null ids stay where they differ
+    left = sorted(((r["doc_id"], (r["text"] or "")[:4]) for r in now.select("doc_id", "text").collect()), key=str)
+    assert [x for x in left if x[0] is not None] == [(0, one[:4]), (1, "B b "), (11, long[:4]), (5, "same"), (7, "")]
+    assert sum(x[0] is None for x in left) == 2
+    out = corpus_pipeline.run(spark, folder).toPandas()
+    assert len(out) == len(left) and (out["taken"] <= 2 * out["size"]).all() and out["size"].max() == 150_000
+    spark.createDataFrame([], schema).write.parquet(f"{folder}2/documents.parquet")
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{folder}/{name}.parquet").write.parquet(f"{folder}2/{name}.parquet")
+    assert corpus_pipeline.run(spark, f"{folder}2").count() == 0
+
+
 def shingle_set(text):
     w = (text or "").encode().lower().split()
     return {b" ".join(w[i : i + 5]) for i in range(len(w) - 4)} or ({b" ".join(w)} if w else set())
