@@ -40,7 +40,10 @@ def once_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents connected by a similarity of 0.8 or more over five-word shingles, keeps the smallest doc_id."""
+    """Of documents connected by a similarity of 0.8 or more over five-word shingles, keeps the smallest doc_id.
+
+    SimHash with pigeonring proposes pairs that the shingle sets check; an exact way finds those that it leaves.
+    """
     return simhash.keep_one(docs)
 
 

@@ -5,7 +5,9 @@ differing bits. With the 64 bits as a ring of 16 segments of 4 bits, any two fin
 of segments, from some start, whose differences over each prefix of k segments sum to at most 3k/16. So the first five
 segments of the chain are equal and the first ten differ in at most one bit: of the second five, the first ten or the
 last ten bits are equal too. Each fingerprint is therefore filed under 32 keys of 30 bits (16 starts, 2 halves); pairs
-that share a key pass the whole chain condition before their Hamming distance is counted.
+that share a key pass the whole chain condition before their Hamming distance is counted. Within distance 7 the prefixes sum
+to at most 7k/16: the first two segments are equal, and so are two of the next four, one of them among the third and the
+fourth, which gives 80 keys of 16 bits (16 starts, 5 choices).
 
 A key's fingerprints are compared within blocks and between pairs of blocks of at most BLOCK distinct fingerprints, so
 no task gets a large group, and a task passes on a spanning forest of the links that it finds, never all pairs.
@@ -32,6 +34,8 @@ from loomstone.llm.common import hot_join, removed, whole_text, with_row_key, wr
 SHINGLE = 3
 DISTANCE = 3
 SEGMENTS, SEGMENT_BITS = 16, 4
+#: For each distance the bits of the turned ring that make up its keys.
+RING_MASKS = {3: (0x3FFFFFFF, 0xFFC00FFFFF), 7: (0xFFFF, 0xF0FFF, 0xF00FFF, 0xFF0FF, 0xF0F0FF)}
 BLOCK = 512
 _BITS_OF = np.array([bin(i).count("1") for i in range(256)], dtype=np.uint8)
 
@@ -75,12 +79,19 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id"
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("body")).mapInArrow(each, "doc_id long, fp long")
 
 
-def ring_keys(fps: DataFrame) -> DataFrame:
-    """(slot, key, fp) for the 16 starts and 2 halves."""
-    slots = fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(31))).alias("slot"))
-    turn = F.expr("CAST(slot DIV 2 AS INT) * 4")
+def ring_masks(max_distance: int) -> tuple[int, ...]:
+    """The masks of the smallest distance that covers the one asked for."""
+    if max_distance > max(RING_MASKS):
+        raise ValueError(f"the ring keys hold for a distance of at most {max(RING_MASKS)}")
+    return RING_MASKS[min(d for d in RING_MASKS if d >= max_distance)]
+
+
+def ring_keys(fps: DataFrame, masks: tuple[int, ...]) -> DataFrame:
+    """(slot, key, fp) for the 16 starts and each mask."""
+    slots = fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(SEGMENTS * len(masks) - 1))).alias("slot"))
+    turn = F.expr(f"CAST(slot DIV {len(masks)} AS INT) * {SEGMENT_BITS}")
     turned = slots.withColumn("turn", turn).withColumn("ring", F.expr("CASE WHEN turn = 0 THEN fp ELSE shiftrightunsigned(fp, turn) | shiftleft(fp, 64 - turn) END"))
-    key = F.expr("CASE WHEN slot % 2 = 0 THEN ring & 1073741823L ELSE (ring & 1048575L) | shiftleft(shiftrightunsigned(ring, 30) & 1023L, 20) END")
+    key = F.expr(f"ring & element_at(array({', '.join(f'{m}L' for m in masks)}), slot % {len(masks)} + 1)")
     return turned.select("slot", key.alias("key"), "fp")
 
 
@@ -141,12 +152,11 @@ def group_links(fps: np.ndarray, side: np.ndarray, start: int, budget: int) -> l
 
 def links(fps: DataFrame, max_distance: int = DISTANCE, block: int = BLOCK) -> DataFrame:
     """(a, b): links among distinct fingerprints, enough to connect all that are connected."""
-    if max_distance > DISTANCE:
-        raise ValueError(f"the ring keys hold for a distance of at most {DISTANCE}")
-    keyed, by_key = ring_keys(fps), ["slot", "key"]
+    masks = ring_masks(max_distance)
+    keyed, by_key = ring_keys(fps, masks), ["slot", "key"]
     sizes = written(keyed.groupBy(*by_key).agg(F.count("*").alias("n")).where("n > 1"), "ring-sizes")
     # A hot key's members meet its size by broadcast, so they become blocks where they are.
-    members = hot_join(keyed, sizes, by_key, "n", fps.count() * 2 * SEGMENTS)
+    members = hot_join(keyed, sizes, by_key, "n", fps.count() * len(masks) * SEGMENTS)
     blocks = F.ceil(F.col("n") / block)
     members = members.withColumn("blocks", blocks).withColumn("own", F.expr("pmod(xxhash64(fp), blocks)"))
     # Each member goes to its own block and to each pair of blocks with its own: sides 0 and 1 by the smaller number.
@@ -183,14 +193,14 @@ def links(fps: DataFrame, max_distance: int = DISTANCE, block: int = BLOCK) -> D
         out: list[tuple[int, int]] = []
         for s, e in zip(edges, edges[1:], strict=False):
             if e - s > 1:
-                out += group_links(fps_[s:e], side[s:e], int(slot[s]) // 2, max_distance)
+                out += group_links(fps_[s:e], side[s:e], int(slot[s]) // len(masks), max_distance)
         if out:
             ab = np.array(out, dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(ab[:, 0]), pa.array(ab[:, 1])], names=["a", "b"])
 
     # A number given is kept: small rows, but much work for each, would else meet in few tasks.
     parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = dealt.repartition(parts, *by).sortWithinPartitions(*by)
+    ordered = dealt.repartition(parts, *by).sortWithinPartitions(*by, "fp")
     return ordered.mapInArrow(compare, "a long, b long").distinct()
 
 
@@ -244,20 +254,26 @@ def near_components(docs: DataFrame, shingle: int = SHINGLE, max_distance: int =
 
 # --- similarity of 0.8 over five-word shingles
 #
-# At a Jaccard similarity of 0.8 two 64-bit fingerprints differ in about 10 bits and up to 16, where the ring's keys are
-# too short to find pairs by, and no estimate from bits tells 0.8 from 0.79. So the shingle sets decide every link, and
-# what comes before only leaves out pairs that can't reach the similarity s:
+# SimHash proposes pairs, the shingle sets decide each of them, and an exact way finds those that the bits don't bring
+# near: at a Jaccard similarity of 0.8 two fingerprints differ in up to 16 bits, where the ring's keys are too short.
 #
 # 1. A set of n shingles has s * n of them in common with any partner, so a text stays only if that many of its shingles
 #    are in some other text too. One shuffle of shortened hashes counts them; few texts are left.
-# 2. Prefix filter among these: in whatever order all shingles are, the first n - ceil(s * n) + 1 of one set and of its
-#    partner's have one in common. The order is by the number of texts that have the shingle, the rarest first.
-# 3. Texts that such a shingle connects, directly or through others, are a family. Within a family's blocks, and between
-#    pairs of its blocks, all sets are compared, and a task passes on a spanning forest of the links that it finds. A
-#    family of over FAMILY texts is compared shingle by shingle instead: texts that share one, in blocks again.
+# 2. Fingerprints of two-word shingles, which a changed word moves less than wider ones, are linked by pigeonring at up
+#    to NEAR bits. Every link, and every text that has the fingerprint of another, is checked on the whole sets, star by
+#    star. What passes is a link, and texts that these connect, a part, aren't compared with each other again.
+# 3. Pairs of different parts, by a prefix filter: in whatever order all shingles are, the first n - ceil(s * n) + 1 of
+#    one set and of its partner's have one in common. The order is by the number of texts that have the shingle, the
+#    rarest first. Shingles that a single part has need no look.
+# 4. Texts that such a shingle connects, directly or through others, are a family. Within a family's blocks, and between
+#    pairs of its blocks, all sets of different parts are compared, and a task passes on a spanning forest of the links
+#    that it finds. A family of over FAMILY texts is compared shingle by shingle instead: texts that share one, in
+#    blocks again.
 
 WIDE_SHINGLE = 5
 SIMILARITY = 0.8
+#: The words of a shingle and the differing bits of the fingerprints that propose pairs.
+NEAR_SHINGLE, NEAR = 2, 7
 #: Shingles of one bucket of the first count, and the bytes that each is shortened to there beyond the bucket's own bits.
 #: Equal short hashes of different shingles only leave a text in that could have gone.
 BUCKET_SHINGLES, SHORT = 4_000_000, 5
@@ -361,9 +377,12 @@ def shared_counts(source: DataFrame, shingle: int) -> DataFrame:
     return dealt.mapInArrow(count, "doc_id long, n long, m long").groupBy("doc_id").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
 
 
-def block_links(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, similarity: float) -> list[tuple[int, int]]:
-    """A spanning forest of the links within one block (all sides 0) or between two blocks (sides 0 and 1)."""
-    part, out = np.arange(len(ids)), []
+def block_links(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, part: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """A spanning forest of the links within one block (all sides 0) or between two blocks (sides 0 and 1).
+
+    Texts of the same part are connected already.
+    """
+    part, out = part.copy(), []
     sizes = np.array([len(x) for x in sets], np.int64)
     words, place = np.unique(np.concatenate(sets), return_inverse=True)
     ends = np.cumsum(sizes)
@@ -389,11 +408,25 @@ def block_links(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, simil
     return out
 
 
+def near_pairs(texts: DataFrame, max_distance: int = NEAR) -> DataFrame:
+    """(a, b, n): pairs of `texts` (doc_id, n, fp) that pigeonring links, or whose fingerprints are equal; n is b's.
+
+    Of equal fingerprints the smallest id meets the others and stands for them in the links.
+    """
+    first = texts.groupBy("fp").agg(F.min("doc_id").alias("a"), F.min_by("n", "doc_id").alias("first_n"), F.count("*").alias("members"))
+    first = written(first, "near-fingerprints")
+    same = hot_join(texts, first, "fp", "members", texts.count()).where("doc_id <> a").select("a", F.col("doc_id").alias("b"), "n")
+    linked = links(first.select("fp"), max_distance).select(F.least("a", "b").alias("fp"), F.greatest("a", "b").alias("other")).distinct()
+    others = first.select(F.col("fp").alias("other"), F.col("a").alias("b"), F.col("first_n").alias("n"))
+    pairs = written(same.unionByName(linked.join(first.select("fp", "a"), "fp").join(others, "other").select("a", "b", "n")), "near-pairs")
+    removed(first)
+    return pairs
+
+
 def similar_links(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = WIDE_SHINGLE, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """(a, b): pairs of ids whose shingle sets have the Jaccard similarity asked for, enough to connect all that such
     pairs connect. Ids tell the rows apart and aren't negative; empty texts have no links."""
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("body"))
     with small_batches(spark, 2048):
         counts = shared_counts(source, shingle).where((F.col("n") > 0) & (F.col("m") >= least_common(F.col("n"), similarity)))
@@ -401,59 +434,102 @@ def similar_links(docs: DataFrame, similarity: float = SIMILARITY, shingle: int
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [np.unique(shingle_hashes(t.lower().split(), shingle)) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], names=["doc_id", "shingles"])
+            words = [t.lower().split() for t in batch.column(1).to_pylist()]
+            sets = pa.array([np.unique(shingle_hashes(w, shingle)).view(np.int64) for w in words], pa.list_(pa.int64()))
+            fps = pa.array(np.array([fingerprint(shingle_hashes(w, NEAR_SHINGLE)) for w in words], np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), sets, fps], names=["doc_id", "shingles", "fp"])
 
     with small_batches(spark, 512):
-        sets = written(source.join(some.select("doc_id"), "doc_id").mapInArrow(spread, "doc_id long, shingles array<long>"), "similar-sets")
+        sets = written(source.join(some.select("doc_id"), "doc_id").mapInArrow(spread, "doc_id long, shingles array<long>, fp long"), "similar-sets")
+    close = checked_near(sets, similarity, block)
+    rest = other_links(some, sets, components(close), similarity, block)
+    links = written(close.unionByName(rest), "similar-links")
+    removed(some, sets, close, rest)
+    return links
+
+
+def checked_near(sets: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
+    """(a, b): the near pairs of `sets` (doc_id, shingles, fp) that have the similarity."""
+    pairs = near_pairs(sets.select("doc_id", F.size("shingles").cast("long").alias("n"), "fp"))
+    sizes = pairs.groupBy("a").agg(F.count("*").alias("members"), F.sum("n").alias("weight"))
+    stars = written(sizes.withColumn("blocks", in_blocks(block)), "near-stars")
+    star = [F.lit(2).alias("by"), F.col("a").alias("no"), "lo", F.col("lo").alias("hi")]
+    # The texts of a star are dealt to its blocks, and its first text to each of them.
+    leaves = hot_join(pairs, stars, "a", "members", pairs.count()).withColumn("lo", F.expr("pmod(xxhash64(b), blocks)"))
+    heads = stars.withColumn("lo", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = leaves.select(*star, F.lit(1).alias("side"), F.col("b").alias("part"), F.col("b").alias("doc_id"))
+    dealt = dealt.unionByName(heads.select(*star, F.lit(0).alias("side"), F.col("a").alias("part"), F.col("a").alias("doc_id")))
+    with small_batches(sets.sparkSession, 512):
+        links = written(compared(dealt, sets, similarity), "near-links")
+    removed(pairs, stars)
+    return links
+
+
+def other_links(some: DataFrame, sets: DataFrame, parts: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
+    """(a, b): links between the texts of `some` (doc_id, n) that have no common root in `parts` (node, root), enough to
+    connect all that are similar."""
+    some = written(some.join(parts.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left").select("doc_id", "n", F.coalesce("root", "doc_id").alias("part")), "similar-parts")
     rows = sets.select("doc_id", F.explode("shingles").alias("key"))
     known = written(rows.groupBy("key").agg(F.count("*").alias("df")).where("df > 1"), "similar-known")
     # A text's shingles that are left, the rarest first; its others come before them all and find nobody.
     ordered = hot_join(rows, known, "key", "df", rows.count()).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("order"))
     prefix = F.col("n") - least_common(F.col("n"), similarity) + 1 - (F.col("n") - F.size("order"))
     keyed = ordered.join(some, "doc_id").withColumn("prefix", prefix.cast("int")).where("prefix > 0")
-    keyed = written(keyed.select("doc_id", "n", F.explode(F.slice("order", F.lit(1), F.col("prefix"))).alias("one")).select("doc_id", "n", F.col("one.key").alias("key")), "similar-keys")
-    groups = written(keyed.groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("members"), F.sum("n").alias("weight")).where("members > 1"), "similar-groups")
+    keyed = written(keyed.select("doc_id", "n", "part", F.explode(F.slice("order", F.lit(1), F.col("prefix"))).alias("one")).select("doc_id", "n", "part", F.col("one.key").alias("key")), "similar-keys")
+    groups = keyed.groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("members"), F.sum("n").alias("weight"), (F.min("part") < F.max("part")).alias("open"))
+    groups = written(groups.where("open").drop("open"), "similar-groups")
     members = written(hot_join(keyed, groups, "key", "members", keyed.count()), "similar-members")
     families = components(members.where("doc_id <> least").select(F.col("least").alias("a"), F.col("doc_id").alias("b")).distinct())
     of = written(families.withColumnRenamed("node", "doc_id").join(some, "doc_id"), "similar-families")
     sizes = of.groupBy("root").agg(F.count("*").alias("members"), F.sum("n").alias("weight"))
     units = written(hot_join(of, written(sizes, "similar-sizes"), "root", "members", of.count()), "similar-units")
-    whole = units.where(F.col("members") <= FAMILY).select(F.struct(F.lit(0).alias("by"), F.col("root").alias("no")).alias("unit"), "doc_id", "members", "weight")
+    whole = units.where(F.col("members") <= FAMILY).select(F.struct(F.lit(0).alias("by"), F.col("root").alias("no")).alias("unit"), "part", "doc_id", "members", "weight")
     large = units.where(F.col("members") > FAMILY).select("doc_id")
-    alone = members.join(large, "doc_id", "left_semi").select(F.struct(F.lit(1).alias("by"), F.col("key").alias("no")).alias("unit"), "doc_id", "members", "weight")
-    blocks = F.greatest(F.ceil(F.col("members") / block), F.ceil(F.col("weight") / BLOCK_SHINGLES))
-    dealt = whole.unionByName(alone).withColumn("blocks", blocks).withColumn("own", F.expr("pmod(xxhash64(doc_id), blocks)"))
+    alone = members.join(large, "doc_id", "left_semi").select(F.struct(F.lit(1).alias("by"), F.col("key").alias("no")).alias("unit"), "part", "doc_id", "members", "weight")
+    dealt = whole.unionByName(alone).withColumn("blocks", in_blocks(block)).withColumn("own", F.expr("pmod(xxhash64(doc_id), blocks)"))
     # Each member goes to its own block and to each pair of blocks with its own: sides 0 and 1 by the smaller number.
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = dealt.select("unit.by", "unit.no", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") > F.col("other")).cast("int").alias("side"), "doc_id")
+    dealt = dealt.select("unit.by", "unit.no", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") > F.col("other")).cast("int").alias("side"), "part", "doc_id")
+    with small_batches(sets.sparkSession, 512):
+        links = written(compared(dealt, sets, similarity), "other-links")
+    removed(some, known, keyed, groups, members, families, of, units)
+    return links
+
+
+def in_blocks(block: int) -> Column:
+    """The number of blocks for `members` texts of `weight` shingles."""
+    return F.greatest(F.ceil(F.col("members") / block), F.ceil(F.col("weight") / BLOCK_SHINGLES))
+
+
+def compared(dealt: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b), the smaller id first: links within each block (by, no, lo, hi) of `dealt`, which has side, part and doc_id
+    too, by the shingles that `sets` has."""
+    parts = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = ["by", "no", "lo", "hi"]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def groups() -> Iterator[list[tuple]]:
             now, held = None, []
             for batch in batches:
-                shingles = batch.column(6)
+                shingles = batch.column(7)
                 flat, ends = shingles.flatten().to_numpy().view(np.uint64), shingles.value_lengths().to_numpy().cumsum()
-                for k, (*key, side, doc) in enumerate(zip(*(c.to_pylist() for c in batch.columns[:6]), strict=True)):
+                for k, (*key, side, part, doc) in enumerate(zip(*(c.to_pylist() for c in batch.columns[:7]), strict=True)):
                     if key != now:
                         yield held
                         now, held = key, []
-                    held.append((doc, side, flat[ends[k - 1] if k else 0 : ends[k]]))
+                    held.append((doc, side, part, flat[ends[k - 1] if k else 0 : ends[k]]))
             yield held
 
         for held in groups():
             if len(held) > 1:
-                ids, side, sets_ = zip(*held, strict=True)
-                if found := block_links(np.array(ids, np.int64), list(sets_), np.array(side), similarity):
+                ids, side, part, sets_ = zip(*held, strict=True)
+                if found := block_links(np.array(ids, np.int64), list(sets_), np.array(side), np.array(part, np.int64), similarity):
                     ab = np.array(found, np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(ab.min(axis=1)), pa.array(ab.max(axis=1))], names=["a", "b"])
 
-    with small_batches(spark, 512):
-        ordered = dealt.join(sets, "doc_id").select(*order, "side", "doc_id", "shingles").repartition(parts, *order).sortWithinPartitions(*order, "doc_id")
-        links = written(ordered.mapInArrow(compare, "a long, b long").distinct(), "similar-links")
-    removed(some, sets, known, keyed, groups, members, families, of, units)
-    return links
+    with_sets = dealt.join(sets.select("doc_id", "shingles"), "doc_id").select(*order, "side", "part", "doc_id", "shingles")
+    ordered = with_sets.repartition(parts, *order).sortWithinPartitions(*order, "doc_id")
+    return ordered.mapInArrow(compare, "a long, b long").distinct()
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = WIDE_SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
