@@ -155,6 +155,8 @@ def links(fps: DataFrame, max_distance: int = DISTANCE, block: int = BLOCK) -> D
     masks = ring_masks(max_distance)
     keyed, by_key = ring_keys(fps, masks), ["slot", "key"]
     sizes = written(keyed.groupBy(*by_key).agg(F.count("*").alias("n")).where("n > 1"), "ring-sizes")
+    if max_distance > DISTANCE:  # keys of 80 slots: far more in a broadcast's memory than in the file that Spark judges by
+        sizes = sizes.hint("merge")
     # A hot key's members meet its size by broadcast, so they become blocks where they are.
     members = hot_join(keyed, sizes, by_key, "n", fps.count() * len(masks) * SEGMENTS)
     blocks = F.ceil(F.col("n") / block)
