@@ -68,6 +68,7 @@ def resolved_bases(facts: DataFrame) -> DataFrame:
 
 def ancestors(bases: DataFrame) -> DataFrame:
     """(path, ancestor, place): ancestors by depth-first order; place sorts them, cycles end."""
+    bases = settle(bases.select("path", "ord", "base"), "ancestor-bases")  # once, not once a round
     step = bases.select(F.col("path").alias("from"), "ord", "base")
     live = bases.select("path", F.col("base").alias("ancestor"), F.array("ord").alias("place"), F.array("path", "base").alias("seen"))
     found = []

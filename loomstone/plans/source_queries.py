@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from loomstone.operators import calls, duplicates, govern, profile, resolution
 from loomstone.plans.registry import query
 from loomstone.sources.python_facts import function_bodies, python_facts
-from loomstone.tables import load
+from loomstone.tables import load, settle
 
 #: The text of a module; @S is its supplier, @T the next one's, @N its nation.
 MODULE = '''import os
@@ -105,6 +105,11 @@ def sources(spark, d) -> DataFrame:
     return suppliers.select(F.concat(F.lit("pkg/m"), "s_suppkey", F.lit(".py")).alias("path"), text.alias("source"))
 
 
+def _facts(spark, d) -> DataFrame:
+    """The facts of all modules, parsed once and read as often as a query needs them."""
+    return settle(python_facts(sources(spark, d)), "facts")
+
+
 def _named(column: str) -> str:
     """SQL for a name of the lists above, with the module's own names in it."""
     return f"replace(regexp_replace(regexp_replace({column}, '(^|=)M([.]|$)', '\\1pkg.m' || s || '\\2'), '(^|=)T([.]|$)', '\\1pkg.m' || t || '\\2'), '@T', t::VARCHAR)"
@@ -180,7 +185,7 @@ def q_attribute_types(spark, d):
 
 @query(f"WITH {_KEYS} SELECT 'pkg.m' || s || '.Child' AS path, 'pkg.m' || s || '.Root' AS ancestor FROM K")
 def q_ancestors(spark, d):
-    return calls.ancestors(calls.resolved_bases(python_facts(sources(spark, d)))).select("path", "ancestor")
+    return calls.ancestors(calls.resolved_bases(_facts(spark, d))).select("path", "ancestor")
 
 
 @query(f"""WITH {_KEYS} SELECT 'pkg.m' || s AS file, 'pkg.m' || s || '.second' AS function, call, severity FROM K, (VALUES ('os.remove', 'REVIEW'), ('eval', 'BLOCK')) V(call, severity)""")

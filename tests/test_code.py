@@ -1,8 +1,10 @@
 """Facts, call resolution, duplicates, lineage, other languages, documentation, governance."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from loomstone.operators import calls, cognition, docs, duplicates, govern, graph, lineage, resolution
+from loomstone.plans import source_queries
 from loomstone.sources import inventory, languages
 from loomstone.sources.python_facts import function_bodies, python_facts, typed_constant
 
@@ -276,3 +278,18 @@ def test_registry_dispatch_is_a_bounded_set(spark):
     source = "def a(): pass\nHANDLERS = {'a': a, 'n': 1}\nHANDLERS['b'] = mod.b\nHANDLERS.register('c', c)\ndef run(k):\n    HANDLERS.get(k)()\n    HANDLERS[k](1)\n    OTHER[k]()\n"
     got = resolution.registry_dispatch(python_facts(spark.createDataFrame([("m.py", source)], "path string, source string"))).collect()
     assert [(r["caller"], r["callees"], r["label"]) for r in got] == [("m.run", ["a", "c", "mod.b"], "UNCERTAIN")] * 2
+
+
+def test_sources_of_one_part_are_dealt_to_all_tasks(spark):
+    files = spark.range(64).selectExpr("concat('m', id, '.py') AS path", "concat('def f', id, '(): pass') AS source").coalesce(1)
+    found = python_facts(files).select("id", F.spark_partition_id().alias("task")).collect()
+    assert len(found) == 64 and len({r["task"] for r in found}) == 4
+
+
+@pytest.mark.parametrize("name", ["q_ancestors"])
+def test_each_source_is_parsed_once(spark, sf, monkeypatch, name):
+    parsed, sources = spark.sparkContext.accumulator(0), source_queries.sources
+    see = F.udf(lambda text: (parsed.add(1), text)[1], "string").asNondeterministic()
+    monkeypatch.setattr(source_queries, "sources", lambda s, d: sources(s, d).withColumn("source", see("source")))
+    getattr(source_queries, name)(spark, sf).collect()
+    assert parsed.value == sources(spark, sf).count()
