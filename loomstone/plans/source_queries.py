@@ -175,7 +175,7 @@ def q_duplicate_functions(spark, d):
 
 @query(f"WITH {_KEYS} SELECT 'pkg.m' || s || '.Child.run' AS caller, 'pkg.m' || s || '.Root.ping' AS callee, 'local_typed_method_call' AS resolution FROM K")
 def q_attribute_types(spark, d):
-    facts = python_facts(sources(spark, d))
+    facts = _facts(spark, d)
     # names that one class alone has are unique; here each module has its own, so types are found by module
     classes = facts.where("kind = 'class'").select(F.concat_ws(".", "module", "name").alias("name"), F.col("id").alias("path"))
     made = facts.where("kind = 'assign' AND name LIKE 'self.%'").select(F.concat_ws(".", "module", "class").alias("class_path"), F.substr("name", F.lit(6)).alias("attr"), F.concat_ws(".", "module", "target").alias("name"))
