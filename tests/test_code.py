@@ -286,7 +286,7 @@ def test_sources_of_one_part_are_dealt_to_all_tasks(spark):
     assert len(found) == 64 and len({r["task"] for r in found}) == 4
 
 
-@pytest.mark.parametrize("name", ["q_ancestors", "q_attribute_types"])
+@pytest.mark.parametrize("name", ["q_ancestors", "q_attribute_types", "q_imported_receivers"])
 def test_each_source_is_parsed_once(spark, sf, monkeypatch, name):
     parsed, sources = spark.sparkContext.accumulator(0), source_queries.sources
     see = F.udf(lambda text: (parsed.add(1), text)[1], "string").asNondeterministic()
