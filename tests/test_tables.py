@@ -84,6 +84,23 @@ def test_sets_that_overlap(spark):
     assert {(r["left_id"], r["right_id"]) for r in duplicates.overlapping_sets(df, "id", "items", 0.5).collect()} == want
 
 
+def test_pairs_that_share_a_token(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(duplicates, "ID_BLOCK", 3)
+    rnd = random.Random(2)
+    rows = [(rnd.choice(["x", "y", None]), rnd.choice([*range(60), None]), [rnd.choice(["a", "b", "c", "d", "e", None]) for _ in range(rnd.randint(0, 3))]) for _ in range(150)]
+    held = {}
+    for s, i, t in rows:
+        held.setdefault((s, i), set()).update(x for x in t if x)
+    want = sorted((s, i, j) for s, i in held for r, j in held if s and s == r and None not in (i, j) and i < j and held[s, i] & held[s, j])
+    found = duplicates.token_pairs(spark.createDataFrame(rows, "s string, i long, t array<string>"), "s", "i", "t")
+    assert sorted(tuple(r) for r in found.collect()) == want
+    # pairs are many more than rows: none is shuffled once it is laid out
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" in plan and not any(w in plan[: plan.index("Generate")] for w in ("Aggregate", "Repartition", "Join"))
+
+
 def test_logs(spark):
     old = logs.snapshot(spark.createDataFrame([("a", "1"), ("b", "2"), ("c", None)], "p string, t string"), "p", "t")
     new = logs.snapshot(spark.createDataFrame([("a", "1"), ("b", "3"), ("d", "")], "p string, t string"), "p", "t")
