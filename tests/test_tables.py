@@ -4,6 +4,7 @@ import re
 from pathlib import Path
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -101,6 +102,32 @@ def test_pairs_that_share_a_token(spark, monkeypatch):
     assert "Generate" in plan and not any(w in plan[: plan.index("Generate")] for w in ("Aggregate", "Repartition", "Join"))
 
 
+def test_nearest_vectors_equal_the_expression(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(joins, "QUERY_BLOCK", 7)
+    rnd = random.Random(3)
+    rows = [(i, [float(rnd.randint(-2, 2)) for _ in range(3)]) for i in range(120)] + [(200, None), (201, [1.0]), (202, [1.0, None, 2.0]), (203, [0.0, 0.0, 0.0]), (204, [float("nan"), 1.0, 1.0])]
+    df = spark.createDataFrame(rows, "b long, y array<float>")
+    asked = df.where("b % 6 = 0 OR b > 199").toDF("a", "x")
+    want = joins.nearest(asked, df, F.round(text.cosine(F.col("x"), F.col("y")), 6), 4, "a", "b")
+    got = joins.nearest_vectors(asked, df, 4, ("a", "x"), ("b", "y"), 6)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() == 4 * asked.count()
+    halves = [0.1234565, -0.1234565, 0.0000005, 0.5, 0.99999949999]
+    assert list(joins._rounded(np.array(halves), 6)) == [r[0] for r in spark.createDataFrame([(x,) for x in halves], "x double").select(F.round("x", 6)).collect()]
+
+
+def test_shared_items_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(joins, "ITEM_BLOCK", 2)
+    rows = spark.createDataFrame([(i, f"w{i % 7}") for i in range(50)] + [(1, "w1"), (9, None)], "d long, g string")
+    few = spark.createDataFrame([("x", "w1"), ("x", "w2"), ("y", "w2"), ("x", "w1"), ("z", "none"), ("z", None)], "b string, g string")
+    found = joins.shared_items(rows, few, "g")
+    assert sorted(tuple(r) for r in found.collect()) == sorted({(i, b) for i in range(50) for b, w in (("x", 1), ("x", 2), ("y", 2)) if i % 7 == w})
+    # only rows that have met an item are shuffled
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 def test_logs(spark):
     old = logs.snapshot(spark.createDataFrame([("a", "1"), ("b", "2"), ("c", None)], "p string, t string"), "p", "t")
     new = logs.snapshot(spark.createDataFrame([("a", "1"), ("b", "3"), ("d", "")], "p string, t string"), "p", "t")
