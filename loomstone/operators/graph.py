@@ -30,15 +30,19 @@ def reversed_edges(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
 
 
-def closure(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """(node, depth): what the seeds (node) reach along src -> dst, with the first depth; seeds have depth 0."""
+def closure(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, merge: bool = False) -> DataFrame:
+    """(node, depth): what the seeds (node) reach along src -> dst, with the first depth; seeds have depth 0.
+
+    With `merge` no round is sent through the driver, for seeds that are a share of the graph.
+    """
+    whole = (lambda df: df.hint("merge")) if merge else (lambda df: df)
     edges = settle(edges.select("src", "dst"), "closure-edges")  # once, not once a round
     frontier = settle(seeds.select("node").distinct().withColumn("depth", F.lit(0)), "frontier")
     seen, depth = [frontier], 0
     while max_depth is None or depth < max_depth:
         depth += 1
-        step = frontier.join(edges, frontier.node == edges.src).select(F.col("dst").alias("node")).distinct()
-        step = step.join(union_all(seen).select("node"), "node", "left_anti").withColumn("depth", F.lit(depth))
+        step = whole(frontier).join(edges, frontier.node == edges.src).select(F.col("dst").alias("node")).distinct()
+        step = step.join(whole(union_all(seen).select("node")), "node", "left_anti").withColumn("depth", F.lit(depth))
         frontier = settle(step, "frontier")
         if frontier.isEmpty():
             break
@@ -218,17 +222,18 @@ def strong_components(edges: DataFrame) -> DataFrame:
     while not rest.isEmpty():
         color = settle(rest.select("node", F.col("node").alias("color")), "scc-colors")
         while True:
-            into = left.join(color, left.src == color.node).groupBy("dst").agg(F.min("color").alias("least"))
-            step = color.join(into, color.node == into.dst, "left").select("node", F.least("color", "least").alias("color"), (F.col("least") < F.col("color")).alias("moved"))
+            into = left.join(color.hint("merge"), left.src == color.node).groupBy("dst").agg(F.min("color").alias("least"))
+            step = color.join(into.hint("merge"), color.node == into.dst, "left").select("node", F.least("color", "least").alias("color"), (F.col("least") < F.col("color")).alias("moved"))
             step = settle(step, "scc-colors")
             color = step.select("node", "color")
             if step.where("moved").isEmpty():
                 break
         a, b = color.toDF("src", "src_color"), color.toDF("dst", "dst_color")
-        within = settle(left.join(a, "src").join(b, "dst").where("src_color = dst_color").select("src", "dst"), "scc-within")
-        found = settle(closure(reversed_edges(within), color.where("node = color").select("node")).join(color, "node").select("node", F.col("color").alias("component")), "scc-found")
+        within = settle(left.join(a.hint("merge"), "src").join(b.hint("merge"), "dst").where("src_color = dst_color").select("src", "dst"), "scc-within")
+        found = settle(closure(reversed_edges(within), color.where("node = color").select("node"), merge=True).join(color.hint("merge"), "node").select("node", F.col("color").alias("component")), "scc-found")
         done.append(found)
         gone = found.select("node")
+        gone = gone.hint("merge")
         rest = settle(rest.join(gone, "node", "left_anti"), "scc-nodes")
         left = settle(within.join(gone, within.src == gone.node, "left_anti").join(gone, F.col("dst") == gone.node, "left_anti"), "scc-edges")
     return union_all(done) if done else rest.select("node", F.col("node").alias("component"))

@@ -4,6 +4,7 @@ import random
 from collections import deque
 
 import pytest
+from pyspark.sql import functions as F
 
 from loomstone.operators import graph
 
@@ -46,6 +47,15 @@ def test_paths_to_marks_what_is_cut(small):
     assert cut == {(("hub", "x", "y"), False), (("hub", "x", "y"), True)}
 
 
+def test_components_are_not_sent_through_the_driver(spark, monkeypatch):
+    plans = []
+    real = graph.settle
+    monkeypatch.setattr(graph, "settle", lambda df, label: (plans.append((label, df._jdf.queryExecution().executedPlan().toString())), real(df, label))[1])
+    e = spark.createDataFrame([(i, (i * 3 + 1) % 40) for i in range(40)], "src long, dst long")
+    graph.strong_components(e).collect()
+    assert any("SortMergeJoin" in p for _, p in plans) and not [label for label, p in plans if "Broadcast" in p]
+
+
 def plain_dominators(edges, target):
     """Nodes without which no node that has no callers reaches the target, by trying each."""
     callers = {}
