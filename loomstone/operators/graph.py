@@ -192,11 +192,17 @@ def depends_on(edges: DataFrame, prefix: str) -> DataFrame:
     return edges.where(F.col("dst").startswith(prefix) & ~F.col("src").startswith(prefix)).select(F.col("src").alias("caller")).distinct()
 
 
+#: Edges of one task where each is told apart, on average.
+EDGES_A_TASK = 1_000_000
+
+
 def hotspots(edges: DataFrame, top: int = 15) -> DataFrame:
     """(direction, node, degree): the top nodes by distinct callers (in) and by calls (out); zeros go after the cut."""
-    ends = edges.select(F.inline(F.array(*(F.struct(F.lit(w).alias("direction"), F.col(n).alias("node"), F.col(o).alias("other")) for w, n, o in (("in", "dst", "src"), ("out", "src", "dst"))))))
-    counted = ends.groupBy("direction", "node").agg(F.countDistinct("other").alias("callers"), F.count("*").alias("calls"))
-    degrees = counted.select("direction", "node", F.when(F.col("direction") == "in", F.col("callers")).otherwise(F.col("calls")).alias("degree"))
+    edges = settle(edges.select("src", "dst"), "hotspot-edges")
+    tasks = max(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-edges.count() // EDGES_A_TASK))
+    callers = edges.repartition(tasks, "src", "dst").distinct().groupBy(F.col("dst").alias("node")).agg(F.count("src").alias("degree"))
+    called = edges.repartition(tasks, "src").groupBy(F.col("src").alias("node")).agg(F.count("*").alias("degree"))
+    degrees = union_all([x.select(F.lit(w).alias("direction"), "node", "degree") for w, x in (("in", callers), ("out", called))])
     rank = F.row_number().over(Window.partitionBy("direction").orderBy(F.desc("degree"), "node"))
     return degrees.withColumn("rank", rank).where(F.col("rank") <= top).select("direction", "node", "degree")
 

@@ -147,6 +147,12 @@ def test_empty_graph(spark):
     assert graph.impact_of(none, "x").count() == graph.strong_components(none).count() == graph.dead_code(none).count() == 0
 
 
+def test_hotspots_count_callers_once_and_calls_each_time(spark, monkeypatch):
+    monkeypatch.setattr(graph, "EDGES_A_TASK", 2)
+    e = spark.createDataFrame([("a", "x"), ("a", "x"), ("b", "x"), ("a", "y"), ("c", "a"), ("c", "a"), (None, "x")], "src string, dst string")
+    assert vals(graph.hotspots(e, 2)) == [("in", "a", 1), ("in", "x", 2), ("out", "a", 3), ("out", "c", 2)]
+
+
 def test_split_id(spark):
     df = spark.createDataFrame([("pkg.mod.Cls.run",), ("pkg.f",), ("f",), ("p.Cls",)], "node string").withColumn("at", graph.split_id())
     assert [tuple(r["at"]) for r in df.collect()] == [("pkg.mod", "Cls", "run"), ("pkg", None, "f"), ("", None, "f"), ("p", "Cls", None)]
