@@ -152,13 +152,13 @@ def q_imported_receivers(spark, d):
 
 @query(f"WITH {_KEYS}, V(fid, type) AS (VALUES ('M.make', 'M.Child'), ('M.made_twice', 'M.Child')) SELECT {_named('fid')} AS fid, 'class:' || {_named('type')} AS type FROM K, V")
 def q_return_types(spark, d):
-    facts = python_facts(sources(spark, d))
+    facts = _facts(spark, d)
     return calls.known_returns(facts, calls.symbols(facts), calls.aliases(facts)).select(F.col("path").alias("fid"), "type")
 
 
 @query(f"WITH {_KEYS}, V(class, method) AS (VALUES ('Root', 'ping'), ('Child', '__init__'), ('Child', 'run'), ('Child', 'own')) SELECT 'pkg.m' || s AS module, class, count(*) AS methods, string_agg(method, ',' ORDER BY method) AS names FROM K, V GROUP BY 1, 2")
 def q_module_tree(spark, d):
-    return profile.module_tree(python_facts(sources(spark, d))).select("module", F.inline("classes")).where("class IS NOT NULL").select("module", "class", F.size("methods").cast("long").alias("methods"), F.concat_ws(",", "methods").alias("names"))
+    return profile.module_tree(_facts(spark, d)).select("module", F.inline("classes")).where("class IS NOT NULL").select("module", "class", F.size("methods").cast("long").alias("methods"), F.concat_ws(",", "methods").alias("names"))
 
 
 @query("""WITH P AS (SELECT DISTINCT s_suppkey // 2 AS p FROM supplier WHERE s_suppkey % 2 = 1)
@@ -190,7 +190,7 @@ def q_ancestors(spark, d):
 
 @query(f"""WITH {_KEYS} SELECT 'pkg.m' || s AS file, 'pkg.m' || s || '.second' AS function, call, severity FROM K, (VALUES ('os.remove', 'REVIEW'), ('eval', 'BLOCK')) V(call, severity)""")
 def q_dangerous_calls(spark, d):
-    facts = python_facts(sources(spark, d)).where("kind = 'call' AND target IS NOT NULL")
+    facts = settle(python_facts(sources(spark, d)).where("kind = 'call' AND target IS NOT NULL"), "called")
     made = facts.select(F.col("module").alias("file"), F.col("id").alias("function"), F.col("lineno").alias("line"), F.col("target").alias("call"))
     none = spark.createDataFrame([], "file string, function string, line int, name string")
     found = govern.findings(made, none)

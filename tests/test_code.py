@@ -1,12 +1,13 @@
 """Facts, call resolution, duplicates, lineage, other languages, documentation, governance."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from loomstone.operators import calls, cognition, docs, duplicates, govern, graph, lineage, resolution
 from loomstone.plans import source_queries
 from loomstone.sources import inventory, languages
-from loomstone.sources.python_facts import function_bodies, python_facts, typed_constant
+from loomstone.sources.python_facts import HELD, fact_batches, function_bodies, python_facts, typed_constant
 
 FILES = {
     "pkg/__init__.py": "",
@@ -286,10 +287,17 @@ def test_sources_of_one_part_are_dealt_to_all_tasks(spark):
     assert len(found) == 64 and len({r["task"] for r in found}) == 4
 
 
-@pytest.mark.parametrize("name", ["q_ancestors", "q_attribute_types", "q_imported_receivers"])
+@pytest.mark.parametrize("name", ["q_ancestors", "q_attribute_types", "q_imported_receivers", "q_return_types", "q_module_tree", "q_dangerous_calls"])
 def test_each_source_is_parsed_once(spark, sf, monkeypatch, name):
     parsed, sources = spark.sparkContext.accumulator(0), source_queries.sources
     see = F.udf(lambda text: (parsed.add(1), text)[1], "string").asNondeterministic()
     monkeypatch.setattr(source_queries, "sources", lambda s, d: sources(s, d).withColumn("source", see("source")))
     getattr(source_queries, name)(spark, sf).collect()
     assert parsed.value == sources(spark, sf).count()
+
+
+def test_a_task_holds_few_facts_however_many_files_come_at_once():
+    n = HELD + 10
+    files = pa.RecordBatch.from_arrays([pa.array([f"m{i}" for i in range(n)]), pa.array(["f()\ng()"] * n)], names=["module", "source"])
+    sizes = [b.num_rows for b in fact_batches(iter([files]), False)]
+    assert sum(sizes) == 2 * n and max(sizes) == HELD
