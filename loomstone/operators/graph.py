@@ -119,21 +119,28 @@ def paths_to(edges: DataFrame, target, max_nodes: int = 8, limit: int | None = N
     A chain of max_nodes nodes that could go on is given as it is, and once more with truncated set. `limit` keeps the
     first ones by length, then by their nodes.
     """
-    edges = edges.select("src", "dst").distinct()
+    edges = settle(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct(), "paths-edges")  # once, not once a round
+    callers = edges.groupBy("dst").agg(F.count("src").alias("callers"))
     live = one_node(edges, target).select(F.array("node").alias("path"))
     done = []
     for size in range(1, max_nodes + 1):
         step = live.join(edges, F.element_at("path", 1) == F.col("dst"), "left")
-        step = step.withColumn("more", F.col("src").isNotNull() & ~F.array_contains("path", F.coalesce("src", "dst", F.element_at("path", 1))))
-        step = settle(step.select("path", "src", "more"), "paths")
-        ends = step.groupBy("path").agg(F.max("more").alias("more"))
+        step = settle(step.select("path", "src", F.array_contains("path", F.coalesce("src", F.element_at("path", 1))).alias("back")), "paths")
         if size > 1:
-            done.append(ends.where(~F.col("more")).select("path", F.lit(False).alias("truncated")))
+            # A chain ends at a node without callers, or where all callers are in the chain: only those that lead back are counted.
+            done.append(step.where("src IS NULL").select("path", F.lit(False).alias("truncated")))
+            back = step.where("back AND src IS NOT NULL")
+            if not back.isEmpty():
+                stuck = back.groupBy("path").agg(F.count("src").alias("n")).join(callers, F.element_at("path", 1) == F.col("dst")).where("n = callers")
+                done.append(stuck.select("path", F.lit(False).alias("truncated")))
+        more = step.where("NOT back")
         if size == max_nodes:
-            cut = ends.where("more")
+            cut = more.select("path").distinct()
             done += [cut.select("path", F.lit(x).alias("truncated")) for x in (False, True)]
-        live = step.where("more").select(F.concat(F.array("src"), "path").alias("path"))
-    out = union_all(done)
+        elif more.isEmpty():
+            break
+        live = more.select(F.concat(F.array("src"), "path").alias("path"))
+    out = union_all(done) if done else live.select("path", F.lit(False).alias("truncated")).limit(0)
     return out if limit is None else out.orderBy(F.size("path"), "path", "truncated").limit(limit)
 
 
@@ -316,6 +323,7 @@ def change_impact(edges: DataFrame, wanted: str) -> DataFrame:
 
     The target is the id itself or else the smallest caller id that contains the wanted text; no row if there is none.
     """
+    edges = settle(edges.select("src", "dst"), "impact-edges")  # four questions follow
     callers = edges.select(F.col("src").alias("node")).distinct().where(F.contains("node", F.lit(wanted)))
     best = callers.orderBy(F.col("node") != wanted, "node").first()
     spark = edges.sparkSession

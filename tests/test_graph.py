@@ -47,6 +47,23 @@ def test_paths_to_marks_what_is_cut(small):
     assert cut == {(("hub", "x", "y"), False), (("hub", "x", "y"), True)}
 
 
+def test_paths_to_ends_where_all_callers_lead_back(spark):
+    e = spark.createDataFrame([("a", "t"), ("b", "a"), ("a", "b"), ("t", "b"), ("c", "a"), (None, "c"), ("c", "c"), ("t", "t")], "src string, dst string")
+    got = {(">".join(r["path"]), r["truncated"]) for r in graph.paths_to(e, "t").collect()}
+    assert got == {("b>a>t", False), ("c>a>t", False)}
+    assert graph.paths_to(e, "nobody").count() == 0
+
+
+def test_edges_are_read_once_however_long_the_paths(spark):
+    read = spark.sparkContext.accumulator(0)
+    see = F.udf(lambda x: (read.add(1), x)[1], "string").asNondeterministic()
+    e = spark.createDataFrame([(f"n{i}.f", f"n{i + 1}.f") for i in range(6)], "src string, dst string").coalesce(1).withColumn("src", see("src"))
+    assert [tuple(r) for r in graph.paths_to(e, "n6.f").select(F.size("path"), "truncated").collect()] == [(7, False)]
+    assert read.value == 6
+    assert graph.change_impact(e, "n6.f").first() is None and read.value == 12
+    assert graph.change_impact(e, "n5.f").first()["max_depth"] == 6 and read.value == 18
+
+
 def test_components_are_not_sent_through_the_driver(spark, monkeypatch):
     plans = []
     real = graph.settle
